@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from timbrel.llm import mixing, packing, url_filter
+from timbrel.llm import langid, mixing, near_dup, packing, quality, quality_rules, url_filter
 
-QUERIES = {**mixing.QUERIES, **url_filter.QUERIES, **packing.QUERIES}
-ORACLES = {**mixing.ORACLES, **url_filter.ORACLES, **packing.ORACLES}
+_MODULES = (mixing, url_filter, quality, quality_rules, packing, near_dup, langid)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
