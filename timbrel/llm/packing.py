@@ -12,7 +12,9 @@ shuffled and a lost task repeats the same work on the same rows.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +28,9 @@ TIERS = (2048, 1024, 512, 256)
 #: Tokens of rests held before a pool is packed, and of one step group.
 POOL_TOKENS, STEP_TOKENS = 1 << 20, 1 << 17
 #: Chunks of text kept with their ids.
-CACHE = 400_000
+CACHE = 1_000_000
+#: Marks after an ASCII letter that end a chunk; the tokenizer splits before them.
+_MARKS = re.compile(rb"(?<=[A-Za-z])[.,!?;:*$%&#]+(?![^ \t-\r])")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens int, tier int, step_group long"
 
 
@@ -39,8 +43,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
-    No token of this tokenizer crosses ASCII white space and its normaliser works on each side
-    alone, so each distinct chunk between white space is encoded once.
+    No token of this tokenizer crosses ASCII white space or goes from a letter to a mark, its
+    normaliser works on each side alone and folds case, so each distinct folded chunk between
+    such borders is encoded once.
     """
 
     def __init__(self, path: str):
@@ -55,13 +60,14 @@ class Encoder:
             known.clear()
         out = []
         for t in texts:
-            words = t.split() if t else []
+            # a special token's name keeps its case
+            words = _MARKS.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() if t else []
             try:
                 out.append(b"".join([known[w] for w in words]))
             except KeyError:
                 new = list({w for w in words if w not in known})
-                for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    known[w] = array("I", e.ids).tobytes()
                 out.append(b"".join([known[w] for w in words]))
         return out
 
