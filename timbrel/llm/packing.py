@@ -12,6 +12,7 @@ shuffled and a lost task repeats the same work on the same rows.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from array import array
@@ -28,9 +29,9 @@ TIERS = (2048, 1024, 512, 256)
 #: Tokens of rests held before a pool is packed, and of one step group.
 POOL_TOKENS, STEP_TOKENS = 1 << 20, 1 << 17
 #: Chunks of text kept with their ids.
-CACHE = 1_000_000
+CACHE = 700_000
 #: Marks after an ASCII letter that end a chunk; the tokenizer splits before them.
-_MARKS = re.compile(rb"(?<=[A-Za-z])[.,!?;:*$%&#]+(?![^ \t-\r])")
+_MARKS = re.compile(rb"(?<=[A-Za-z])[.,!?;:*$%&#]+$")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens int, tier int, step_group long"
 
 
@@ -45,31 +46,39 @@ class Encoder:
 
     No token of this tokenizer crosses ASCII white space or goes from a letter to a mark, its
     normaliser works on each side alone and folds case, so each distinct folded chunk between
-    such borders is encoded once.
+    such borders is encoded once while it is kept.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's cores are taken by its tasks
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def batch(self, texts: list[bytes | None]) -> list[bytes]:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        out = []
-        for t in texts:
-            # a special token's name keeps its case
-            words = _MARKS.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() if t else []
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                new = list({w for w in words if w not in known})
-                for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[w] = array("I", e.ids).tobytes()
-                out.append(b"".join([known[w] for w in words]))
-        return out
+        # a special token's name keeps its case
+        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        self.learn({w for ws in words for w in ws if w not in known})
+        return [b"".join([known[w] for w in ws]) for ws in words]
+
+    def learn(self, new: set[bytes]) -> None:
+        if len(self.cores) > CACHE:
+            self.cores.clear()
+        known, cores, marks = self.known, self.cores, _MARKS.search
+        parts = []
+        for w in new:
+            m = marks(w)
+            parts.append((w, w[: m.start()], w[m.start() :]) if m else (w, w, None))
+        fresh = list({x for _, core, end in parts for x in (core, end) if x is not None and x not in cores})
+        for x, e in zip(fresh, self.tok.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False), strict=True):
+            cores[x] = array("I", e.ids).tobytes()
+        for w, core, end in parts:
+            known[w] = cores[core] if end is None else cores[core] + cores[end]
 
 
 @lru_cache(maxsize=2)
