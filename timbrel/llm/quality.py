@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,9 +148,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = _scorer(model)
 
     @F.pandas_udf("double")
-    def scored(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield pd.Series(score(list(s.where(s.notna(), None))))
 
