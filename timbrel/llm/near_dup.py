@@ -34,7 +34,7 @@ SYMBOLS, BITS = 48, 16
 DISTANCE = 26
 CHUNKS = (6, 5, 5, 6, 5, 5, 6, 5, 5)
 #: Members of a key that meet all others, round by round; later rounds go on by the last factor.
-CENTRES = (4, 32, 256)
+CENTRES = (16, 512, 16384)
 
 
 @lru_cache(maxsize=1)
@@ -85,12 +85,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 512):
             c = b.slice(at, 512)
             n, fp, sig = [], [], []
-            for t in c.column(1).cast(pa.binary()):
+            for t in c.column(2).cast(pa.binary()):
                 s = shingle_set(t.as_py(), SHINGLE)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "th", "n", "fp", "sig"])
 
 
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +126,14 @@ class _Confirm:
     def __init__(self, reps: DataFrame, sets: DataFrame):
         self.reps, self.sets = reps, sets
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        r = self.reps.select("id", "n", "sig")
-        p = pairs.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        p = p.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        p = p.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-        p = p.mapInArrow(_near, "a long, b long")
+    def __call__(self, pairs: DataFrame, sift: bool = True) -> DataFrame:
+        p = pairs
+        if sift:
+            r = self.reps.select("id", "n", "sig")
+            p = p.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+            p = p.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+            p = p.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+            p = p.mapInArrow(_near, "a long, b long")
         p = p.join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         p = p.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
         both = F.size(F.array_intersect("x", "y"))
@@ -146,10 +148,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     share a doc_id are judged each by its own text. An empty table gives none.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = settle(docs.mapInArrow(_describe, "doc_id long, n long, fp binary, sig binary"), "near-signatures")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    all_ = settle(docs.mapInArrow(_describe, "doc_id long, th long, n long, fp binary, sig binary"), "near-signatures")
     full = all_.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = settle(full.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
+    reps = full.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = settle(reps.select("fp", F.col("m.doc_id").alias("id"), F.col("m.th").alias("th"), "n", "sig"), "near-classes")
     comp = _components(docs, reps.dropDuplicates(["id"]))
     classes = reps.join(comp, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("comp", "id").alias("component_id"))
     out = all_.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
@@ -162,39 +165,53 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     keyed = reps.select("id", "sig").mapInArrow(_explode_keys, "key long, id long")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = settle(keyed.join(shared, "key"), "near-keys")
-    ids = members.select("id").distinct()
-    # one row for each id: of rows that share a doc_id, the one whose set the representative stands for
-    texts = docs.join(ids, docs["doc_id"] == ids["id"]).select("id", "text")
-    sets = texts.mapInArrow(_sets, "id long, set array<long>").withColumn("n", F.size("set"))
-    sets = settle(sets.join(reps.select(F.col("id").alias("_i"), F.col("n").alias("_n")), (F.col("id") == F.col("_i")) & (F.col("n") == F.col("_n"))).select("id", "set").dropDuplicates(["id"]), "near-sets")
+    some = reps.join(members.select("id").distinct(), "id").select("id", F.col("th").alias("_th"))
+    texts = docs.join(some, (docs["doc_id"] == some["id"]) & (docs["th"] == some["_th"])).dropDuplicates(["doc_id", "th"])
+    sets = settle(texts.select("id", "text").mapInArrow(_sets, "id long, set array<long>"), "near-sets")
     confirm = _Confirm(reps, sets)
 
-    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    first = members.groupBy("key").agg(F.min(order).alias("c"))
+    # each text meets the one text before all others among those that share a key with it
+    first = members.groupBy("key").agg(F.min(_order("id")).alias("c"))
     one = members.join(first, "key").filter(F.col("id") != F.col("c.id")).groupBy("id").agg(F.min("c").alias("c"))
-    tested = settle(one.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct(), "near-pairs")
-    links = settle(confirm(tested), "near-links")
-    comp = settle(connected_components(links), "near-components")
-    done, k = 1, 0
+    one = settle(one.select("id", F.col("c.id").alias("c")), "near-pairs")
+    tested = one.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+    up = one.join(settle(confirm(tested, sift=False), "near-links"), (F.least("id", "c") == F.col("a")) & (F.greatest("id", "c") == F.col("b"))).select("id", "c", "a", "b")
+    up = settle(up.distinct(), "near-links")
+    links = up.select("a", "b")
+    # these links lead from later to earlier texts; following them a few times joins most of a group
+    comp = up.select("id", F.col("c").alias("comp"))
+    for _ in range(2):
+        comp = comp.join(comp.select(F.col("id").alias("comp"), F.col("comp").alias("then")), "comp", "left").select("id", F.coalesce("then", "comp").alias("comp"))
+    comp = settle(comp, "near-components")
+    done, k, whole = 1, 0, False
     while True:
         most = CENTRES[k] if k < len(CENTRES) else done * CENTRES[-1] // CENTRES[-2]
         k += 1
         labelled = members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         sizes = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        sizes = sizes.filter((F.col("lo") < F.col("hi")) & (F.col("n") > done)).select("key")
+        sizes = sizes.filter((F.col("lo") < F.col("hi")) & (F.col("n") > done)).select("key", "n")
         live = settle(labelled.join(sizes, "key"), "near-open")
         if live.isEmpty():
-            return comp
+            break
         w = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
         centre = live.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
         centre = centre.select("key", F.col("id").alias("c"), F.col("comp").alias("cc"))
         pairs = live.join(centre, "key").filter("comp <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         found = settle(confirm(pairs), "near-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = settle(connected_components(links), "near-components")
-        tested, members, done = tested.unionByName(pairs), live.select("key", "id"), most
+        # keys that are not larger than this round's limit are through
+        left = live.filter(F.col("n") > most).select("key", "id")
+        links, whole = links.unionByName(found), False
+        if left.isEmpty():
+            break
+        comp, whole = settle(connected_components(links), "near-components"), True
+        tested, members, done = tested.unionByName(pairs), left, most
+    return comp if whole else settle(connected_components(links), "near-components")
+
+
+def _order(c: str):
+    """Any fixed order of texts that is not the ids' own."""
+    return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
