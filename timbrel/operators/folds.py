@@ -106,7 +106,7 @@ def fill_gaps(inserts: DataFrame, keys: Sequence[str], length: str, hold: int, s
     from pyspark.sql import Window
 
     s, e = F.greatest("start_c", F.lit(hold)), F.least("end_c", F.col(length) - hold)
-    kept = inserts.select(*keys, length, s.alias("start_c"), e.alias("end_c")).filter(F.col("start_c").isNotNull() & (F.col("end_c") - F.col("start_c") >= shortest))
+    kept = inserts.filter("start_c IS NOT NULL").select(*keys, length, s.alias("start_c"), e.alias("end_c")).filter(F.col("end_c") - F.col("start_c") >= shortest)
     w = Window.partitionBy(*keys).orderBy("start_c", "end_c")
     before = F.coalesce(F.max("end_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     gaps = kept.select(*keys, before.alias("lo"), F.col("start_c").alias("hi"))

@@ -233,7 +233,7 @@ def event_deoverlap(spark, d):
 
 
 @query("WITH " + CLIP + """, len AS (SELECT doc_id, max(end_c) AS length FROM seg GROUP BY doc_id),
-ins AS (SELECT l.doc_id, l.length, greatest(c.start_c, 45) AS s, least(c.end_c, l.length - 45) AS e FROM len l LEFT JOIN clip c ON c.doc_id = l.doc_id),
+ins AS (SELECT l.doc_id, l.length, CASE WHEN c.start_c IS NOT NULL THEN greatest(c.start_c, 45) END AS s, least(c.end_c, l.length - 45) AS e FROM len l LEFT JOIN clip c ON c.doc_id = l.doc_id),
 k AS (SELECT * FROM ins WHERE s IS NOT NULL AND e - s >= 8),
 g AS (SELECT doc_id, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, s AS hi FROM k
       UNION ALL SELECT l.doc_id, coalesce((SELECT max(e) FROM k WHERE k.doc_id = l.doc_id), 0), l.length FROM len l)
