@@ -18,8 +18,8 @@ from .common import remainder, settle, ship, table
 from .ngrams import by_hash, counts, document_frequency, idf_of, sample_vectors, tfidf
 
 ORDERS, BITS = (1, 2, 3), 13
-#: Training texts of each language, at most; every fifth of them calibrates.
-PER_LANGUAGE = 1000
+#: Training texts of each language, at most, and of all (20 of each at least); every fifth of them calibrates.
+PER_LANGUAGE, MOST = 1000, 8000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -81,7 +81,9 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on rows (doc_id, text, lang): document frequencies over all, weights on a bounded sample of each language."""
-    learn = learn.filter(F.col("lang").isNotNull())
+    learn = learn.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    n = learn.select("lang").distinct().count()
+    per_language = max(20, min(per_language, MOST // max(1, n)))
     ids = settle(by_hash(learn.select("doc_id", "lang"), "lang", per_language).distinct(), "langid-sample")
     labels = sorted(r[0] for r in ids.select("lang").distinct().collect())
     if not labels:

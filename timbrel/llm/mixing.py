@@ -112,11 +112,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mix_rows(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it (possibly not at all)."""
     sizes = settle(docs.select("source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h")), "mix-sizes")
-    plan = mix_plan(sizes, **how).select(F.col("source").alias("_p"), F.col("times").alias("_times"), F.col("cut").alias("_cut"))
-    both = docs.join(plan, F.col("source").eqNullSafe(F.col("_p")))
-    times = taken_times(row_hash(F.col("doc_id")), F.col("_times"), F.col("_cut"))
+    plan = mix_plan(sizes, **how).select(F.col("source").alias("__mix_source"), F.col("times").alias("__mix_times"), F.col("cut").alias("__mix_cut"))
+    both = docs.join(plan, F.col("source").eqNullSafe(F.col("__mix_source")))
+    times = taken_times(row_hash(F.col("doc_id")), F.col("__mix_times"), F.col("__mix_cut"))
     copies = F.explode(F.array_repeat(F.lit(0), times.cast("int")))
-    return both.withColumn("_copy", copies).select(*docs.columns)
+    return both.withColumn("__mix_copy", copies).select(*docs.columns)
 
 
 def plan_sql(rel: str, prefix: str = "") -> str:

@@ -77,6 +77,7 @@ def latent_axes(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, dime
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """labels: doc_id, quality. Counts cover all of ``docs``; voters are a bounded sample of each class."""
+    docs = docs.select("doc_id", "text")
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("q"))
     known = known.select("doc_id", F.when(F.col("q") >= 0.5, 1).otherwise(0).alias("label"))
     here = docs.select("doc_id").join(known, "doc_id").distinct()

@@ -233,7 +233,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A document that loses all its words goes.
     """
     ship(docs.sparkSession)
-    marks = settle(duplicate_windows(docs), "sub-marks").withColumnRenamed("doc", "_doc").withColumnRenamed("marks", "_marks")
+    marks = settle(duplicate_windows(docs), "sub-marks").withColumnRenamed("doc", "__cut_doc").withColumnRenamed("marks", "__cut_marks")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
@@ -248,9 +248,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             out.append(rest or None if gone.any() else t)
         return pd.Series(out, dtype=object)
 
-    both = docs.join(marks, F.col("doc_id") == F.col("_doc"), "left").withColumn("_cut", cut("text", "_marks"))
-    both = both.filter(F.col("text").isNull() | F.col("_cut").isNotNull())
-    return both.select(*[F.col("_cut").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    both = docs.join(marks, F.col("doc_id") == F.col("__cut_doc"), "left").withColumn("__cut_text", cut("text", "__cut_marks"))
+    both = both.filter(F.col("text").isNull() | F.col("__cut_text").isNotNull())
+    return both.select(*[F.col("__cut_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def _query(spark, sf_dir):
