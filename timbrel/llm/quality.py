@@ -22,7 +22,7 @@ from .ngrams import by_hash, document_frequency, idf_of, sample_vectors
 
 ORDERS, BITS = (2, 3), 12
 #: Labelled texts of each class, at most; dimensions; voters; power of a similarity in the vote.
-PER_CLASS, DIMENSIONS, NEIGHBOURS, POWER = 1200, 48, 25, 4
+PER_CLASS, DIMENSIONS, NEIGHBOURS, POWER = 1200, 64, 7, 16
 #: Score from which a document is kept.
 THRESHOLD = 0.3
 #: Documents whose cosines are computed at once.
