@@ -5,8 +5,9 @@ the pigeonhole principle two signatures within the distance threshold agree, in
 for a few symbols. Every way to leave out that many symbols gives a key, so all pairs under the
 threshold share a key. Candidates are confirmed on full sets; components come from confirmed links.
 
-Keys are searched in rounds, so that a large group of near copies is not spelled out pair by pair:
-first each text meets one other, then, between different components only, ever more.
+Pairs are spelled out only for keys with few members. A larger key ties its members to one of
+them, so that candidates fall into clusters; a cluster's full sets are compared in blocks, all
+against all, by products of incidence matrices, and a block returns no more than a forest of its links.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, ship, table
@@ -33,8 +34,10 @@ SYMBOLS, BITS = 48, 16
 #: than this with a probability of about 4e-6.
 DISTANCE = 26
 CHUNKS = (6, 5, 5, 6, 5, 5, 6, 5, 5)
-#: Members of a key that meet all others, round by round; later rounds go on by the last factor.
-CENTRES = (16, 512, 16384)
+#: Members up to which a key's pairs are spelled out; texts of a block.
+FEW, BLOCK = 4, 1024
+#: Columns of an incidence matrix that are multiplied at a time.
+_COLUMNS = 4096
 
 
 @lru_cache(maxsize=1)
@@ -108,7 +111,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 64):
             c = b.slice(at, 64)
             s = [shingle_set(t.as_py(), SHINGLE).view(np.int64) for t in c.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.list_(pa.int64()))], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.list_(pa.int64())), c.column(2), c.column(3)], ["id", "set", "cluster", "blocks"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,24 +123,61 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
 
-class _Confirm:
-    """Confirms candidate pairs: sizes and signatures first, then full sets."""
-
-    def __init__(self, reps: DataFrame, sets: DataFrame):
-        self.reps, self.sets = reps, sets
-
-    def __call__(self, pairs: DataFrame, sift: bool = True) -> DataFrame:
-        p = pairs
-        if sift:
-            r = self.reps.select("id", "n", "sig")
-            p = p.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-            p = p.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-            p = p.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-            p = p.mapInArrow(_near, "a long, b long")
-        p = p.join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        p = p.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        both = F.size(F.array_intersect("x", "y"))
-        return p.filter(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
+def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between texts; where two sides meet, only links across count."""
+    m = len(ids)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    words, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # what only one text has adds to no intersection
+    row = np.repeat(np.arange(m), size)
+    keep = times[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((m, m), dtype=np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, (low, low + _COLUMNS))
+        x = np.zeros((m, _COLUMNS), dtype=np.float32)
+        x[row[a:b], column[a:b] - low] = 1.0
+        both += x @ x.T  # counts stay exact below 2^24
+    near = 100 * both.astype(np.int64) >= SIMILARITY * (size[:, None] + size[None, :] - both.astype(np.int64))
+    if side.any() and not side.all():
+        near &= side[:, None] != side[None, :]
+    np.fill_diagonal(near, True)
+    label = np.arange(m)
+    while True:
+        low = np.where(near, label[None, :], m).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    child = np.flatnonzero(label != np.arange(m))
+    return ids[child], ids[label[child]]
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group of rows (cluster, low, high, block, id, set), which come group by group."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    group = None
+
+    def links() -> Iterator[pa.RecordBatch]:
+        # texts that are repeated under one id count once
+        rows = list({x[0]: x for x in held}.values())
+        if len(rows) > 1:
+            a, b = block_links(np.array([x[0] for x in rows], dtype=np.int64), [x[2] for x in rows], np.array([x[1] != group[1] for x in rows]))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(5)]
+        sets = batch.column(5)
+        for k, (cluster, low, high, block, i) in enumerate(zip(*cols, strict=True)):
+            if (cluster, low, high) != group:
+                yield from links()
+                held.clear()
+                group = (cluster, low, high)
+            held.append((i, block, np.asarray(sets[k].values).copy()))
+    yield from links()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -165,53 +205,27 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     keyed = reps.select("id", "sig").mapInArrow(_explode_keys, "key long, id long")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = settle(keyed.join(shared, "key"), "near-keys")
-    some = reps.join(members.select("id").distinct(), "id").select("id", F.col("th").alias("_th"))
-    texts = docs.join(some, (docs["doc_id"] == some["id"]) & (docs["th"] == some["_th"])).dropDuplicates(["doc_id", "th"])
-    sets = settle(texts.select("id", "text").mapInArrow(_sets, "id long, set array<long>"), "near-sets")
-    confirm = _Confirm(reps, sets)
-
-    # each text meets the one text before all others among those that share a key with it
-    first = members.groupBy("key").agg(F.min(_order("id")).alias("c"))
-    one = members.join(first, "key").filter(F.col("id") != F.col("c.id")).groupBy("id").agg(F.min("c").alias("c"))
-    one = settle(one.select("id", F.col("c.id").alias("c")), "near-pairs")
-    tested = one.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
-    up = one.join(settle(confirm(tested, sift=False), "near-links"), (F.least("id", "c") == F.col("a")) & (F.greatest("id", "c") == F.col("b"))).select("id", "c", "a", "b")
-    up = settle(up.distinct(), "near-links")
-    links = up.select("a", "b")
-    # these links lead from later to earlier texts; following them a few times joins most of a group
-    comp = up.select("id", F.col("c").alias("comp"))
-    for _ in range(2):
-        comp = comp.join(comp.select(F.col("id").alias("comp"), F.col("comp").alias("then")), "comp", "left").select("id", F.coalesce("then", "comp").alias("comp"))
-    comp = settle(comp, "near-components")
-    done, k, whole = 1, 0, False
-    while True:
-        most = CENTRES[k] if k < len(CENTRES) else done * CENTRES[-1] // CENTRES[-2]
-        k += 1
-        labelled = members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        sizes = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        sizes = sizes.filter((F.col("lo") < F.col("hi")) & (F.col("n") > done)).select("key", "n")
-        live = settle(labelled.join(sizes, "key"), "near-open")
-        if live.isEmpty():
-            break
-        w = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        centre = live.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
-        centre = centre.select("key", F.col("id").alias("c"), F.col("comp").alias("cc"))
-        pairs = live.join(centre, "key").filter("comp <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = settle(confirm(pairs), "near-links")
-        # keys that are not larger than this round's limit are through
-        left = live.filter(F.col("n") > most).select("key", "id")
-        links, whole = links.unionByName(found), False
-        if left.isEmpty():
-            break
-        comp, whole = settle(connected_components(links), "near-components"), True
-        tested, members, done = tested.unionByName(pairs), left, most
-    return comp if whole else settle(connected_components(links), "near-components")
-
-
-def _order(c: str):
-    """Any fixed order of texts that is not the ids' own."""
-    return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+    keys = settle(members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("c")).select("key", "n", F.col("c.id").alias("c")), "near-centres")
+    few = members.join(keys.filter(F.col("n") <= FEW).select("key"), "key")
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    r = reps.select("id", "n", "sig")
+    pairs = pairs.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+    pairs = pairs.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+    pairs = pairs.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+    many = members.join(keys.filter(F.col("n") > FEW).select("key", "c"), "key").select(F.col("id").alias("a"), F.col("c").alias("b")).filter("a <> b").distinct()
+    clusters = settle(connected_components(pairs.unionByName(many)), "near-clusters").withColumnRenamed("comp", "cluster")
+
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    some = reps.join(clusters.join(blocks, "cluster"), "id").select(F.col("id"), F.col("th").alias("_th"), "cluster", "blocks")
+    texts = docs.join(some, (docs["doc_id"] == some["id"]) & (docs["th"] == some["_th"]))
+    sets = settle(texts.select("id", "text", "cluster", "blocks").mapInArrow(_sets, "id long, set array<long>, cluster long, blocks long"), "near-sets")
+    block = F.pmod(F.xxhash64(F.lit(1), "id"), "blocks")
+    dealt = sets.select("cluster", block.alias("block"), "id", "set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "set")
+    dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
+    links = dealt.mapInArrow(_confirm, "a long, b long")
+    return settle(connected_components(links), "near-components")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -220,8 +234,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that repeat a kept doc_id stay only if they are kept themselves; of rows that are alike
     in doc_id and text, all stay.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def _query(spark, sf_dir):
