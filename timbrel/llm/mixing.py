@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, settle, table
+from .common import WORD, discard, ranked, settle, table
 
 #: Bits of the hash, and bits refined at a time.
 HASH_BITS, LEVEL_BITS = 60, 12

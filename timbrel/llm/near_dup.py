@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship, table
+from .common import discard, settle, ship, table
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -35,7 +35,7 @@ SYMBOLS, BITS = 48, 16
 DISTANCE = 26
 CHUNKS = (6, 5, 5, 6, 5, 5, 6, 5, 5)
 #: Members up to which a key's pairs are spelled out; texts of a block.
-FEW, BLOCK = 4, 1024
+FEW, BLOCK = 4, 512
 #: Columns of an incidence matrix that are multiplied at a time.
 _COLUMNS = 4096
 
@@ -214,8 +214,9 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     pairs = pairs.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     pairs = pairs.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
     many = members.join(keys.filter(F.col("n") > FEW).select("key", "c"), "key").select(F.col("id").alias("a"), F.col("c").alias("b")).filter("a <> b").distinct()
-    clusters = settle(connected_components(pairs.unionByName(many)), "near-clusters").withColumnRenamed("comp", "cluster")
-
+    clusters = settle(connected_components(pairs.unionByName(many)), "near-clusters")
+    discard(members, keys)
+    clusters = clusters.withColumnRenamed("comp", "cluster")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     some = reps.join(clusters.join(blocks, "cluster"), "id").select(F.col("id"), F.col("th").alias("_th"), "cluster", "blocks")
     texts = docs.join(some, (docs["doc_id"] == some["id"]) & (docs["th"] == some["_th"]))
@@ -225,7 +226,9 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "set")
     dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
     links = dealt.mapInArrow(_confirm, "a long, b long")
-    return settle(connected_components(links), "near-components")
+    comp = settle(connected_components(links), "near-components")
+    discard(sets)
+    return comp
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship, table
+from .common import discard, settle, ship, table
 from .fm_index import FMIndex
 from .shingles import mix, windows, word_hashes
 
@@ -210,7 +210,9 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     verdict = ctxs.select("key", "ctx", F.col("doc").alias("least")).join(masks, ["key", "ctx"], "left")
     every = F.expr("shiftleft(1L, many) - 1")
     marks = found.join(verdict, ["key", "ctx"]).select("doc", "first", F.when(F.col("doc") > F.col("least"), every).otherwise(F.coalesce("mask", F.lit(0).cast("long"))).alias("mask"))
-    return marks.filter("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    marks = settle(marks.filter("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("marks")), "sub-marks")
+    discard(found, ctxs, routed)
+    return marks
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -220,7 +222,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     nothing and no other row loses anything for it. Rows that share a doc_id are taken for the
     same document.
     """
-    marks = settle(duplicate_windows(docs), "sub-marks")
+    marks = duplicate_windows(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_squeezed, "doc_id long, z binary")
     both = texts.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", "marks")
     return both.mapInArrow(_result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -233,7 +235,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A document that loses all its words goes.
     """
     ship(docs.sparkSession)
-    marks = settle(duplicate_windows(docs), "sub-marks").withColumnRenamed("doc", "__cut_doc").withColumnRenamed("marks", "__cut_marks")
+    marks = duplicate_windows(docs).withColumnRenamed("doc", "__cut_doc").withColumnRenamed("marks", "__cut_marks")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship, table
+from .common import discard, settle, ship, table
 from .shingles import mix
 from .suffix_array import repeated_starts
 
@@ -250,7 +250,9 @@ def repeated_strings(rows: DataFrame) -> DataFrame:
     spans = spans.unionByName(large.join(twice, "route").select("key", "ctx", F.col("offset").alias("low"), F.col("offset").alias("high")))
     once = ctxs.filter("n = 1").join(spans, ["key", "ctx"]).select("doc", "th", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
     again = found.join(ctxs.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select("doc", "th", F.col("first").alias("low"), (F.col("first") + F.col("many") - 1).alias("high"))
-    return once.unionByName(again).groupBy("doc", "th").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
+    marks = settle(once.unionByName(again).groupBy("doc", "th").agg(F.collect_list(F.struct("low", "high")).alias("marks")), "suffix-marks")
+    discard(found, ctxs, routed)
+    return marks
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -261,7 +263,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    marks = settle(repeated_strings(rows), "suffix-marks").withColumnRenamed("th", "_th")
+    marks = repeated_strings(rows).withColumnRenamed("th", "_th")
     both = rows.mapInArrow(_squeezed, "doc_id long, th long, z binary").join(marks, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("_th")), "left")
     return both.select("doc_id", "z", "marks").mapInArrow(_result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
