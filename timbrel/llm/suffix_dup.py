@@ -26,7 +26,7 @@ from .shingles import mix
 from .suffix_array import repeated_starts
 
 #: Bytes of a string, and of the runs among which its minimiser is chosen.
-LENGTH, RUN = 400, 48
+LENGTH, RUN = 400, 256
 SPAN = LENGTH - RUN + 1
 #: Contexts of one minimiser that stay together; larger groups are counted by string. Bytes of a shard.
 TOGETHER, SHARD = 1500, 2_000_000
