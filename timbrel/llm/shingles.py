@@ -7,8 +7,10 @@ import xxhash
 
 MASK = (1 << 64) - 1
 #: Words whose hash is kept.
-CACHE = 500_000
+CACHE = 200_000
 _known: dict[bytes, bytes] = {}
+#: Odd factors of a window's places.
+_FACTORS = [(0xD6E8FEB86659FD93 * (2 * k + 1) ** 3 + 2 * k * 0x9E3779B97F4A7C15 | 1) & MASK for k in range(16)]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -36,10 +38,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every window of ``n`` word hashes."""
     m = len(h) - n + 1
-    out = np.full(max(m, 0), 0x9E3779B97F4A7C15 * n & MASK, dtype=np.uint64)
-    for k in range(n if m > 0 else 0):
-        mul = np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1) * (k + 7) | 1) & MASK)
-        out += mix(h[k : k + m] * mul + np.uint64(k))
+    if m <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    # word hashes are even already: their sum with odd factors by place needs mixing only at the end
+    out = h[:m] * np.uint64(_FACTORS[0])
+    for k in range(1, n):
+        out += h[k : k + m] * np.uint64(_FACTORS[k % len(_FACTORS)] * (1 + 2 * (k // len(_FACTORS))) & MASK)
+    out += np.uint64(0x9E3779B97F4A7C15 * n & MASK)
     return mix(out)
 
 

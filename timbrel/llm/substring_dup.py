@@ -39,21 +39,23 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         e = np.zeros(0, np.int64)
         return e.view(np.uint64), e.view(np.uint64), e, e
     g = windows(h, RUN)
-    low, at = g[:n].copy(), np.zeros(n, np.int64)
-    for k in range(1, SPAN):  # the leftmost of the least
-        x = g[k : k + n]
-        less = x < low
-        low[less] = x[less]
-        at[less] = k
-    at += np.arange(n)
+    # the leftmost of the least: windows double in length, then two overlap
+    low, at, length = g, np.arange(len(g), dtype=np.int32), 1
+    while length < SPAN:
+        step = min(length, SPAN - length)
+        m = len(low) - step
+        left, right = low[:m], low[step:]
+        at = np.where(right < left, at[step:], at[:m])
+        low = np.minimum(left, right)
+        length += step
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     many = np.diff(np.append(first, n))
     # hash of the words [first, first + many + WINDOW - 1) by prefix sums of a polynomial
     power = [p[: len(h)] for p in _powers(len(h))]
-    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h) * power[1], dtype=np.uint64)))
+    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[1], dtype=np.uint64)))
     end = first + many + WINDOW - 1
     ctx = mix((run[end] - run[first]) * power[0][first] + many.astype(np.uint64) * np.uint64(31) + (at[first] - first).astype(np.uint64))
-    return low[first], ctx, first, many
+    return low[first], ctx, first, many  # low is the minimiser's own hash
 
 
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -194,9 +196,10 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     """(doc, marks): first word and bits of the windows that a document with a smaller doc_id holds too."""
     ship(docs.sparkSession)
     docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.mapInArrow(_anchor_rows, "key long, ctx long, doc long, first int, many int")
-    shared = found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
-    found = settle(found.join(shared, "key"), "sub-anchors")
+    every = settle(docs.mapInArrow(_anchor_rows, "key long, ctx long, doc long, first int, many int"), "sub-all-anchors")
+    shared = every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
+    found = settle(every.join(shared, "key"), "sub-anchors")
+    discard(every)
     ctxs = found.groupBy("key", "ctx").agg(F.min(F.struct("doc", "first", "many")).alias("m"))
     ctxs = settle(ctxs.select("key", "ctx", "m.*"), "sub-contexts")
     several = ctxs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > TOGETHER).alias("large"))
@@ -208,8 +211,8 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     masks = routed.repartition(shards, "route").mapInArrow(_search, "key long, ctx long, mask long")
     masks = masks.groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask"))
     verdict = ctxs.select("key", "ctx", F.col("doc").alias("least")).join(masks, ["key", "ctx"], "left")
-    every = F.expr("shiftleft(1L, many) - 1")
-    marks = found.join(verdict, ["key", "ctx"]).select("doc", "first", F.when(F.col("doc") > F.col("least"), every).otherwise(F.coalesce("mask", F.lit(0).cast("long"))).alias("mask"))
+    whole = F.expr("shiftleft(1L, many) - 1")
+    marks = found.join(verdict, ["key", "ctx"]).select("doc", "first", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("long"))).alias("mask"))
     marks = settle(marks.filter("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("marks")), "sub-marks")
     discard(found, ctxs, routed)
     return marks

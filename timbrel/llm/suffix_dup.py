@@ -230,9 +230,10 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_strings(rows: DataFrame) -> DataFrame:
     """(doc, th, marks): ranges of starts of strings that start anywhere else too; ``rows``: doc_id, th, text."""
-    found = rows.mapInArrow(_anchor_rows, "key long, ctx long, doc long, th long, first long, many int")
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    found = settle(found.join(shared, "key"), "suffix-anchors")
+    every = settle(rows.mapInArrow(_anchor_rows, "key long, ctx long, doc long, th long, first long, many int"), "suffix-all-anchors")
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    found = settle(every.join(shared, "key"), "suffix-anchors")
+    discard(every)
     ctxs = found.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "first", "many")).alias("m"))
     ctxs = settle(ctxs.select("key", "ctx", "n", "m.*"), "suffix-contexts")
     # a context met once may share strings with another of its minimiser
