@@ -19,7 +19,7 @@ from .ngrams import by_hash, counts, document_frequency, idf_of, sample_vectors,
 
 ORDERS, BITS = (1, 2, 3), 13
 #: Training texts of each language, at most, and of all (20 of each at least); every fifth of them calibrates.
-PER_LANGUAGE, MOST = 1000, 8000
+PER_LANGUAGE, MOST = 500, 4000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -92,7 +92,7 @@ def train(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     df, n = document_frequency(learn, ORDERS, BITS, True)
     idf = idf_of(df, n)
     code = {y: i for i, y in enumerate(labels)}
-    rows = [(code[y], at, tfidf(at, c, idf)) for _, y, at, c in sample_vectors(picked, ORDERS, BITS, True)]
+    rows = [(code[y], at, tfidf(at, c, idf).astype(np.float32)) for _, y, at, c in sample_vectors(picked, ORDERS, BITS, True)]
     left = rows[4::5]
     fit = [r for i, r in enumerate(rows) if i % 5 != 4]
     w, b = train_ftrl(fit, len(labels), 1 << BITS)

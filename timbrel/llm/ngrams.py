@@ -94,7 +94,7 @@ def sample_vectors(sample: DataFrame, orders: tuple[int, ...], bits: int, lower:
     got = sample.select("key", "label", "text").mapInArrow(run, f"key long, label {kind['label']}, at array<int>, n array<long>")
     rows = got.toPandas()
     rows = rows.sort_values("key", kind="stable")
-    return [(k, y, np.asarray(a, dtype=np.int64), np.asarray(n)) for k, y, a, n in rows.itertuples(index=False, name=None)]
+    return [(k, y, np.asarray(a, dtype=np.int32), np.asarray(n)) for k, y, a, n in rows.itertuples(index=False, name=None)]
 
 
 def by_hash(rows: DataFrame, label: str, per_label: int) -> DataFrame:
