@@ -28,8 +28,9 @@ from .common import ship, table
 TIERS = (2048, 1024, 512, 256)
 #: Tokens of rests held before a pool is packed, and of one step group.
 POOL_TOKENS, STEP_TOKENS = 1 << 20, 1 << 17
-#: Chunks of text kept with their ids.
-CACHE = 700_000
+#: Chunks of text kept with their ids, with and without marks at their ends. A worker keeps
+#: these for all its tasks, beside what other operators keep, so they are held small.
+CACHE, CORES = 150_000, 400_000
 #: Marks after an ASCII letter that end a chunk; the tokenizer splits before them.
 _MARKS = re.compile(rb"(?<=[A-Za-z])[.,!?;:*$%&#]+$")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens int, tier int, step_group long"
@@ -67,7 +68,7 @@ class Encoder:
         return [b"".join([known[w] for w in ws]) for ws in words]
 
     def learn(self, new: set[bytes]) -> None:
-        if len(self.cores) > CACHE:
+        if len(self.cores) > CORES:
             self.cores.clear()
         known, cores, marks = self.known, self.cores, _MARKS.search
         parts = []
