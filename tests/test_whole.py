@@ -53,3 +53,40 @@ def test_char_ratio_of_every_candidate(spark, small):
 @pytest.mark.parametrize("name", ["bag_f1", "weighted_overlap", "bigram_overlap", "match_score_no_char", "best_and_runner_up", "match_accept"])
 def test_scores_of_every_language(spark, small, name):
     assert {r.doc_id for r in QUERIES[f"{name}_whole"](spark, small).collect()} == {x[0] for x in brute_candidates()}
+
+
+def brute_votes(sources, corpus, k):
+    n, toks = len(corpus), {i: fold(t) for i, t in corpus}
+    df = {t: sum(t in v for v in toks.values()) for t in {t for v in toks.values() for t in v}}
+    idf = {t: round(1 + math.log((n + 1) / (c + 1)), 4) for t, c in df.items() if len(t) >= 2}
+    anchor = lambda t: len(t) >= 2 and df.get(t, 0) / n <= 0.08
+    out = set()
+    for s, text in sources:
+        src = fold(text)
+        if not src:
+            continue
+        points = {}
+        for t in sorted({t for t in src if anchor(t)}, key=lambda t: (-idf.get(t, 0), t))[:10]:
+            for i in (i for i, v in toks.items() if t in v):
+                points[i] = points.get(i, 0) + round(180000 * idf[t])
+        for g in list(dict.fromkeys(g for g in zip(src, src[1:]) if anchor(g[0]) and anchor(g[1])))[:8]:
+            for i in (i for i, v in toks.items() if g in zip(v, v[1:])):
+                points[i] = points.get(i, 0) + 240000
+        if len(points) < 20:
+            for t in list(dict.fromkeys(src))[:12]:
+                for i in (i for i, v in toks.items() if t in v):
+                    points[i] = points.get(i, 0) + 35000
+        ranked = sorted(points, key=lambda i: (-points[i], abs(len(toks[i]) - len(src)), i))[:k] if points else sorted(toks)
+        out |= {(s, i, points.get(i, 0), p + 1) for p, i in enumerate(ranked)}
+    return out
+
+
+def test_votes_with_bigrams_and_fallbacks(spark, tmp_path):
+    words = [f"w{k}" for k in range(120)]
+    items = [(i, " ".join(words[(7 * i + 3 * j) % 120] for j in range(6 + i % 5)) + " the") for i in range(60)]
+    docs = [(1, items[9][1]), (2, "w1 unknown w4 the x"), (3, "nothing known here"), (4, ""), (5, " ".join(words)), (6, "the the the"), (7, "w0 w3 w6 w9 zz")]
+    spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.doc_id, r.item_id, r.points, r.place) for r in QUERIES["voted_candidates"](spark, str(tmp_path)).collect()}
+    assert got == brute_votes(docs, items, 80)
+    assert sum(x[0] == 3 for x in got) == 60 and not any(x[0] == 4 for x in got)

@@ -537,6 +537,27 @@ def char_ratio(spark, d):
     return cand.join(a, "doc_id").join(b, "item_id").select("doc_id", "item_id", X.char_ratio("a", "b").alias("ratio"))
 
 
+def _sides(spark, d):
+    """(doc_id, tokens) of all documents, (item_id, tokens) of all items."""
+    of = lambda name, key: table(spark, d, name).select(key, X.words(X.fold_latin(F.col("text"))).alias("tokens"))
+    return of("documents", "doc_id"), of("benchmark", "item_id")
+
+
+def _corpus(corpus, key):
+    """idf and common tokens of a corpus."""
+    n = corpus.count()
+    df = retrieval.document_frequency(corpus.select(key, F.explode("tokens").alias("token")), key)
+    return retrieval.with_idf(df, n), retrieval.common_tokens(df, n)
+
+
+@query()
+def voted_candidates(spark, d):
+    """The 80 items with the most votes for each document of any language."""
+    docs, items = _sides(spark, d)
+    idf, common = _corpus(items, "item_id")
+    return retrieval.voted_candidates(docs, items, idf, "doc_id", "item_id", 80, common)
+
+
 @query()
 def normalise_arabic(spark, d):
     return table(spark, d, "benchmark").select("item_id", X.fold_arabic(F.concat(F.lit("قُلْ هُوَ ٱللَّهُ أَحَدٌ "), F.col("item_id").cast("string"))).alias("folded"))
