@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.lexicons import LATIN
-from .operators import catalog, folds, intervals, retrieval, scoring
+from .operators import catalog, folds, intervals, matching, retrieval, scoring
 from .plans import clips, schedule
 from .sources import readers, sinks
 from .sources.readers import segments, table
@@ -558,6 +558,15 @@ def voted_candidates(spark, d):
     return retrieval.voted_candidates(docs, items, idf, "doc_id", "item_id", 80, common)
 
 
+@query()
+def item_best_match(spark, d):
+    """Each benchmark item's best document of any language, whole or a span of it."""
+    docs, items = _sides(spark, d)
+    idf, common = _corpus(docs, "doc_id")
+    cand = retrieval.voted_candidates(items, docs, idf, "item_id", "doc_id", 80, common)
+    return matching.best_matches(items, docs, cand, idf, "item_id", "doc_id", common)
+
+
 @query()
 def normalise_arabic(spark, d):
     return table(spark, d, "benchmark").select("item_id", X.fold_arabic(F.concat(F.lit("قُلْ هُوَ ٱللَّهُ أَحَدٌ "), F.col("item_id").cast("string"))).alias("folded"))
