@@ -110,3 +110,21 @@ def test_best_match_finds_a_passage_in_a_longer_row(spark):
     # as in the reference, the span of a whole row is its own runner-up, so there is no margin
     assert (got[2].c, got[2].mode, got[2].start, got[2].score, got[2].next_score, got[2].accepted) == (3, "full", None, 1.0, 1.0, False)
     assert not got[3].accepted and got[3].wo == 0.0
+
+
+def _segments(spark, tmp_path, docs):
+    spark.createDataFrame([(i, "\n".join(lines)) for i, lines in docs], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_adjacent_repeats_compare_whole_texts(spark, tmp_path):
+    d = _segments(spark, tmp_path, [(1, ["same line", "same line", "same land", "same land", "x"]), (2, ["ab", "abc", "abc", "abc", "ab"])])
+    got = sorted((r.doc_id, r.idx, r.text) for r in QUERIES["adjacent_dedup_whole"](spark, d).collect())
+    assert got == [(1, 0, "same line"), (1, 2, "same land"), (1, 4, "x"), (2, 0, "ab"), (2, 1, "abc"), (2, 4, "ab")]
+
+
+def test_words_of_every_clip(spark):
+    from .conftest import SF
+
+    clips = QUERIES["clip_candidates"](spark, SF).select("doc_id", "place").distinct()
+    assert {tuple(r) for r in QUERIES["clip_words_whole"](spark, SF).select("doc_id", "place").distinct().collect()} == {tuple(r) for r in clips.collect()}

@@ -173,6 +173,13 @@ def adjacent_dedup(spark, d):
     return folds.drop_adjacent_repeats(s, 15)
 
 
+@query()
+def adjacent_dedup_whole(spark, d):
+    """Whole segments on the same slowed clock; next to it, the query above cuts each text to three characters."""
+    s = _seg(spark, d).select("doc_id", "idx", "text", F.floor(F.col("start_c") / 10).cast("long").alias("start_c"), F.floor(F.col("end_c") / 10).cast("long").alias("end_c"))
+    return folds.drop_adjacent_repeats(s, 15)
+
+
 @query("WITH RECURSIVE " + SEG + """, r AS (
   SELECT doc_id, idx, CAST(0 AS BIGINT) AS chunk, CAST(1 AS BIGINT) AS n, CAST(length(text) + 4 AS BIGINT) AS c FROM seg WHERE idx = 0
   UNION ALL
@@ -293,6 +300,13 @@ def clip_words(spark, d):
     return intervals.clamp_words(_clips(spark, d).filter("place = 0"), w).select("doc_id", "place", "word", "word_start", "word_end")
 
 
+@query(ORACLES["clip_words"].replace("k.place = 0 AND ", ""))
+def clip_words_whole(spark, d):
+    """The words of every clip."""
+    w = clips.word_times(_seg(spark, d)).withColumnsRenamed({"word_start": "start_c", "word_end": "end_c"})
+    return intervals.clamp_words(_clips(spark, d), w).select("doc_id", "place", "word", "word_start", "word_end")
+
+
 # --- scores ------------------------------------------------------------------------------
 
 _IN = lambda items: "(" + ", ".join(f"'{x}'" for x in items) + ")"
@@ -681,6 +695,15 @@ def active_job_guard(spark, d):
     return catalog.without_active_job(j.filter("event_id % 10 = 0"), j.filter("event_id % 10 <> 0"), ["clip_id", "account"], ["cancelled", "failed", "posted"]).select("event_id", "clip_id", "account")
 
 
+@query("WITH " + JOBS + """, half AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS t FROM jobs) SELECT event_id, clip_id, account FROM jobs j, half WHERE j.ts >= half.t
+AND NOT EXISTS (SELECT 1 FROM jobs a WHERE a.clip_id = j.clip_id AND a.account = j.account AND a.ts < half.t AND a.status NOT IN ('cancelled', 'failed', 'posted'))""")
+def active_job_guard_whole(spark, d):
+    """All events: those of the later half of the time are judged by those before."""
+    j = _jobs(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    j = j.crossJoin(j.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("half")))
+    return catalog.without_active_job(j.filter("ts >= half"), j.filter("ts < half"), ["clip_id", "account"], ["cancelled", "failed", "posted"]).select("event_id", "clip_id", "account")
+
+
 @query("WITH " + POOL + """, r AS (SELECT clip_id, source, md5('7|' || CAST(clip_id AS VARCHAR)) AS rnd FROM pool WHERE status = 'approved'), k AS (SELECT *, CASE WHEN coalesce(source, '') <> '' AND row_number() OVER (PARTITION BY source ORDER BY rnd, clip_id) = 1 THEN 0 ELSE 1 END AS again FROM r)
 SELECT clip_id, source, row_number() OVER (ORDER BY again, rnd, clip_id) AS place FROM k QUALIFY place <= 30""")
 def diverse_pick(spark, d):
