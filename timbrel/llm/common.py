@@ -6,13 +6,19 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch, where the session doesn't name another number than the usual.
+BATCH_ROWS = 2000
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -29,15 +35,36 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
     if _ROOT not in sys.path:
         sys.path.insert(0, _ROOT)
+    # ten thousand long texts in one batch would fill a worker
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``most`` bytes in one column; each row stays whole."""
+    for b in batches:
+        at, held = 0, 0
+        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_pylist()
+        for i, n in enumerate(sizes):
+            if held and held + n > most:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < b.num_rows:
+            yield b.slice(at)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary one is made.
+    Only where the session names none on one machine (tests) a temporary one is made; on a
+    cluster that would be a folder that other machines can't see, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="timbrel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -85,7 +112,6 @@ def ranked(df: DataFrame, order: list[Column], what: str, partitions: int | None
     for p, n in counts:
         starts.append((p, first))
         first += n
-    if not starts:
-        return done.withColumn("rank", F.lit(0).cast("long")).drop("_at")
-    lookup = F.create_map(*[F.lit(x) for pair in starts for x in pair])
-    return done.withColumn("rank", lookup[part].cast("long") + row).drop("_at")
+    # one row for each partition
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "_p long, _first long"))
+    return done.join(starts, part == F.col("_p")).withColumn("rank", F.col("_first") + row).drop("_at", "_p", "_first")
