@@ -88,6 +88,23 @@ def discard(*settled: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(settled: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A settled narrow table, marked for broadcast if it has no more than ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(settled) if settled.count() <= rows else settled
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """(_many): values of doc_id under which different texts stand. Settled; empty as a rule."""
+    ids = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_many"), F.xxhash64("text").alias("th"))
+    return settle(ids.groupBy("_many").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo < hi").select("_many"), "repeated-ids")
+
+
+def with_version(docs: DataFrame, repeated: DataFrame, doc_id: str = "doc_id", name: str = "version") -> DataFrame:
+    """Add a number that tells rows of one doc_id with different texts apart; 0 where there is but one text."""
+    both = docs.join(sized(repeated), F.col(doc_id).cast("long") == F.col("_many"), "left")
+    return both.withColumn(name, F.when(F.col("_many").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("_many")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,6 +13,11 @@ _known: dict[bytes, bytes] = {}
 _FACTORS = [(0xD6E8FEB86659FD93 * (2 * k + 1) ** 3 + 2 * k * 0x9E3779B97F4A7C15 | 1) & MASK for k in range(16)]
 
 
+def forget() -> None:
+    """Free what is kept; for the end of a task, as the worker's next may be another operator's."""
+    _known.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word; a word's hash is the same in every process."""
     known = _known

@@ -12,17 +12,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, ship, table
+from .common import discard, repeated_ids, settle, ship, table, with_version
 from .fm_index import FMIndex
-from .shingles import mix, windows, word_hashes
+from .shingles import forget, mix, windows, word_hashes
 
 #: Words of a window, and of the runs among which its minimiser is chosen.
 WINDOW, RUN = 13, 5
@@ -58,35 +59,45 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return low[first], ctx, first, many  # low is the minimiser's own hash
 
 
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+#: Powers of the hash's base and of its inverse that a worker keeps.
+KEPT = 1 << 13
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the inverse base and of the base (mod 2^64)."""
-    if len(_POWERS[0]) < n:
-        size = max(1024, 2 * n)
-        for k, b in enumerate((_INVERSE, _BASE)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+def _powers_to(n: int) -> list[np.ndarray]:
+    out = []
+    for b in (_INVERSE, _BASE):
+        p = np.full(n, b, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out
+
+
+@lru_cache(maxsize=1)
+def _kept() -> list[np.ndarray]:
+    return _powers_to(KEPT)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the inverse base and of the base (mod 2^64); those of a very long text aren't kept."""
+    return _kept() if n <= KEPT else _powers_to(n)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 128):
             c = b.slice(at, 128)
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, t in zip(c.column(0).to_pylist(), c.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for i, version, t in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), c.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = t.split() if t else []
                 if len(words) >= WINDOW:
                     key, ctx, first, many = anchors(word_hashes(words))
-                    for x, v in zip(out, (key.view(np.int64), ctx.view(np.int64), np.full(len(key), i, np.int64), first.astype(np.int32), many.astype(np.int32)), strict=True):
+                    for x, v in zip(out, (key.view(np.int64), ctx.view(np.int64), np.full(len(key), i, np.int64), np.full(len(key), version, np.int64), first.astype(np.int32), many.astype(np.int32)), strict=True):
                         x.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "ctx", "doc", "first", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "ctx", "doc", "version", "first", "many"])
+    forget()
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +105,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
             c = b.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([c.column(0), pa.array([z.compress(t or b"") for t in c.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([z.compress(t or b"") for t in c.column(2).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "version", "z"])
 
 
 def _unsqueezed(z: bytes) -> bytes:
@@ -109,8 +120,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for x in todo:
                 first, many = x["first"], x["many"]
-                if first + many + WINDOW - 1 > len(words):
-                    continue  # another row of the same doc_id
                 if not x["large"]:
                     rows.append((x["key"], x["key"], x["ctx"], doc, 0, b" ".join(words[first : first + many + WINDOW - 1])))
                 else:
@@ -121,13 +130,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.int32(), pa.binary()], strict=True)], ["route", "key", "ctx", "doc", "offset", "words"]
                 )
+    forget()
 
 
 def search_shard(spans: list[bytes], docs: np.ndarray, block: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(span, window in it) of each window that an earlier document holds too, by an FM-index of all spans."""
     lists = [s.split() for s in spans]
     size = np.array([len(x) for x in lists])
-    flat = pd.factorize(np.array([w for x in lists for w in x], dtype=object))[0].astype(np.int64) + 1
+    flat = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     ends = np.cumsum(size)
     text = np.insert(flat, ends, 0)  # a separator, 0, after each span
     start = np.concatenate(([0], (ends + np.arange(1, len(ends) + 1))[:-1]))
@@ -193,27 +203,29 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def duplicate_windows(docs: DataFrame) -> DataFrame:
-    """(doc, marks): first word and bits of the windows that a document with a smaller doc_id holds too."""
-    ship(docs.sparkSession)
-    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = settle(docs.mapInArrow(_anchor_rows, "key long, ctx long, doc long, first int, many int"), "sub-all-anchors")
+    """(doc, version, marks): first word and bits of the windows that a document with a smaller doc_id holds too.
+
+    ``docs``: doc_id, version (see ``with_version``), text.
+    """
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    every = settle(docs.mapInArrow(_anchor_rows, "key long, ctx long, doc long, version long, first int, many int"), "sub-all-anchors")
     shared = every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
     found = settle(every.join(shared, "key"), "sub-anchors")
     discard(every)
-    ctxs = found.groupBy("key", "ctx").agg(F.min(F.struct("doc", "first", "many")).alias("m"))
+    ctxs = found.groupBy("key", "ctx").agg(F.min(F.struct("doc", "version", "first", "many")).alias("m"))
     ctxs = settle(ctxs.select("key", "ctx", "m.*"), "sub-contexts")
     several = ctxs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > TOGETHER).alias("large"))
-    todo = ctxs.join(several, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "first", "many", "large")).alias("todo"))
-    squeezed = docs.mapInArrow(_squeezed, "doc_id long, z binary")
-    routed = squeezed.join(todo, F.col("doc_id") == F.col("doc")).select("doc_id", "z", "todo")
+    todo = ctxs.join(several, "key").groupBy("doc", F.col("version").alias("_version")).agg(F.collect_list(F.struct("key", "ctx", "first", "many", "large")).alias("todo"))
+    squeezed = docs.mapInArrow(_squeezed, "doc_id long, version long, z binary")
+    routed = squeezed.join(todo, (F.col("doc_id") == F.col("doc")) & (F.col("version") == F.col("_version"))).select("doc_id", "z", "todo")
     routed = settle(routed.mapInArrow(_contexts, "route long, key long, ctx long, doc long, offset int, words binary"), "sub-routed")
     shards = max(1, -(-routed.count() // SHARD))
     masks = routed.repartition(shards, "route").mapInArrow(_search, "key long, ctx long, mask long")
     masks = masks.groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask"))
     verdict = ctxs.select("key", "ctx", F.col("doc").alias("least")).join(masks, ["key", "ctx"], "left")
     whole = F.expr("shiftleft(1L, many) - 1")
-    marks = found.join(verdict, ["key", "ctx"]).select("doc", "first", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("long"))).alias("mask"))
-    marks = settle(marks.filter("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("marks")), "sub-marks")
+    marks = found.join(verdict, ["key", "ctx"]).select("doc", "version", "first", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("long"))).alias("mask"))
+    marks = settle(marks.filter("mask <> 0").groupBy("doc", "version").agg(F.collect_list(F.struct("first", "mask")).alias("marks")), "sub-marks")
     discard(found, ctxs, routed)
     return marks
 
@@ -222,12 +234,16 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document.
 
     A null text is empty. A null doc_id is neither before nor after another: its row loses
-    nothing and no other row loses anything for it. Rows that share a doc_id are taken for the
-    same document.
+    nothing and no other row loses anything for it. Rows that share a doc_id lose nothing for one
+    another; each is cut by its own windows. Very long texts are taken whole. Only doc_id and
+    text are read, so other columns may bear any name.
     """
-    marks = duplicate_windows(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_squeezed, "doc_id long, z binary")
-    both = texts.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", "marks")
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_version(docs, repeated_ids(docs)).select("doc_id", "version", "text")
+    marks = duplicate_windows(docs).withColumnRenamed("version", "_version")
+    texts = docs.mapInArrow(_squeezed, "doc_id long, version long, z binary")
+    both = texts.join(marks, (F.col("doc_id") == F.col("doc")) & (F.col("version") == F.col("_version")), "left").select("doc_id", "z", "marks")
     return both.mapInArrow(_result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -238,24 +254,30 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A document that loses all its words goes.
     """
     ship(docs.sparkSession)
-    marks = duplicate_windows(docs).withColumnRenamed("doc", "__cut_doc").withColumnRenamed("marks", "__cut_marks")
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for t, m in zip(texts, marks, strict=True):
-            if m is None or t is None:
-                out.append(t)
-                continue
-            words = t.encode().split()
-            gone = _removed(len(words), [{"first": int(x["first"]), "mask": int(x["mask"])} for x in m])
-            rest = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode()
-            out.append(rest or None if gone.any() else t)
-        return pd.Series(out, dtype=object)
-
-    both = docs.join(marks, F.col("doc_id") == F.col("__cut_doc"), "left").withColumn("__cut_text", cut("text", "__cut_marks"))
-    both = both.filter(F.col("text").isNull() | F.col("__cut_text").isNotNull())
-    return both.select(*[F.col("__cut_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    repeated = repeated_ids(docs)
+    rows = with_version(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated).select("doc_id", "version", "text")
+    marks = duplicate_windows(rows).select(F.col("doc").alias("__cut_doc"), F.col("version").alias("__cut_text"), F.col("marks").alias("__cut_marks"))
+    named = with_version(docs, repeated, name="__cut_version")
+    both = named.join(marks, (F.col("doc_id") == F.col("__cut_doc")) & (F.col("__cut_version") == F.col("__cut_text")), "left")
+    names = docs.columns
+    at = names.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 128):
+                c = b.slice(k, 128)
+                texts = c.column(at).to_pylist()
+                for i, m in enumerate(c.column(c.num_columns - 1).to_pylist()):
+                    if m is not None and texts[i] is not None:
+                        words = texts[i].encode().split()
+                        gone = _removed(len(words), m)
+                        if gone.any():
+                            texts[i] = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() or None
+                stays = pa.compute.or_(c.column(at).is_null(), pa.array([t is not None for t in texts]))
+                cols = [c.column(j) if j != at else pa.array(texts, c.column(at).type) for j in range(c.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(stays)
+
+    return both.select(*docs.columns, "__cut_marks").mapInArrow(cut, docs.schema)
 
 
 def _query(spark, sf_dir):
