@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, settle, ship, table
 from .components import connected_components
-from .shingles import shingle_set
+from .shingles import forget, shingle_set
 
 #: Words of a shingle; least similarity in per cent.
 SHINGLE, SIMILARITY = 5, 75
@@ -94,6 +94,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "th", "n", "fp", "sig"])
+    forget()
 
 
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +113,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = b.slice(at, 64)
             s = [shingle_set(t.as_py(), SHINGLE).view(np.int64) for t in c.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.list_(pa.int64())), c.column(2), c.column(3)], ["id", "set", "cluster", "blocks"])
+    forget()
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +187,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with equal shingle sets are one class, searched once. Null and empty texts have no
     shingle and stand alone; so do rows with a null doc_id (component null, kept). Rows that
-    share a doc_id are judged each by its own text. An empty table gives none.
+    share a doc_id are judged each by its own text. An empty table gives none. Only doc_id and
+    text are read, so other columns may bear any name.
     """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The same with ``th``, a hash of the row's text."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     all_ = settle(docs.mapInArrow(_describe, "doc_id long, th long, n long, fp binary, sig binary"), "near-signatures")
     full = all_.filter("n > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = settle(reps.select("fp", F.col("m.doc_id").alias("id"), F.col("m.th").alias("th"), "n", "sig"), "near-classes")
-    comp = _components(docs, reps.dropDuplicates(["id"]))
-    classes = reps.join(comp, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("comp", "id").alias("component_id"))
-    out = all_.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
-    out = out.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a number of its own for each class: several may have the same smallest doc_id
+    reps = reps.select("fp", F.monotonically_increasing_id().alias("id"), F.col("m.doc_id").alias("doc"), F.col("m.th").alias("th"), "n", "sig")
+    reps = settle(reps, "near-classes")
+    comp = _components(docs, reps)
+    least = reps.join(comp, "id").groupBy("comp").agg(F.min("doc").alias("least"))
+    joined = comp.join(least, "comp").select(F.col("id").alias("_id"), "least")
+    classes = reps.join(joined, F.col("id") == F.col("_id"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "doc").alias("component_id"))
+    out = all_.select("doc_id", "th", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
+    out = out.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, comp) of those class representatives that have a link."""
+    """(id, comp) of those classes that have a link; ``reps``: id, doc and th of the text that stands for it, n, sig."""
     keyed = reps.select("id", "sig").mapInArrow(_explode_keys, "key long, id long")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = settle(keyed.join(shared, "key"), "near-keys")
@@ -218,8 +230,8 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     discard(members, keys)
     clusters = clusters.withColumnRenamed("comp", "cluster")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    some = reps.join(clusters.join(blocks, "cluster"), "id").select(F.col("id"), F.col("th").alias("_th"), "cluster", "blocks")
-    texts = docs.join(some, (docs["doc_id"] == some["id"]) & (docs["th"] == some["_th"]))
+    some = reps.join(clusters.join(blocks, "cluster"), "id").select("id", F.col("doc").alias("_doc"), F.col("th").alias("_th"), "cluster", "blocks")
+    texts = docs.join(some, (docs["doc_id"] == some["_doc"]) & (docs["th"] == some["_th"]))
     sets = settle(texts.select("id", "text", "cluster", "blocks").mapInArrow(_sets, "id long, set array<long>, cluster long, blocks long"), "near-sets")
     block = F.pmod(F.xxhash64(F.lit(1), "id"), "blocks")
     dealt = sets.select("cluster", block.alias("block"), "id", "set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -234,11 +246,11 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are their component's first document, with all their columns.
 
-    Rows that repeat a kept doc_id stay only if they are kept themselves; of rows that are alike
-    in doc_id and text, all stay.
+    Rows that share a doc_id are judged each by its own text; of rows that are alike in doc_id
+    and text, all stay.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = _judged(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__text")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
 
 
 def _query(spark, sf_dir):
