@@ -88,7 +88,8 @@ def mix_plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), total_percent
         )
     fits = 2 * F.col("below") + F.col("held") <= 2 * F.col("budget")  # the last documents go in if that comes nearer
     cut = F.when(fits, F.col("prefix")).otherwise(F.col("prefix") - 1)
-    return state.select("source", "source_size", "target", "times", F.when(F.col("prefix") < 0, -1).otherwise(cut).alias("cut"))
+    # without a budget left no hash is taken once more, that of an empty document neither
+    return state.select("source", "source_size", "target", "times", F.when((F.col("prefix") < 0) | (F.col("budget") <= 0), -1).otherwise(cut).alias("cut"))
 
 
 def taken_times(h: Column, times: Column, cut: Column) -> Column:
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Null text has size 0; a null source is one more source, the last. Rows of one source that
     share a doc_id share its hash and go together. Taken words of a source differ from its
     target by at most half of the words under its last hash value, as documents stay whole.
-    An empty table gives none.
+    All words of a very long text count. An empty table gives none.
     """
     sizes = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h")), "mix-sizes")
     plan = mix_plan(sizes.select("source", "size", "h"), **how).withColumnRenamed("source", "_p")
@@ -110,11 +111,15 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it (possibly not at all)."""
+    """The documents themselves, each as often as the mix takes it (possibly not at all).
+
+    A document without words adds nothing to its source; it is taken once at most.
+    """
     sizes = settle(docs.select("source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h")), "mix-sizes")
     plan = mix_plan(sizes, **how).select(F.col("source").alias("__mix_source"), F.col("times").alias("__mix_times"), F.col("cut").alias("__mix_cut"))
     both = docs.join(plan, F.col("source").eqNullSafe(F.col("__mix_source")))
     times = taken_times(row_hash(F.col("doc_id")), F.col("__mix_times"), F.col("__mix_cut"))
+    times = F.when(F.coalesce(F.col("text").rlike(WORD), F.lit(False)), times).otherwise(F.least(times, F.lit(1)))
     copies = F.explode(F.array_repeat(F.lit(0), times.cast("int")))
     return both.withColumn("__mix_copy", copies).select(*docs.columns)
 
