@@ -84,11 +84,12 @@ def train(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     learn = learn.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     n = learn.select("lang").distinct().count()
     per_language = max(20, min(per_language, MOST // max(1, n)))
-    ids = settle(by_hash(learn.select("doc_id", "lang"), "lang", per_language).distinct(), "langid-sample")
+    ids = settle(by_hash(learn.select("doc_id", "lang").distinct(), "lang", per_language), "langid-sample")
     labels = sorted(r[0] for r in ids.select("lang").distinct().collect())
     if not labels:
         return None
-    picked = learn.join(F.broadcast(ids), ["doc_id", "lang"]).select(F.col("doc_id").alias("key"), F.col("lang").alias("label"), "text")
+    # of texts that share a doc_id and a language one is taken, so the sample stays bounded
+    picked = learn.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy(F.col("doc_id").alias("key"), F.col("lang").alias("label")).agg(F.min("text").alias("text"))
     df, n = document_frequency(learn, ORDERS, BITS, True)
     idf = idf_of(df, n)
     code = {y: i for i, y in enumerate(labels)}
@@ -110,8 +111,9 @@ def identify(docs: DataFrame, learn: DataFrame, held_out=None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``, by a model of ``learn`` (doc_id, text, lang).
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
-    can be learned. Repeated rows count as often as they stand there. The model's size is
-    fixed by the number of buckets and languages, which bounds what is sent to executors.
+    can be learned. Repeated rows count as often as they stand there; only the columns named
+    are read, so others may bear any name. A very long text is read whole, in steps. The model's
+    size is fixed by the number of buckets and languages, which bounds what is sent to executors.
     """
     spark = docs.sparkSession
     ship(spark)

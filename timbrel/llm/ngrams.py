@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import settle, ship, sized
 
 #: Odd multipliers; one for each place of an n-gram, and one to mix the sum.
 _MUL = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 #: Characters hashed at a time, so that memory doesn't follow a text's length.
 _STEP = 1 << 20
+#: How many times the wanted number of rows of a label are looked at when a sample is drawn.
+SPARE = 4
 
 
 def counts(text: str, orders: tuple[int, ...], bits: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +102,12 @@ def sample_vectors(sample: DataFrame, orders: tuple[int, ...], bits: int, lower:
 def by_hash(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows (doc_id, label) of each label, the same on every run: the smallest hashes.
 
-    The limit works before the shuffle too, so a label with most rows fills no task.
+    Hashes above a share that leaves several times ``per_label`` of a label fall out first, so
+    its window stays small however many rows the label has.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_label).drop("_r")
+    h = F.xxhash64("doc_id")
+    sizes = settle(rows.groupBy(F.col(label).alias("_label")).count(), "label-sizes")
+    some = rows.join(sized(sizes), F.col(label) == F.col("_label"))
+    some = some.filter(F.pmod(h, F.lit(1 << 40)) * F.col("count").cast("double") < float(SPARE * per_label * (1 << 40))).drop("_label", "count")
+    w = Window.partitionBy(label).orderBy(F.pmod(h, F.lit(1 << 40)), "doc_id")
+    return some.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_label).drop("_r")
