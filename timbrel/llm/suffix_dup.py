@@ -32,6 +32,8 @@ SPAN = LENGTH - RUN + 1
 TOGETHER, SHARD = 1500, 2_000_000
 #: Strings of one text that are looked at together.
 _STEP = 1 << 20
+#: Powers of the hash's base that a worker keeps.
+KEPT = 1 << 14
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,11 +41,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        p = np.full(max(1 << 14, n + n // 2), base, dtype=np.uint64)
+    p = _POWERS.get(base)
+    if p is None or len(p) < n:
+        p = np.full(max(KEPT, n), base, dtype=np.uint64)
         p[0] = 1
-        _POWERS[base] = np.multiply.accumulate(p)
-    return _POWERS[base][:n]
+        p = np.multiply.accumulate(p)
+        _POWERS[base] = p[:KEPT].copy()  # those of a very long text go with it
+    return p[:n]
 
 
 class Rolling:
