@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, settle, ship, table
+from .common import ranked, settle, ship, table, tidy
 from .hilbert import hilbert_key
 
 #: Curves that there are to choose from; dimensions of a projection and bits of each.
@@ -184,9 +184,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, cu
         return spark.createDataFrame([], empty)
 
     # vectors as bytes: a row is as wide as its numbers
-    packed = classes.select("c", "asks", "v").mapInArrow(_packed, "c long, asks boolean, v binary")
+    packed = classes.select("c", "asks", "v").mapInArrow(tidy(_packed), "c long, asks boolean, v binary")
     packed = settle(packed, "ann-vectors")
-    points = packed.mapInArrow(_keyed(curves, float(top)), "curve int, key long, c long, kind int")
+    points = packed.mapInArrow(tidy(_keyed(curves, float(top))), "curve int, key long, c long, kind int")
     points = ranked(points, [F.col("curve"), F.col("key"), F.col("c"), F.col("kind")], "ann-curves")
     # every curve has the same number of places
     size = points.filter("curve = 0").count()
@@ -203,7 +203,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, cu
     cands = near.filter("kind = 1").select("curve", F.explode(parts).alias("part"), "kind", "c")
     rows = asks.unionByName(cands).join(packed.select("c", "v"), "c").select("curve", "part", "kind", "c", "v")
     rows = rows.repartition("curve", "part").sortWithinPartitions("curve", "part", "kind")
-    found = rows.mapInArrow(_meet(k + 1), "q long, c long, score double")
+    found = rows.mapInArrow(tidy(_meet(k + 1)), "q long, c long, score double")
     own = classes.filter("asks").select(F.col("c").alias("q"), "c", F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x).alias("score"))
     found = found.unionByName(own).groupBy("q", "c").agg(F.max("score").alias("score"))
     by = Window.partitionBy("q").orderBy(F.desc("score"), "c")
@@ -254,7 +254,7 @@ def _fitted(packed: DataFrame, points: DataFrame, curves: int, size: int, k: int
         return 1, LEAST
     qid = np.array([r["c"] for r in sample], dtype=np.int64)
     q = np.stack([np.frombuffer(r["v"], dtype=np.float64) for r in sample])
-    best = packed.select("c", "v").mapInArrow(_scan(qid, q, k + 1), "q long, c long, score double").filter("q <> c")
+    best = packed.select("c", "v").mapInArrow(tidy(_scan(qid, q, k + 1)), "q long, c long, score double").filter("q <> c")
     by = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     best = best.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k)
     pairs = [(r["q"], r["c"], r["_r"] - 1) for r in best.select("q", "c", "_r").collect()]

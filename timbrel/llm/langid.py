@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, settle, ship, table
+from .common import remainder, settle, ship, table, tidy
 from .ngrams import by_hash, counts, document_frequency, idf_of, sample_vectors, tfidf
 
 ORDERS, BITS = (1, 2, 3), 13
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, learn: DataFrame, held_out=None) -> DataFrame:
                 score.append(min(1.0, float(p[k])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def _query(spark, sf_dir):

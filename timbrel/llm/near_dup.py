@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, ship, table
+from .common import discard, settle, ship, table, tidy
 from .components import connected_components
 from .shingles import forget, shingle_set
 
@@ -197,7 +197,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     """The same with ``th``, a hash of the row's text."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    all_ = settle(docs.mapInArrow(_describe, "doc_id long, th long, n long, fp binary, sig binary"), "near-signatures")
+    all_ = settle(docs.mapInArrow(tidy(_describe), "doc_id long, th long, n long, fp binary, sig binary"), "near-signatures")
     full = all_.filter("n > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # a number of its own for each class: several may have the same smallest doc_id
@@ -214,7 +214,7 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, comp) of those classes that have a link; ``reps``: id, doc and th of the text that stands for it, n, sig."""
-    keyed = reps.select("id", "sig").mapInArrow(_explode_keys, "key long, id long")
+    keyed = reps.select("id", "sig").mapInArrow(tidy(_explode_keys), "key long, id long")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = settle(keyed.join(shared, "key"), "near-keys")
     order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
@@ -224,7 +224,7 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     r = reps.select("id", "n", "sig")
     pairs = pairs.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
     pairs = pairs.join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    pairs = pairs.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+    pairs = pairs.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(tidy(_near), "a long, b long")
     many = members.join(keys.filter(F.col("n") > FEW).select("key", "c"), "key").select(F.col("id").alias("a"), F.col("c").alias("b")).filter("a <> b").distinct()
     clusters = settle(connected_components(pairs.unionByName(many)), "near-clusters")
     discard(members, keys)
@@ -232,12 +232,12 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     some = reps.join(clusters.join(blocks, "cluster"), "id").select("id", F.col("doc").alias("_doc"), F.col("th").alias("_th"), "cluster", "blocks")
     texts = docs.join(some, (docs["doc_id"] == some["_doc"]) & (docs["th"] == some["_th"]))
-    sets = settle(texts.select("id", "text", "cluster", "blocks").mapInArrow(_sets, "id long, set array<long>, cluster long, blocks long"), "near-sets")
+    sets = settle(texts.select("id", "text", "cluster", "blocks").mapInArrow(tidy(_sets), "id long, set array<long>, cluster long, blocks long"), "near-sets")
     block = F.pmod(F.xxhash64(F.lit(1), "id"), "blocks")
     dealt = sets.select("cluster", block.alias("block"), "id", "set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "set")
     dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
-    links = dealt.mapInArrow(_confirm, "a long, b long")
+    links = dealt.mapInArrow(tidy(_confirm), "a long, b long")
     comp = settle(connected_components(links), "near-components")
     discard(sets)
     return comp

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, ship, sized
+from .common import settle, ship, sized, tidy
 
 #: Odd multipliers; one for each place of an n-gram, and one to mix the sum.
 _MUL = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -69,7 +69,7 @@ def document_frequency(docs: DataFrame, orders: tuple[int, ...], bits: int, lowe
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["bucket", "n"])
 
     out = np.zeros((1 << bits) + 1, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for r in docs.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
         out[r[0]] = r[1]
     return out[:-1], int(out[-1])
 
@@ -93,7 +93,7 @@ def sample_vectors(sample: DataFrame, orders: tuple[int, ...], bits: int, lower:
                 )
 
     kind = dict(sample.dtypes)
-    got = sample.select("key", "label", "text").mapInArrow(run, f"key long, label {kind['label']}, at array<int>, n array<long>")
+    got = sample.select("key", "label", "text").mapInArrow(tidy(run), f"key long, label {kind['label']}, at array<int>, n array<long>")
     rows = got.toPandas()
     rows = rows.sort_values("key", kind="stable")
     return [(k, y, np.asarray(a, dtype=np.int32), np.asarray(n)) for k, y, a, n in rows.itertuples(index=False, name=None)]

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import byte_slices, ship, table
+from .common import byte_slices, ship, table, tidy
 
 TIERS = (2048, 1024, 512, 256)
 #: Tokens of rests held before a pool is packed, of one step group, and of windows dealt to groups at once.
@@ -335,7 +335,7 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack_partition(batches, path, tiers, end_id, TaskContext.get().partitionId())
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def _query(spark, sf_dir):

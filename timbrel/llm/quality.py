@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import remainder, settle, ship, table
+from .common import remainder, settle, ship, table, tidy
 from .ngrams import by_hash, document_frequency, idf_of, sample_vectors
 
 ORDERS, BITS = (2, 3), 12
@@ -134,7 +134,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFr
                     [c.column(0), c.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 c = b.slice(k, BLOCK)
                 yield c.filter(pa.array(score(c.column(at).to_pylist()) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:

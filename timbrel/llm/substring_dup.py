@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, repeated_ids, settle, ship, table, with_version
+from .common import discard, repeated_ids, settle, ship, table, tidy, with_version
 from .fm_index import FMIndex
 from .shingles import forget, mix, windows, word_hashes
 
@@ -208,7 +208,7 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     ``docs``: doc_id, version (see ``with_version``), text.
     """
     docs = docs.filter(F.col("doc_id").isNotNull())
-    every = settle(docs.mapInArrow(_anchor_rows, "key long, ctx long, doc long, version long, first int, many int"), "sub-all-anchors")
+    every = settle(docs.mapInArrow(tidy(_anchor_rows), "key long, ctx long, doc long, version long, first int, many int"), "sub-all-anchors")
     shared = every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
     found = settle(every.join(shared, "key"), "sub-anchors")
     discard(every)
@@ -216,11 +216,11 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     ctxs = settle(ctxs.select("key", "ctx", "m.*"), "sub-contexts")
     several = ctxs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > TOGETHER).alias("large"))
     todo = ctxs.join(several, "key").groupBy("doc", F.col("version").alias("_version")).agg(F.collect_list(F.struct("key", "ctx", "first", "many", "large")).alias("todo"))
-    squeezed = docs.mapInArrow(_squeezed, "doc_id long, version long, z binary")
+    squeezed = docs.mapInArrow(tidy(_squeezed), "doc_id long, version long, z binary")
     routed = squeezed.join(todo, (F.col("doc_id") == F.col("doc")) & (F.col("version") == F.col("_version"))).select("doc_id", "z", "todo")
-    routed = settle(routed.mapInArrow(_contexts, "route long, key long, ctx long, doc long, offset int, words binary"), "sub-routed")
+    routed = settle(routed.mapInArrow(tidy(_contexts), "route long, key long, ctx long, doc long, offset int, words binary"), "sub-routed")
     shards = max(1, -(-routed.count() // SHARD))
-    masks = routed.repartition(shards, "route").mapInArrow(_search, "key long, ctx long, mask long")
+    masks = routed.repartition(shards, "route").mapInArrow(tidy(_search), "key long, ctx long, mask long")
     masks = masks.groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask"))
     verdict = ctxs.select("key", "ctx", F.col("doc").alias("least")).join(masks, ["key", "ctx"], "left")
     whole = F.expr("shiftleft(1L, many) - 1")
@@ -242,9 +242,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = with_version(docs, repeated_ids(docs)).select("doc_id", "version", "text")
     marks = duplicate_windows(docs).withColumnRenamed("version", "_version")
-    texts = docs.mapInArrow(_squeezed, "doc_id long, version long, z binary")
+    texts = docs.mapInArrow(tidy(_squeezed), "doc_id long, version long, z binary")
     both = texts.join(marks, (F.col("doc_id") == F.col("doc")) & (F.col("version") == F.col("_version")), "left").select("doc_id", "z", "marks")
-    return both.mapInArrow(_result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return both.mapInArrow(tidy(_result), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 cols = [c.column(j) if j != at else pa.array(texts, c.column(at).type) for j in range(c.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(stays)
 
-    return both.select(*docs.columns, "__cut_marks").mapInArrow(cut, docs.schema)
+    return both.select(*docs.columns, "__cut_marks").mapInArrow(tidy(cut), docs.schema)
 
 
 def _query(spark, sf_dir):

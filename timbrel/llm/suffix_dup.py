@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, ship, table
+from .common import discard, settle, ship, table, tidy
 from .shingles import mix
 from .suffix_array import repeated_starts
 
@@ -234,7 +234,7 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_strings(rows: DataFrame) -> DataFrame:
     """(doc, th, marks): ranges of starts of strings that start anywhere else too; ``rows``: doc_id, th, text."""
-    every = settle(rows.mapInArrow(_anchor_rows, "key long, ctx long, doc long, th long, first long, many int"), "suffix-all-anchors")
+    every = settle(rows.mapInArrow(tidy(_anchor_rows), "key long, ctx long, doc long, th long, first long, many int"), "suffix-all-anchors")
     shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     found = settle(every.join(shared, "key"), "suffix-anchors")
     discard(every)
@@ -244,13 +244,13 @@ def repeated_strings(rows: DataFrame) -> DataFrame:
     several = ctxs.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1")
     todo = ctxs.join(several.select("key", (F.col("c") > TOGETHER).alias("large")), "key")
     todo = todo.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "ctx", "first", "many", "large")).alias("todo"))
-    squeezed = rows.mapInArrow(_squeezed, "doc_id long, th long, z binary")
+    squeezed = rows.mapInArrow(tidy(_squeezed), "doc_id long, th long, z binary")
     same = F.col("doc_id").eqNullSafe(F.col("doc")) & (squeezed["th"] == todo["th"])
-    routed = squeezed.join(todo, same).select("z", "todo").mapInArrow(_contexts, "route long, key long, ctx long, offset int, text binary")
+    routed = squeezed.join(todo, same).select("z", "todo").mapInArrow(tidy(_contexts), "route long, key long, ctx long, offset int, text binary")
     routed = settle(routed, "suffix-routed")
     small, large = routed.filter("text IS NOT NULL"), routed.filter("text IS NULL").drop("text").distinct()
     total = small.agg(F.sum(F.length("text"))).first()[0] or 0
-    spans = small.repartition(max(1, -(-int(total) // (2 * SHARD))), "route").select("key", "ctx", "text").mapInArrow(_search, "key long, ctx long, low int, high int")
+    spans = small.repartition(max(1, -(-int(total) // (2 * SHARD))), "route").select("key", "ctx", "text").mapInArrow(tidy(_search), "key long, ctx long, low int, high int")
     twice = large.groupBy("route").agg(F.count("*").alias("n")).filter("n > 1").select("route")
     spans = spans.unionByName(large.join(twice, "route").select("key", "ctx", F.col("offset").alias("low"), F.col("offset").alias("high")))
     once = ctxs.filter("n = 1").join(spans, ["key", "ctx"]).select("doc", "th", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
@@ -269,8 +269,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     marks = repeated_strings(rows).withColumnRenamed("th", "_th")
-    both = rows.mapInArrow(_squeezed, "doc_id long, th long, z binary").join(marks, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("_th")), "left")
-    return both.select("doc_id", "z", "marks").mapInArrow(_result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = rows.mapInArrow(tidy(_squeezed), "doc_id long, th long, z binary").join(marks, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("_th")), "left")
+    return both.select("doc_id", "z", "marks").mapInArrow(tidy(_result), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _query(spark, sf_dir):
