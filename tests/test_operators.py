@@ -228,3 +228,46 @@ def test_plans_prune_and_push(spark):
     df = readers.table(spark, SF, "documents").filter("lang = 'en'").select("doc_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_ass_document(spark):
+    from timbrel.sources import sinks
+
+    rows = [(1, 0, 0, 150, "a {b}"), (1, 1, 150, 300, "c\nd"), (1, 2, 300, 400, "  ")]
+    r = sinks.ass_text(spark.createDataFrame(rows, "k long, idx long, start_cs long, end_cs long, text string"), ["k"], sinks.ass_header(), right_to_left=True).first()
+    lines = r.ass.split("\n")
+    assert lines[0] == "[Script Info]" and lines[-1] == "" and lines[-3] == "Dialogue: 0,0:00:00.00,0:00:01.50,Default,,0,0,0,,\u202Ba \\{b\\}\u202C"
+    assert lines[-2].endswith("\u202Bc\u202C\\N\u202Bd\u202C")
+
+
+def test_text_files_keep_their_lines(spark, tmp_path):
+    from timbrel.sources import sinks
+
+    sinks.text_files(spark.createDataFrame([("x", "1\n2\n3"), ("y", "4")], "n string, t string"), str(tmp_path / "o"), "n", "t")
+    (part,) = (tmp_path / "o" / "n=x").glob("part-*")
+    assert part.read_text() == "1\n2\n3\n"
+
+
+def test_a_dry_run_writes_the_plan_alone(spark):
+    from timbrel.plans import schedule
+
+    plan = spark.createDataFrame([(1, "2024-01-01T06:00:00")], "clip_id long, slot string")
+    jobs = spark.createDataFrame([(9, "a", "queued", "2024-01-01T01:00:00"), (8, "a", "failed", "2024-01-01T02:00:00")], "clip_id long, account string, status string, scheduled_for string")
+    for dry in (False, True):
+        out, plans, history = schedule.record_day(plan, jobs, None, "a", "2024-01-01", 3, "now", dry)
+        assert out.count() == (2 if dry else 3)
+        assert [tuple(r) for r in plans.collect()] == [("a__2024-01-01", "a", "2024-01-01", 3, 1, 1, dry, "now")]
+        assert history.first().type == "daily_schedule_run"
+
+
+def test_editorial_rules(spark):
+    from timbrel.operators import scoring
+
+    row = spark.createDataFrame([(5000, 5300, 5300, 4000, 5000, 4500, 900)], "beginning long, ending long, standalone long, prior long, following long, resolution long, length long")
+    parts = (10 * 5000 + 23 * 5000 + 23 * 5300 + 18 * 5300 + 10 * 6000 + 8 * 5000 + 5 * 4500 + 3 * 10000) // 100
+    r = row.select(
+        scoring.editorial(F.lit(5000), F.lit(10000), F.col("length")).alias("p"), scoring.in_range(F.lit(7), F.col("length"), 300, 885).alias("out"),
+        scoring.editorial_notes(F.lit("and so it goes on"), F.lit("thus it ends."), F.lit("before"), F.col("length")).alias("notes"),
+    ).first()
+    assert r.p == parts - 1200 - 1400 - 1400 - 600 - 5000 and r.out == -1
+    assert r.notes == ["starts_like_continuation", "previous_segment_not_closed", "clean_terminal_punctuation", "ending_contains_payoff_signal", "weak_beginning_completeness", "weak_ending_completeness", "depends_on_following_context", "limited_resolution", "over_59_seconds"]

@@ -41,7 +41,7 @@ def brute_candidates():
 
 
 def test_candidates_of_every_language(spark, small):
-    got = {(r.doc_id, r.item_id, r.points, r.place) for r in QUERIES["candidate_top_k_whole"](spark, small).collect()}
+    got = {(r.doc_id, r.item_id, r.points, r.place) for r in QUERIES["candidate_top_k"](spark, small).collect()}
     assert got == brute_candidates()
     assert {2, 3, 4, 5} <= {x[0] for x in got}
 
@@ -54,7 +54,7 @@ def test_char_ratio_of_every_candidate(spark, small):
 
 @pytest.mark.parametrize("name", ["bag_f1", "weighted_overlap", "bigram_overlap", "match_score_no_char", "best_and_runner_up", "match_accept"])
 def test_scores_of_every_language(spark, small, name):
-    assert {r.doc_id for r in QUERIES[f"{name}_whole"](spark, small).collect()} == {x[0] for x in brute_candidates()}
+    assert {r.doc_id for r in QUERIES[f"{name}"](spark, small).collect()} == {x[0] for x in brute_candidates()}
 
 
 def brute_votes(sources, corpus, k):
@@ -119,7 +119,7 @@ def _segments(spark, tmp_path, docs):
 
 def test_adjacent_repeats_compare_whole_texts(spark, tmp_path):
     d = _segments(spark, tmp_path, [(1, ["same line", "same line", "same land", "same land", "x"]), (2, ["ab", "abc", "abc", "abc", "ab"])])
-    got = sorted((r.doc_id, r.idx, r.text) for r in QUERIES["adjacent_dedup_whole"](spark, d).collect())
+    got = sorted((r.doc_id, r.idx, r.text) for r in QUERIES["adjacent_dedup"](spark, d).collect())
     assert got == [(1, 0, "same line"), (1, 2, "same land"), (1, 4, "x"), (2, 0, "ab"), (2, 1, "abc"), (2, 4, "ab")]
 
 
@@ -127,4 +127,4 @@ def test_words_of_every_clip(spark):
     from .conftest import SF
 
     clips = QUERIES["clip_candidates"](spark, SF).select("doc_id", "place").distinct()
-    assert {tuple(r) for r in QUERIES["clip_words_whole"](spark, SF).select("doc_id", "place").distinct().collect()} == {tuple(r) for r in clips.collect()}
+    assert {tuple(r) for r in QUERIES["clip_words"](spark, SF).select("doc_id", "place").distinct().collect()} == {tuple(r) for r in clips.collect()}

@@ -41,6 +41,9 @@ ARABIC_STOP = (
     "الله", "اللهم",
 )
 
+# Words of a scene that a prompt may name.
+SCENES = ("dawn", "night", "rain", "ocean", "desert", "mist", "mosque", "courtyard", "dusk", "dark")
+
 #: For texts in Latin script.
 LATIN = Lexicon(
     starts=("and", "or", "but", "that", "und", "oder", "et", "ou", "y", "o", "of the"),

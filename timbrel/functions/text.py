@@ -139,8 +139,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
 # Letters that are folded together, and marks that are dropped.
 FOLD_FROM, FOLD_TO = "أإآٱىؤئة", "اااايويه"
+CAPTION_KEEPS = r"\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF\s0-9٠-٩.,!?:;\"'،؛؟-"
 DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"
 
 
@@ -148,7 +154,62 @@ def fold_arabic(c: Column) -> Column:
     """One spelling for matching: compatibility form, no diacritics or stretching, folded letters, words only."""
     s = F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "\u0640", "")
     s = F.translate(F.regexp_replace(s, DIACRITICS, ""), FOLD_FROM, FOLD_TO)
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\u0621-\u063A\u0641-\u064A0-9]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"(?U)[^\u0600-\u06FF0-9\s]+", " "), r"(?U)\s+", " "))
+
+
+def strip_diacritics(c: Column) -> Column:
+    return F.regexp_replace(c, DIACRITICS, "")
+
+
+def render_arabic(c: Column) -> Column:
+    """For display: compatibility form, no stretching, single spaces; diacritics stay."""
+    return F.trim(F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "\u0640", ""), r"(?U)\s+", " "))
+
+
+def caption_arabic(c: Column) -> Column:
+    """For captions: composed form, nothing but Arabic script, white space, digits and common marks."""
+    return F.regexp_replace(nfc(F.coalesce(c, F.lit(""))), "(?U)[^" + CAPTION_KEEPS + "]", "")
+
+
+def caption_words(c: Column, clean: bool = False) -> Column:
+    """Words of a caption; a mark that ends a phrase ends a word too."""
+    c = caption_arabic(c) if clean else F.coalesce(c, F.lit(""))
+    return words(F.regexp_replace(c, "([،,:;؛.!?؟])", "$1 "))
+
+
+def ends_with_mark(c: Column) -> Column:
+    """The refiner's narrower rule of a closed end."""
+    t = F.trim(c)
+    return F.coalesce(t.endswith(".") | t.endswith("؟") | t.endswith("!") | t.endswith(":") | t.endswith("…"), F.lit(False))
+
+
+def file_parts(name: Column) -> tuple[Column, Column]:
+    """Source and preset of a file name ``source__clipNN__preset.ext``; what isn't there is the whole stem, or empty."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    parts = F.split(stem, "__")
+    return F.split_part(stem, F.lit("__clip"), F.lit(1)), F.when(F.size(parts) >= 3, F.element_at(parts, -1)).otherwise("")
+
+
+def ass_escape(c: Column) -> Column:
+    """Braces escaped, as they open overrides; the soft line break stays."""
+    return F.replace(F.replace(c, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
+
+
+def rtl_lines(c: Column) -> Column:
+    """Each visible line between right-to-left marks, so that direction doesn't cross a soft line break."""
+    parts = F.split(c, r"\\N")
+    return F.array_join(F.transform(parts, lambda x: F.when(x != "", F.concat(F.lit("\u202B"), x, F.lit("\u202C"))).otherwise(x)), "\\N")
+
+
+def revealed(words_: Column, i: Column) -> Column:
+    """The first words up to place ``i`` (from 0)."""
+    return F.array_join(F.slice(words_, 1, i + 1), " ")
+
+
+def verse_order(key: Column) -> list[Column]:
+    """Order of keys ``a:b`` by their numbers."""
+    part = lambda k: F.split_part(key, F.lit(":"), F.lit(k)).try_cast("long")
+    return [part(1), part(2), key]
 
 
 def fold_latin(c: Column) -> Column:

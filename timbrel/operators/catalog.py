@@ -90,3 +90,58 @@ def last_status(history: DataFrame, key: str, at: str) -> DataFrame:
     """The latest row of each key wins; any status may follow any other."""
     rest = [c for c in history.columns if c != key]
     return history.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("r")).select(key, "r.*")
+
+
+def posted_updates(pool: DataFrame, jobs: DataFrame, key: str = "clip_id") -> DataFrame:
+    """``pool`` after the jobs that became ``posted``: counts, accounts and the last time are brought up to date.
+
+    pool: key, post_count, posted_accounts, last_posted_at and more. jobs: key, account, status,
+    posted_at. Each posted job counts; an account is listed once, in the order of first posting.
+    """
+    done = jobs.filter("status = 'posted'").groupBy(F.col(key).alias("_k")).agg(
+        F.count("*").alias("_n"), F.max("posted_at").alias("_at"), F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("posted_at", "account"))), lambda x: x["account"])).alias("_who")
+    )
+    both = pool.join(done, F.col(key) == F.col("_k"), "left")
+    none = F.array().cast("array<string>")
+    new = {
+        "post_count": (F.coalesce("post_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long"),
+        "posted_accounts": F.array_distinct(F.concat(F.coalesce("posted_accounts", none), F.coalesce("_who", none))),
+        "last_posted_at": F.coalesce("_at", "last_posted_at"),
+    }
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in pool.columns])
+
+
+def posted_history(jobs: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Rows for the history log: one for each posted job."""
+    return jobs.filter("status = 'posted'").select(F.lit("posted").alias("type"), key, "account", F.col("posted_at").alias("at"))
+
+
+def with_account(jobs: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Jobs with their account's token, and an error where the account or its token is missing."""
+    a = accounts.select(F.col("account").alias("_a"), F.trim("access_token").alias("_t"))
+    j = jobs.join(a, F.col("account") == F.col("_a"), "left")
+    error = F.when(F.col("_a").isNull(), F.concat(F.lit("account not found: "), F.col("account"))).when(F.coalesce("_t", F.lit("")) == "", F.concat(F.lit("missing access_token for account: "), F.col("account")))
+    return j.select(*jobs.columns, F.when(error.isNull(), F.col("_t")).alias("access_token"), error.alias("error"))
+
+
+def upcoming(status: Column, at: Column, now: Column) -> Column:
+    """Waiting, and its time hasn't passed."""
+    return status.isin("queued", "draft_ready") & F.coalesce(at >= now, F.lit(False))
+
+
+def changed_rows(old: Column, new: Column) -> Column:
+    """How many rows a rewriting changed: an empty new text keeps the trimmed old one."""
+    before = F.trim(F.coalesce(old, F.lit("")))
+    after = F.trim(F.coalesce(F.when(new != "", new), before))
+    return F.count_if(after != before)
+
+
+def worst(items: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, value: the largest of each group; an unknown value counts as mid-grey."""
+    return items.groupBy(*by).agg(F.max(F.coalesce(value, F.lit(128))).alias(value))
+
+
+def day_bounds(day: Column) -> tuple[Column, Column]:
+    """First moment of a local day and of the next; text that isn't a date gives null."""
+    d = F.try_to_date(day, "yyyy-MM-dd") if hasattr(F, "try_to_date") else day.try_cast("date")
+    return d.cast("timestamp_ntz"), F.date_add(d, 1).cast("timestamp_ntz")

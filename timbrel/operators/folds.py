@@ -19,14 +19,19 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ca
     return df.groupBy(*keys).agg(F.aggregate(rows, init, step).alias("state"))
 
 
-def suppress(cands: DataFrame, keys: Sequence[str], order: Sequence[Column], percent: int, carry: Sequence[str] = ("start_idx", "end_idx", "start_c", "end_c")) -> DataFrame:
-    """Greedy interval suppression: in order, keep a row unless it overlaps a kept one by ``percent`` of the shorter of the two."""
+def suppress(cands: DataFrame, keys: Sequence[str], order: Sequence[Column], percent: int, carry: Sequence[str] = ("start_idx", "end_idx", "start_c", "end_c"), most: int | None = None) -> DataFrame:
+    """Greedy interval suppression: in order, keep a row unless it overlaps a kept one by ``percent`` of the shorter of the two.
+
+    ``most``: no more rows than that are kept (a top-k). A row without length overlaps none.
+    """
     kept = "array<struct<" + ",".join(f"{c}:bigint" for c in carry) + ">>"
     overlap = lambda a, b: F.least(a["end_c"], b["end_c"]) - F.greatest(a["start_c"], b["start_c"])
     shorter = lambda a, b: F.least(a["end_c"] - a["start_c"], b["end_c"] - b["start_c"])
 
     def step(acc: Column, x: Column) -> Column:
-        clash = F.exists(acc, lambda y: 100 * overlap(x, y) >= percent * shorter(x, y))
+        clash = F.exists(acc, lambda y: (shorter(x, y) > 0) & (100 * overlap(x, y) >= percent * shorter(x, y)))
+        if most is not None:
+            clash = (F.size(acc) >= most) | clash
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(*[x[c].cast("long").alias(c) for c in carry]))))
 
     out = ordered_fold(cands, keys, order, carry, F.array().cast(kept), step)

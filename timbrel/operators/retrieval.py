@@ -61,6 +61,33 @@ def weighted_coverage(pairs: DataFrame, a: DataFrame, b: DataFrame, idf: DataFra
     return pairs.join(whole, a_key).join(hit, [a_key, b_key], "left").withColumn("matched4", F.coalesce("matched4", F.lit(0).cast("long")))
 
 
+def anchor_coverage(pairs: DataFrame, anchors: DataFrame, corpus: DataFrame, source_key: str, corpus_key: str) -> DataFrame:
+    """pairs with matched4 and all4 (weight of the source's anchors that the row has, and of all), hits and anchors (their numbers).
+
+    ``anchors``: see anchor_weights(). ``corpus``: its tokens. A source without anchors has zeros.
+    """
+    whole = anchors.groupBy(source_key).agg(F.sum("idf4").alias("all4"), F.count("*").alias("anchors"))
+    hit = pairs.select(source_key, corpus_key).join(anchors, source_key).join(corpus.select(corpus_key, "token").distinct(), [corpus_key, "token"])
+    hit = hit.groupBy(source_key, corpus_key).agg(F.sum("idf4").alias("matched4"), F.count("*").alias("hits"))
+    both = pairs.join(whole, source_key, "left").join(hit, [source_key, corpus_key], "left")
+    return both.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("matched4", "all4", "hits", "anchors")})
+
+
+def anchor_bigrams(tokens: Column, common: Sequence[str], stop: Sequence[str] = ()) -> Column:
+    """A source's distinct bigrams of anchors."""
+    return _kept_bigrams(tokens, lambda x: (F.length(x) >= 2) & ~_any(x, [*common, *stop]))
+
+
+def content_bigrams(tokens: Column, stop: Sequence[str] = ()) -> Column:
+    """A candidate's distinct bigrams without stop words."""
+    return _kept_bigrams(tokens, lambda x: ~_any(x, stop))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """``part`` of ``whole``, nothing of nothing."""
+    return F.when(whole > 0, part / whole).otherwise(0.0)
+
+
 def bigram_coverage(a: Column, b: Column) -> Column:
     """Share of a's distinct bigrams that b has, in whole per mille; none: 0."""
     x, y = F.array_distinct(a), F.array_distinct(b)

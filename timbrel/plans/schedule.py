@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog
+from ..sources import sinks
 
 #: Jobs in these states take no place in the day's count.
 CLOSED = ("cancelled", "failed")
@@ -31,6 +32,23 @@ def daily_plan(clips: DataFrame, jobs: DataFrame, account: str, day: str, target
     return catalog.by_position(picked.select("clip_id", "place", F.lit(1).alias("_one")), slots, ["_one"], [F.col("place")], [F.col("slot")]).select("clip_id", "slot")
 
 
+def record_day(plan: DataFrame, jobs: DataFrame, plans: DataFrame, account: str, day: str, target: int, at: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """jobs, plans and history rows after ``plan`` (clip_id, slot): jobs are appended, the day's plan replaces an older one.
+
+    plans: plan_key (account__date), account, date, target, existing, created, dry_run, updated_at.
+    A dry run writes the plan but no job.
+    """
+    spark = plan.sparkSession
+    key = f"{account}__{day}"
+    mine = jobs.filter((F.col("account") == account) & F.col("scheduled_for").startswith(day) & ~F.col("status").isin(*CLOSED))
+    counts = mine.agg(F.count("*").alias("existing")).crossJoin(plan.agg(F.count("*").alias("created")))  # one row by one row
+    row = counts.select(F.lit(key).alias("plan_key"), F.lit(account).alias("account"), F.lit(day).alias("date"), F.lit(target).cast("long").alias("target"), "existing", "created", F.lit(dry_run).alias("dry_run"), F.lit(at).alias("updated_at"))
+    new = plan.select("clip_id", F.lit(account).alias("account"), F.lit("queued").alias("status"), F.col("slot").alias("scheduled_for"))
+    out = jobs if dry_run else jobs.select("clip_id", "account", "status", "scheduled_for").unionByName(new)
+    history = row.select(F.lit("daily_schedule_run").alias("type"), "account", "date", "created", "dry_run", F.col("updated_at").alias("at"))
+    return out, sinks.upsert(plans.select(*row.columns) if plans is not None else spark.createDataFrame([], row.schema), row, ["plan_key"]), history
+
+
 def several_days(clips: DataFrame, jobs: DataFrame, account: str, days: Sequence[str], target: int, n_slots: int, seed: str) -> DataFrame:
     """clip_id, slot over days in turn; each day sees what the days before it took, so no clip comes twice."""
     out: DataFrame | None = None

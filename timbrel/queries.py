@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 from collections.abc import Callable
 
@@ -162,20 +161,13 @@ def chunk_merge(spark, d):
 
 
 # repeats need near times: the clock is slowed to a tenth, so that neighbours lie close
-@query("WITH RECURSIVE " + SEG + """, z AS (SELECT doc_id, idx, substr(text, 1, 3) AS text, start_c // 10 AS start_c, end_c // 10 AS end_c FROM seg), r AS (
+@query("WITH RECURSIVE " + SEG + """, z AS (SELECT doc_id, idx, text, start_c // 10 AS start_c, end_c // 10 AS end_c FROM seg), r AS (
   SELECT doc_id, idx, text, start_c, end_c, true AS keep, text AS lt, start_c AS ls, end_c AS le FROM z WHERE idx = 0
   UNION ALL
   SELECT z.doc_id, z.idx, z.text, z.start_c, z.end_c, NOT q, CASE WHEN q THEN lt ELSE z.text END, CASE WHEN q THEN ls ELSE z.start_c END, CASE WHEN q THEN le ELSE z.end_c END
   FROM (SELECT r.*, z.text = r.lt AND abs(z.start_c - r.ls) < 15 AND abs(z.end_c - r.le) < 15 AS q FROM r JOIN z ON z.doc_id = r.doc_id AND z.idx = r.idx + 1) r JOIN z ON z.doc_id = r.doc_id AND z.idx = r.idx + 1)
 SELECT doc_id, idx, text, start_c, end_c FROM r WHERE keep""")
 def adjacent_dedup(spark, d):
-    s = _seg(spark, d).select("doc_id", "idx", F.substring("text", 1, 3).alias("text"), F.floor(F.col("start_c") / 10).cast("long").alias("start_c"), F.floor(F.col("end_c") / 10).cast("long").alias("end_c"))
-    return folds.drop_adjacent_repeats(s, 15)
-
-
-@query()
-def adjacent_dedup_whole(spark, d):
-    """Whole segments on the same slowed clock; next to it, the query above cuts each text to three characters."""
     s = _seg(spark, d).select("doc_id", "idx", "text", F.floor(F.col("start_c") / 10).cast("long").alias("start_c"), F.floor(F.col("end_c") / 10).cast("long").alias("end_c"))
     return folds.drop_adjacent_repeats(s, 15)
 
@@ -294,15 +286,8 @@ def word_time_allocation(spark, d):
 
 
 @query("WITH " + CLIP + "," + WORDS[len(SEG) + 2 :] + """ SELECT k.doc_id, k.place, t.word, greatest(t.word_start, k.start_c) - k.start_c AS word_start, least(t.word_end, k.end_c) - k.start_c AS word_end
-FROM clip k JOIN wt t ON t.doc_id = k.doc_id AND t.word_end > k.start_c AND t.word_start < k.end_c WHERE k.place = 0 AND least(t.word_end, k.end_c) - greatest(t.word_start, k.start_c) > 0""")
+FROM clip k JOIN wt t ON t.doc_id = k.doc_id AND t.word_end > k.start_c AND t.word_start < k.end_c WHERE least(t.word_end, k.end_c) - greatest(t.word_start, k.start_c) > 0""")
 def clip_words(spark, d):
-    w = clips.word_times(_seg(spark, d)).withColumnsRenamed({"word_start": "start_c", "word_end": "end_c"})
-    return intervals.clamp_words(_clips(spark, d).filter("place = 0"), w).select("doc_id", "place", "word", "word_start", "word_end")
-
-
-@query(ORACLES["clip_words"].replace("k.place = 0 AND ", ""))
-def clip_words_whole(spark, d):
-    """The words of every clip."""
     w = clips.word_times(_seg(spark, d)).withColumnsRenamed({"word_start": "start_c", "word_end": "end_c"})
     return intervals.clamp_words(_clips(spark, d), w).select("doc_id", "place", "word", "word_start", "word_end")
 
@@ -354,30 +339,51 @@ SELECT doc_id, start_idx, end_idx, CAST(s AS BIGINT) AS best_s, CAST(e AS BIGINT
   length <= 885 AND beginning >= 5000 AND ending >= 5200 AND standalone >= 5000 AND prior <= 5400 AND following <= 5400 AND overall >= 5200 AS passed
 FROM sv WHERE length BETWEEN 300 AND 885 QUALIFY row_number() OVER (PARTITION BY doc_id, start_idx, end_idx ORDER BY editorial DESC, ending DESC, beginning DESC, s, e) = 1""")
 def clip_boundary_repair(spark, d):
-    return clips.repair_borders(_clips(spark, d).select("doc_id", "start_idx", "end_idx"), _seg(spark, d))
+    return clips.repair_borders(_clips(spark, d).select("doc_id", "start_idx", "end_idx"), _seg(spark, d)).select("doc_id", "start_idx", "end_idx", "best_s", "best_e", "best_editorial", "passed")
+
+
+# the finder end to end; constants are the reference rules' in ten-thousandths and characters
+_KEPT = lambda src, percent, guard: f"list_reduce(list_transform({src}, lambda x: [x]), lambda a, x: CASE WHEN {guard} len(list_filter(a, lambda y: least(x[1].z - x[1].a, y.z - y.a) > 0 AND 100 * (least(x[1].z, y.z) - greatest(x[1].a, y.a)) >= {percent} * least(x[1].z - x[1].a, y.z - y.a))) > 0 THEN a ELSE list_concat(a, x) END)"
+FOUND = WIN[: WIN.index(", scored AS (")] + BORDERS + ", v AS (SELECT p.doc_id, p.start_idx AS s, p.end_idx AS e FROM pairs p JOIN part b ON b.doc_id = p.doc_id AND b.idx = p.start_idx WHERE NOT b.starts)" + _SUB("v") + f""", ho AS (
+  SELECT doc_id, list({{'s': s, 'e': e, 'a': a, 'z': z, 'ed': CAST(editorial AS BIGINT)}} ORDER BY editorial DESC, length DESC, s, e) AS l FROM (SELECT sv.*, x.start_c AS a, x.start_c + sv.length AS z FROM sv JOIN seg x ON x.doc_id = sv.doc_id AND x.idx = sv.s) WHERE editorial >= 0 GROUP BY doc_id
+), hk AS (SELECT doc_id, {_KEPT("l", 70, "len(a) >= 48 OR")} AS k FROM ho), hc AS (SELECT doc_id, CAST(p - 1 AS BIGINT) AS place, k[p].s AS s, k[p].e AS e, k[p].a AS a, k[p].z AS z, k[p].ed AS ed FROM (SELECT doc_id, k, unnest(range(1, len(k) + 1)) AS p FROM hk))"""
+
+
+@query("WITH " + FOUND + " SELECT doc_id, place, s AS start_idx, e AS end_idx, a AS start_c, z AS end_c, ed AS editorial FROM hc")
+def heuristic_clips(spark, d):
+    return clips.heuristic_clips(_seg(spark, d), 3)
+
+
+_AGAIN = _SUB("rv").replace("ss AS", "ss2 AS").replace("st AS", "st2 AS").replace("sv AS", "sv2 AS").replace("FROM ss", "FROM ss2").replace("FROM st", "FROM st2").replace("10 * 5000", "10 * confidence")
+
+
+@query("WITH " + FOUND + """, li AS (SELECT doc_id, max(idx) AS last_idx FROM seg GROUP BY doc_id), rv AS (
+  SELECT DISTINCT * FROM (SELECT c.doc_id, c.place, least(10000, greatest(0, (c.ed + 5) // 10 * 10)) AS confidence, greatest(0, least(last_idx, c.s + ds)) AS s, greatest(0, least(last_idx, c.e + de)) AS e
+  FROM hc c JOIN li ON li.doc_id = c.doc_id, (SELECT unnest(range(-4, 3)) AS ds), (SELECT unnest(range(-2, 5)) AS de)) WHERE e >= s)""" + _AGAIN + f""", rb AS (
+  SELECT * FROM sv2 WHERE length BETWEEN 300 AND 885 QUALIFY row_number() OVER (PARTITION BY doc_id, place ORDER BY editorial DESC, ending DESC, beginning DESC, s, e) = 1
+), ok AS (SELECT r.*, x.start_c AS a, x.start_c + r.length AS z, CAST(least(10000, greatest(0, r.editorial)) AS BIGINT) AS ed FROM rb r JOIN seg x ON x.doc_id = r.doc_id AND x.idx = r.s
+  WHERE length <= 885 AND beginning >= 5000 AND ending >= 5200 AND standalone >= 5000 AND prior <= 5400 AND following <= 5400 AND overall >= 5200
+), fo AS (SELECT doc_id, list({{'s': CAST(s AS BIGINT), 'e': CAST(e AS BIGINT), 'a': a, 'z': z, 'ed': ed}} ORDER BY ed DESC, ending DESC, beginning DESC, standalone DESC, length, a, place) AS l FROM ok GROUP BY doc_id
+), fk AS (SELECT doc_id, unnest({_KEPT("l", 68, "")}) AS r FROM fo)
+SELECT doc_id, row_number() OVER w - 1 AS place, r.s AS start_idx, r.e AS end_idx, r.a AS start_c, r.z AS end_c, r.ed AS editorial FROM fk WINDOW w AS (PARTITION BY doc_id ORDER BY r.ed DESC, r.a, r.s, r.e) QUALIFY row_number() OVER w <= 3""")
+def finished_clips(spark, d):
+    return clips.finished_clips(_seg(spark, d), 3)
 
 
 @query("WITH " + CLIP + BORDERS + """, li AS (SELECT doc_id, max(idx) AS last_idx FROM seg GROUP BY doc_id), gr AS (
-  SELECT c.doc_id, c.place, greatest(0, least(last_idx, c.start_idx + ds)) AS s, greatest(0, least(last_idx, c.end_idx + de)) AS e
+  SELECT c.doc_id, c.place, c.start_idx AS s0, c.end_idx AS e0, greatest(0, least(last_idx, c.start_idx + ds)) AS s, greatest(0, least(last_idx, c.end_idx + de)) AS e
   FROM clip c JOIN li ON li.doc_id = c.doc_id, (SELECT unnest(range(-1, 2)) AS ds), (SELECT unnest(range(-1, 3)) AS de)), v AS (SELECT DISTINCT * FROM gr WHERE e >= s), lw AS (
   SELECT v.*, 7000 - CASE WHEN b.starts THEN 3600 ELSE 0 END + CASE WHEN len(b.w) <= 8 THEN 600 ELSE 0 END AS o,
     6200 + CASE WHEN l.stop THEN 2000 ELSE 0 END + CASE WHEN l.payoff THEN 800 ELSE 0 END - CASE WHEN l.ends THEN 3000 ELSE 0 END - CASE WHEN trim(l.after, ' ') <> '' AND coalesce(x.starts, false) THEN 1000 ELSE 0 END AS n,
-    6600 - CASE WHEN b.starts THEN 2200 ELSE 0 END - CASE WHEN l.ends THEN 1800 ELSE 0 END AS a, l.end_c - b.start_c AS d
+    6600 - CASE WHEN b.starts THEN 2200 ELSE 0 END - CASE WHEN l.ends THEN 1800 ELSE 0 END AS a, l.end_c - b.start_c AS d, v.s - v.s0 AS ds, v.e - v.e0 AS de
   FROM v JOIN part b ON b.doc_id = v.doc_id AND b.idx = v.s JOIN part l ON l.doc_id = v.doc_id AND l.idx = v.e LEFT JOIN part x ON x.doc_id = v.doc_id AND x.idx = v.e + 1), p AS (
   SELECT *, CASE WHEN d <= 0 THEN -1 ELSE CAST(floor((30 * o + 34 * n + 22 * a + 14 * greatest(0, 10000 - CAST(floor(10000 * abs(d - 420) / 150) AS BIGINT))) / 100) AS BIGINT) END AS points FROM lw)
-SELECT doc_id, place, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(points AS BIGINT) AS points FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, place ORDER BY points DESC, s, e) = 1""")
+SELECT doc_id, place, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(points AS BIGINT) AS points,
+  CASE WHEN ds = 0 AND de = 0 AND n < 7800 AND o < 7200 THEN 'kept_original_boundaries' ELSE concat_ws('; ', CASE WHEN ds <> 0 THEN 'start_adjusted_to_segment_boundary' END, CASE WHEN de <> 0 THEN 'end_adjusted_to_complete_thought' END,
+    CASE WHEN n >= 7800 THEN 'ending_scores_strong' END, CASE WHEN o >= 7200 THEN 'opening_scores_clean' END) END AS reason
+FROM p WHERE points >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id, place ORDER BY points DESC, n DESC, o DESC, abs(d - 420), s, e) = 1""")
 def refine_window(spark, d):
-    seg = _seg(spark, d)
-    near = intervals.neighbours(seg)
-    c = _clips(spark, d).select("doc_id", "place", "start_idx", "end_idx")
-    last = seg.groupBy(F.col("doc_id").alias("_d")).agg(F.max("idx").alias("last_idx"))
-    g = intervals.shift_grid(c.join(last, F.col("doc_id") == F.col("_d")).drop("_d"), (-1, 1), (-1, 2), F.col("last_idx"), unique=False)
-    a = near.select(F.col("doc_id").alias("_a"), F.col("idx").alias("_ai"), F.col("text").alias("first"), "start_c")
-    b = near.select(F.col("doc_id").alias("_b"), F.col("idx").alias("_bi"), F.col("text").alias("last"), F.col("next_text").alias("after"), "end_c")
-    both = g.join(a, (F.col("doc_id") == F.col("_a")) & (F.col("s") == F.col("_ai"))).join(b, (F.col("doc_id") == F.col("_b")) & (F.col("e") == F.col("_bi")))
-    both = both.withColumn("points", scoring.local_window_points(F.col("first"), F.col("last"), F.col("after"), F.col("end_c") - F.col("start_c")))
-    best = both.groupBy("doc_id", "place").agg(F.max_by(F.struct("s", "e", "points"), F.struct("points", (-F.col("s")).alias("s"), (-F.col("e")).alias("e"))).alias("r"))
-    return best.select("doc_id", "place", F.col("r.s").cast("long").alias("s"), F.col("r.e").cast("long").alias("e"), "r.points")
+    return clips.refined_windows(_clips(spark, d).select("doc_id", "place", "start_idx", "end_idx"), _seg(spark, d))
 
 
 @query("""SELECT page_id, CAST(greatest(0, 100 - CASE WHEN t < 720 THEN 25 WHEN t < 1080 THEN 10 ELSE 0 END - CASE WHEN v AND h <= w THEN 10 ELSE 0 END
@@ -391,27 +397,60 @@ def asset_rules(spark, d):
     return p.select("page_id", score.alias("score"), flags.alias("flags"))
 
 
-@query(r"""WITH t AS (SELECT page_id, list_filter(list_distinct(list_filter(regexp_split_to_array(lower(regexp_extract(html, '<title>([^<]*)', 1)), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3)), lambda x: x NOT IN ('the', 'and', 'amp')) AS a,
-  list_filter(list_distinct(list_filter(regexp_split_to_array(lower(url), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3)), lambda x: x NOT IN ('the', 'and', 'amp')) AS b FROM pages), n AS (SELECT page_id, len(list_filter(a, lambda x: list_contains(b, x))) AS n FROM t)
-SELECT page_id, CAST(n AS BIGINT) AS common, CAST(3500 + least(3500, 800 * n) + CASE WHEN n > 0 THEN 1000 ELSE 0 END AS BIGINT) AS points FROM n""")
+_PT = lambda c: rf"list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(lower({c}), '[،,:;؛.!?؟]', ' ', 'g'), '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}\s-]', ' ', 'g'), '\s+'), lambda x: trim(x, '-_')), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'amp')))"
+
+
+@query(rf"""WITH q AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN t WHEN 1 THEN t || ' Desert at dusk' WHEN 2 THEN t || ', no people, No Animals' ELSE t || ' ' || substr(html, 1, 260) END AS prompt FROM (SELECT *, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages)),
+m AS (SELECT page_id, prompt, list_sort(list_intersect({_PT("prompt")}, {_PT("url")})) AS c FROM q),
+p AS (SELECT page_id, c, greatest(0, least(10000, 3500 + least(3500, 800 * len(c)) + CASE WHEN regexp_matches(lower(prompt), 'dawn|night|rain|ocean|desert|mist|mosque|courtyard|dusk|dark') THEN 1000 ELSE 0 END
+  + CASE WHEN contains(lower(prompt), 'no people') AND contains(lower(prompt), 'no animals') THEN 1000 ELSE 0 END - CASE WHEN length(prompt) > 200 THEN 800 ELSE 0 END)) AS s FROM m)
+SELECT page_id, CAST(s AS BIGINT) AS points, array_to_string(c[1:12], ',') AS matched, CASE WHEN s >= 7000 THEN 'Good symbolic fit' WHEN s >= 5000 THEN 'Usable but generic' ELSE 'Weak semantic fit' END AS note FROM p""")
 def prompt_overlap_score(spark, d):
-    stop = ("the", "and", "amp")
-    p = table(spark, d, "pages").select("page_id", scoring.prompt_tokens(F.regexp_extract("html", "<title>([^<]*)", 1), stop).alias("a"), scoring.prompt_tokens(F.col("url"), stop).alias("b"))
-    n = F.size(F.array_intersect("a", "b"))
-    return p.select("page_id", n.cast("long").alias("common"), scoring.points(3500, (n > 0, 1000)).alias("base"), F.least(F.lit(3500), 800 * n).alias("more")).select("page_id", "common", (F.col("base") + F.col("more")).cast("long").alias("points"))
+    t = F.regexp_extract("html", "<title>([^<]*)", 1)
+    i = F.col("page_id") % 4
+    more = F.when(i == 0, "").when(i == 1, " Desert at dusk").when(i == 2, ", no people, No Animals").otherwise(F.concat(F.lit(" "), F.substring("html", 1, 260)))
+    got = scoring.prompt_match(F.concat(t, more), F.col("url"), ("the", "and", "amp"))
+    return table(spark, d, "pages").select("page_id", got["points"].alias("points"), F.array_join(got["matched"], ",").alias("matched"), got["note"].alias("note"))
+
+
+_LUMA = "(299 * (page_id * 37 % 256) + 587 * (page_id * 91 % 256) + 114 * (page_id * 13 % 256))"
+_COLOUR = lambda c: f"CASE WHEN {c} >= 170000 THEN '&H00202020' WHEN {c} >= 80000 THEN '&H00D5E8F5' ELSE '&H00FFFFFF' END"
 
 
-@query("SELECT page_id, CASE WHEN page_id * 37 % 256 < 85 THEN 'white' WHEN page_id * 37 % 256 > 170 THEN 'black' ELSE 'yellow' END AS colour, array_to_string(list_transform(range(1, 5), lambda k: (page_id * 131 % 14000 + 1) * k // 5), ',') AS frames FROM pages")
+def _luma():
+    i = F.col("page_id")
+    return scoring.luma(i * 37 % 256, i * 91 % 256, i * 13 % 256) / 1000
+
+
+@query(f"""SELECT page_id, {_COLOUR(_LUMA)} AS colour, array_to_string(CASE WHEN ms <= 0 THEN [0] WHEN ms <= 2000 THEN [0, ms // 2] ELSE list_transform(range(1, 5), lambda k: least(ms - 50, CAST(round(ms * k / 5.0) AS BIGINT))) END, ',') AS frames
+FROM (SELECT page_id, page_id * 131 % 14000 - 500 AS ms FROM pages)""")
 def brightness_and_frames(spark, d):
-    ms = F.col("page_id") * 131 % 14000 + 1
-    return table(spark, d, "pages").select("page_id", scoring.brightness_zone(F.col("page_id") * 37 % 256).alias("colour"), F.array_join(scoring.sample_times(ms, 4).cast("array<string>"), ",").alias("frames"))
+    ms = F.col("page_id") * 131 % 14000 - 500
+    return table(spark, d, "pages").select("page_id", scoring.text_colour(_luma()).alias("colour"), F.array_join(scoring.sample_times(ms, 4).cast("array<string>"), ",").alias("frames"))
+
+
+@query(f"SELECT page_id % 400 AS clip, CAST(max({_LUMA}) AS BIGINT) AS luma, {_COLOUR(f'max({_LUMA})')} AS colour FROM pages GROUP BY ALL")
+def worst_brightness(spark, d):
+    p = table(spark, d, "pages").select((F.col("page_id") % 400).alias("clip"), _luma().alias("luma"))
+    return catalog.worst(p, ["clip"], "luma").select("clip", F.round(F.col("luma") * 1000).cast("long").alias("luma"), scoring.text_colour(F.col("luma")).alias("colour"))
+
+
+@query("""WITH p AS (SELECT page_id, greatest(1000, page_id * 137 % 61000) AS d, CASE page_id % 4 WHEN 0 THEN 'light' WHEN 1 THEN 'cinematic' ELSE 'balanced' END AS mode FROM pages),
+q AS (SELECT *, CASE WHEN d < 22000 THEN 1 WHEN d < 38000 THEN 2 ELSE 3 END AS m FROM p), r AS (
+SELECT *, CASE WHEN mode = 'light' THEN greatest(1, m - 1) ELSE m END AS n, CASE mode WHEN 'light' THEN 1600 WHEN 'cinematic' THEN CASE WHEN m <= 2 THEN 2200 ELSE 1800 END ELSE CASE WHEN m <= 2 THEN 1900 ELSE 1700 END END AS l FROM q)
+SELECT page_id, mode, CAST(n AS BIGINT) AS inserts, CAST(l AS BIGINT) AS insert_ms, CAST(CASE mode WHEN 'light' THEN 2100 WHEN 'cinematic' THEN 1700 ELSE 1900 END AS BIGINT) AS intro_ms,
+  CAST(CASE mode WHEN 'light' THEN 2100 WHEN 'cinematic' THEN 1800 ELSE 2000 END AS BIGINT) AS outro_ms, CAST(least(d * 42 // 100, n * l) AS BIGINT) AS scenic_ms, CAST(10000 * least(d * 42 // 100, n * l) // d AS BIGINT) AS ratio4 FROM r""")
+def insert_ratio(spark, d):
+    i = F.col("page_id")
+    mode = F.when(i % 4 == 0, "Light ").when(i % 4 == 1, "cinematic").when(i % 4 == 2, "balanced").otherwise("unheard of")
+    return table(spark, d, "pages").select("page_id", scoring.insert_ratio(i * 137 % 61000, mode).alias("r")).select("page_id", "r.*")
 
 
 # --- retrieval ---------------------------------------------------------------------------
 
 _FOLD = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' ')"
 TOK = rf"""bt AS (SELECT item_id, unnest(list_filter(string_split({_FOLD}, ' '), lambda x: x <> '')) AS token, generate_subscripts(list_filter(string_split({_FOLD}, ' '), lambda x: x <> ''), 1) - 1 AS pos FROM benchmark),
-dt AS (SELECT doc_id, unnest(list_filter(string_split({_FOLD}, ' '), lambda x: x <> '')) AS token, generate_subscripts(list_filter(string_split({_FOLD}, ' '), lambda x: x <> ''), 1) - 1 AS pos FROM documents WHERE lang = 'en'),
+dt AS (SELECT doc_id, unnest(list_filter(string_split({_FOLD}, ' '), lambda x: x <> '')) AS token, generate_subscripts(list_filter(string_split({_FOLD}, ' '), lambda x: x <> ''), 1) - 1 AS pos FROM documents),
 nb AS (SELECT count(*) AS n FROM benchmark),
 idf AS (SELECT token, df, round(1.0 + ln((n + 1.0) / (df + 1)), 4) AS idf FROM (SELECT token, count(DISTINCT item_id) AS df FROM bt WHERE length(token) >= 2 GROUP BY token), nb),
 ra AS (SELECT doc_id, token, CAST(round(idf * 10000) AS BIGINT) AS p FROM (SELECT DISTINCT doc_id, token FROM dt) JOIN idf USING (token) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(round(idf * 10000) AS BIGINT) DESC, token) <= 10),
@@ -419,13 +458,8 @@ cd AS (SELECT doc_id, item_id, CAST(sum(p) AS BIGINT) AS points FROM ra JOIN (SE
 cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, item_id) AS place FROM cd QUALIFY place <= 5)"""
 
 
-def _documents(spark, d, lang):
-    docs = table(spark, d, "documents")
-    return docs if lang is None else docs.filter(F.col("lang") == lang)
-
-
-def _retrieval(spark, d, lang="en"):
-    bench, docs = table(spark, d, "benchmark"), _documents(spark, d, lang)
+def _retrieval(spark, d):
+    bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     bt, dt = retrieval.tokens(bench, "item_id", X.fold_latin(F.col("text"))), retrieval.tokens(docs, "doc_id", X.fold_latin(F.col("text")))
     idf = retrieval.with_idf(retrieval.document_frequency(bt, "item_id"), bench.count())
     return bt, dt, idf, retrieval.candidates(dt, bt, idf, "doc_id", "item_id", 5)
@@ -443,24 +477,24 @@ def postings_lookup(spark, d):
 
 
 @query("WITH " + TOK + " SELECT doc_id, item_id, points, place FROM cand")
-def candidate_top_k(spark, d, lang="en"):
-    return _retrieval(spark, d, lang)[3]
+def candidate_top_k(spark, d):
+    return _retrieval(spark, d)[3]
 
 
 BAG = TOK + """, common AS (SELECT doc_id, item_id, coalesce(sum(CASE WHEN cb IS NULL THEN 0 ELSE least(ca, cb) END), 0) AS common FROM cand LEFT JOIN (SELECT doc_id, token, count(*) AS ca FROM dt GROUP BY ALL) a USING (doc_id) LEFT JOIN (SELECT item_id, token, count(*) AS cb FROM bt GROUP BY ALL) b USING (item_id, token) GROUP BY ALL),
 size AS (SELECT c.*, (SELECT count(*) FROM dt WHERE dt.doc_id = c.doc_id) AS na, (SELECT count(*) FROM bt WHERE bt.item_id = c.item_id) AS nb FROM common c)"""
 
 
-def _bags(spark, d, lang="en"):
-    bt, dt, idf, cand = _retrieval(spark, d, lang)
+def _bags(spark, d):
+    bt, dt, idf, cand = _retrieval(spark, d)
     pairs = retrieval.bag_overlap(cand.select("doc_id", "item_id"), dt, bt, "doc_id", "item_id")
     pairs = pairs.join(dt.groupBy("doc_id").agg(F.count("*").alias("na")), "doc_id").join(bt.groupBy("item_id").agg(F.count("*").alias("nb")), "item_id")
     return bt, dt, idf, pairs
 
 
 @query("WITH " + BAG + " SELECT doc_id, item_id, CAST(common AS BIGINT) AS common, CAST(floor(20000 * common / (na + nb)) AS BIGINT) AS f1_4 FROM size")
-def bag_f1(spark, d, lang="en"):
-    p = _bags(spark, d, lang)[3]
+def bag_f1(spark, d):
+    p = _bags(spark, d)[3]
     return p.select("doc_id", "item_id", "common", F.floor(20000 * F.col("common") / (F.col("na") + F.col("nb"))).cast("long").alias("f1_4"))
 
 
@@ -468,14 +502,14 @@ WO = BAG + """, wt AS (SELECT item_id, token, CAST(round(coalesce(idf, 1.0) * 10
 wo AS (SELECT s.*, (SELECT sum(w) FROM wt WHERE wt.item_id = s.item_id) AS all4, coalesce((SELECT sum(w) FROM wt WHERE wt.item_id = s.item_id AND wt.token IN (SELECT token FROM dt WHERE dt.doc_id = s.doc_id)), 0) AS matched4 FROM size s)"""
 
 
-def _weighted(spark, d, lang="en"):
-    bt, dt, idf, pairs = _bags(spark, d, lang)
+def _weighted(spark, d):
+    bt, dt, idf, pairs = _bags(spark, d)
     return bt, dt, idf, retrieval.weighted_coverage(pairs, bt, dt, idf, "item_id", "doc_id")
 
 
 @query("WITH " + WO + " SELECT doc_id, item_id, CAST(matched4 AS BIGINT) AS matched4, CAST(all4 AS BIGINT) AS all4 FROM wo")
-def weighted_overlap(spark, d, lang="en"):
-    return _weighted(spark, d, lang)[3].select("doc_id", "item_id", "matched4", "all4")
+def weighted_overlap(spark, d):
+    return _weighted(spark, d)[3].select("doc_id", "item_id", "matched4", "all4")
 
 
 BG = WO + """, bl AS (SELECT item_id, list(token ORDER BY pos) AS l FROM bt GROUP BY ALL), dl AS (SELECT doc_id, list(token ORDER BY pos) AS l FROM dt GROUP BY ALL),
@@ -483,69 +517,80 @@ bb AS (SELECT item_id, list_distinct(list_transform(range(1, len(l)), lambda i:
 bo AS (SELECT w.*, CASE WHEN len(bb.g) > 0 THEN 1000 * len(list_intersect(bb.g, db.g)) // len(bb.g) ELSE 0 END AS bo3 FROM wo w JOIN bb USING (item_id) JOIN db USING (doc_id))"""
 
 
-def _bigrams(spark, d, lang="en"):
-    bt, dt, idf, pairs = _weighted(spark, d, lang)
-    bench, docs = table(spark, d, "benchmark"), _documents(spark, d, lang)
+def _bigrams(spark, d):
+    bt, dt, idf, pairs = _weighted(spark, d)
+    bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     gb = bench.select("item_id", X.ngrams(X.words(X.fold_latin(F.col("text")))).alias("gb"))
     gd = docs.select("doc_id", X.ngrams(X.words(X.fold_latin(F.col("text")))).alias("gd"))
     return pairs.join(gb, "item_id").join(gd, "doc_id").withColumn("bo3", retrieval.bigram_coverage(F.col("gb"), F.col("gd"))).drop("gb", "gd")
 
 
 @query("WITH " + BG + " SELECT doc_id, item_id, CAST(bo3 AS BIGINT) AS bo3 FROM bo")
-def bigram_overlap(spark, d, lang="en"):
-    return _bigrams(spark, d, lang).select("doc_id", "item_id", "bo3")
-
-
-# whole per mille of each feature, so that both engines add the same numbers
-SCORED = BG + """, ft AS (SELECT *, CAST(1000 * matched4 // all4 AS BIGINT) AS wo3, CAST(2000 * common // (na + nb) AS BIGINT) AS f3 FROM bo),
-ms AS (SELECT doc_id, item_id, CAST(((44 * wo3 + 24 * f3 + 18 * bo3) * CASE WHEN 100 * least(na, nb) < 55 * greatest(na, nb) THEN 88 ELSE 100 END) // 100 AS BIGINT) AS score, wo3, bo3 FROM ft)"""
-
-
-def _scored(spark, d, lang="en"):
-    p = _bigrams(spark, d, lang)
-    wo = F.floor(1000 * F.col("matched4") / F.col("all4")).cast("long")
-    f3 = F.floor(2000 * F.col("common") / (F.col("na") + F.col("nb"))).cast("long")
-    short = 100 * F.least("na", "nb") < 55 * F.greatest("na", "nb")
-    score = F.floor((44 * wo + 24 * f3 + 18 * F.col("bo3")) * F.when(short, 88).otherwise(100) / 100).cast("long")
-    return p.select("doc_id", "item_id", score.alias("score"), wo.alias("wo3"), "bo3")
+def bigram_overlap(spark, d):
+    return _bigrams(spark, d).select("doc_id", "item_id", "bo3")
+
+
+# the source is the item, the candidate the document; the similarity of characters has no SQL form and counts as nothing
+SCORED = BAG + """, cm AS (SELECT token FROM idf, nb WHERE df > 0.08 * n), an AS (SELECT DISTINCT item_id, token, CAST(round(idf * 10000) AS BIGINT) AS w FROM bt JOIN idf USING (token) WHERE token NOT IN (SELECT token FROM cm)),
+wa AS (SELECT item_id, sum(w) AS all4, count(*) AS anchors FROM an GROUP BY item_id),
+wm AS (SELECT c.doc_id, c.item_id, sum(a.w) AS matched4, count(*) AS hits FROM cand c JOIN an a ON a.item_id = c.item_id JOIN (SELECT DISTINCT doc_id, token FROM dt) x ON x.doc_id = c.doc_id AND x.token = a.token GROUP BY ALL),
+bl AS (SELECT item_id, list(token ORDER BY pos) AS l FROM bt GROUP BY ALL), dl AS (SELECT doc_id, list(token ORDER BY pos) AS l FROM dt GROUP BY ALL),
+bb AS (SELECT item_id, array_to_string(l, ' ') AS t, list_distinct(list_filter(list_transform(range(1, len(l)), lambda i: CASE WHEN length(l[i]) >= 2 AND length(l[i + 1]) >= 2 AND NOT list_contains(cl, l[i]) AND NOT list_contains(cl, l[i + 1]) THEN l[i] || ' ' || l[i + 1] END), lambda x: x IS NOT NULL)) AS g FROM bl, (SELECT coalesce(list(token), []) AS cl FROM cm)),
+db AS (SELECT doc_id, array_to_string(l, ' ') AS t, list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS g FROM dl),
+ft AS (SELECT s.doc_id, s.item_id, CASE WHEN coalesce(all4, 0) > 0 THEN CAST(coalesce(matched4, 0) AS DOUBLE) / CAST(all4 AS DOUBLE) ELSE 0.0::DOUBLE END AS wo, 2.0::DOUBLE * CAST(common AS DOUBLE) / CAST(na + nb AS DOUBLE) AS f1,
+  CASE WHEN len(bb.g) > 0 THEN CAST(len(list_intersect(bb.g, db.g)) AS DOUBLE) / CAST(len(bb.g) AS DOUBLE) ELSE 0.0::DOUBLE END AS bo, contains(bb.t, db.t) OR contains(db.t, bb.t) AS inside,
+  CAST(least(na, nb) AS DOUBLE) / CAST(greatest(na, nb) AS DOUBLE) AS lr, coalesce(hits, 0) AS hits, coalesce(anchors, 0) AS anchors
+  FROM size s JOIN bb USING (item_id) JOIN db USING (doc_id) LEFT JOIN wa USING (item_id) LEFT JOIN wm ON wm.doc_id = s.doc_id AND wm.item_id = s.item_id),
+ms AS (SELECT *, least(greatest((0.44::DOUBLE * wo + 0.24::DOUBLE * f1 + 0.18::DOUBLE * bo + 0.14::DOUBLE * 0.0::DOUBLE + CASE WHEN inside THEN 0.025::DOUBLE ELSE 0.0::DOUBLE END) * CASE WHEN lr < 0.55::DOUBLE THEN 0.88::DOUBLE ELSE 1.0::DOUBLE END
+  * CASE WHEN hits = 0 AND anchors >= 2 THEN 0.82::DOUBLE ELSE 1.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE) AS score FROM ft)"""
+
+
+def _scored(spark, d):
+    bt, dt, _, pairs = _bags(spark, d)
+    docs, items = _sides(spark, d)
+    idf, common = _corpus(items, "item_id")
+    p = retrieval.anchor_coverage(pairs, retrieval.anchor_weights(items, idf, "item_id", common), dt, "item_id", "doc_id")
+    gi = items.select("item_id", F.array_join("tokens", " ").alias("ti"), retrieval.anchor_bigrams(F.col("tokens"), common).alias("gi"))
+    gd = docs.select("doc_id", F.array_join("tokens", " ").alias("td"), retrieval.content_bigrams(F.col("tokens")).alias("gd"))
+    p = p.join(gi, "item_id").join(gd, "doc_id")
+    wo, bo = retrieval.share(F.col("matched4"), F.col("all4")), retrieval.share(F.size(F.array_intersect("gi", "gd")), F.size("gi"))
+    p = p.select("doc_id", "item_id", "na", "nb", "common", "hits", "anchors", wo.alias("wo"), bo.alias("bo"), (F.contains("ti", "td") | F.contains("td", "ti")).alias("inside"))
+    few = F.least("na", "nb") / F.greatest("na", "nb")
+    score = retrieval.match_score(F.col("wo"), retrieval.f1(F.col("common"), F.col("na"), F.col("nb")), F.col("bo"), F.lit(0.0), F.col("inside"), few, (F.col("hits") == 0) & (F.col("anchors") >= 2))
+    return p.select("doc_id", "item_id", score.alias("score"), "wo", "bo", "hits")
 
 
-@query("WITH " + SCORED + " SELECT doc_id, item_id, score FROM ms")
-def match_score_no_char(spark, d, lang="en"):
-    return _scored(spark, d, lang).select("doc_id", "item_id", "score")
+@query("WITH " + SCORED + " SELECT doc_id, item_id, score, wo, bo, hits FROM ms")
+def match_score_no_char(spark, d):
+    return _scored(spark, d)
 
 
 @query("WITH " + SCORED + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM ms)
 SELECT doc_id, max(CASE WHEN r = 1 THEN item_id END) AS best, max(CASE WHEN r = 1 THEN score END) AS best_score, max(CASE WHEN r = 2 THEN score END) AS next_score FROM o WHERE r <= 2 GROUP BY doc_id""")
-def best_and_runner_up(spark, d, lang="en"):
-    return retrieval.best_and_next(_scored(spark, d, lang), "doc_id", "score", "item_id")
+def best_and_runner_up(spark, d):
+    return retrieval.best_and_next(_scored(spark, d), "doc_id", "score", "item_id")
 
 
 @query("WITH " + SCORED + """, o AS (SELECT *, row_number() OVER w AS r, score - coalesce(lead(score) OVER w, 0) AS margin FROM ms WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, item_id))
-SELECT doc_id, item_id, score, margin, score >= 30000 AND margin >= 500 AND NOT (bo3 < 220 AND wo3 < 600) AS accepted FROM o WHERE r = 1""")
-def match_accept(spark, d, lang="en"):
+SELECT doc_id, item_id, score, margin, score >= 0.60::DOUBLE AND margin >= 0.02::DOUBLE AND NOT (hits = 0 AND wo < 0.52::DOUBLE) AND NOT (hits < 2 AND wo < 0.60::DOUBLE) AS accepted FROM o WHERE r = 1""")
+def match_accept(spark, d):
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id")
-    o = _scored(spark, d, lang).withColumns({"r": F.row_number().over(w), "margin": F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0))}).filter("r = 1")
-    return o.select("doc_id", "item_id", "score", "margin", ((F.col("score") >= 30000) & (F.col("margin") >= 500) & ~((F.col("bo3") < 220) & (F.col("wo3") < 600))).alias("accepted"))
+    o = _scored(spark, d).withColumns({"r": F.row_number().over(w), "margin": F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))}).filter("r = 1")
+    ok = retrieval.accepted(F.col("score"), F.col("margin"), F.col("wo"), F.col("bo"), F.col("hits"), F.lit(False), 0.60, 0.02)
+    return o.select("doc_id", "item_id", "score", "margin", ok.alias("accepted"))
 
 
 @query("WITH " + TOK + """, an AS (SELECT token FROM idf WHERE df <= 3), h AS (SELECT DISTINCT item_id, doc_id, token, cp - sp + k AS start FROM (SELECT b.item_id, a.doc_id, token, a.pos AS cp, b.pos AS sp FROM bt b JOIN dt a USING (token) WHERE token IN (SELECT token FROM an)), (SELECT unnest([-1, 0, 1]) AS k) WHERE cp - sp + k >= 0)
 SELECT item_id, doc_id, start, count(*) AS hits FROM h GROUP BY ALL HAVING count(*) >= 3""")
-def fragment_anchor_spans(spark, d, lang="en"):
-    bt, dt, idf, _ = _retrieval(spark, d, lang)
+def fragment_anchor_spans(spark, d):
+    bt, dt, idf, _ = _retrieval(spark, d)
     return retrieval.fragment_starts(bt, dt, idf.filter("df <= 3"), "item_id", "doc_id").filter("hits >= 3").select("item_id", "doc_id", F.col("start").cast("long").alias("start"), "hits")
 
 
-# the same over documents of every language; the statements above keep theirs
-for _name in ("candidate_top_k", "bag_f1", "weighted_overlap", "bigram_overlap", "match_score_no_char", "best_and_runner_up", "match_accept", "fragment_anchor_spans"):
-    QUERIES[f"{_name}_whole"] = functools.partial(QUERIES[_name], lang=None)
-    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(" WHERE lang = 'en'", "")
-
-
 @query()
 def char_ratio(spark, d):
     """Ratcliff-Obershelp similarity of each candidate pair's texts, in all languages."""
-    cand = _retrieval(spark, d, None)[3]
+    cand = _retrieval(spark, d)[3]
     a = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
     return cand.join(a, "doc_id").join(b, "item_id").select("doc_id", "item_id", X.char_ratio("a", "b").alias("ratio"))
@@ -581,9 +626,53 @@ def item_best_match(spark, d):
     return matching.best_matches(items, docs, cand, idf, "item_id", "doc_id", common)
 
 
-@query()
+_AR = "'قُلْ هُوَ، ٱللَّهُ. أَحَدٌ {x} 1٢' || chr(9) || text"
+_MARKS = r"'[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]'"
+
+
+def _arabic():
+    return F.concat(F.lit("قُلْ هُوَ، ٱللَّهُ. أَحَدٌ {x} 1٢\t"), F.col("text"))
+
+
+# these texts have no compatibility characters: the composed form is the compatibility form
+@query(rf"SELECT item_id, trim(regexp_replace(regexp_replace(translate(regexp_replace(replace(nfc_normalize({_AR}), 'ـ', ''), {_MARKS}, '', 'g'), 'أإآٱىؤئة', 'اااايويه'), '[^\x{{0600}}-\x{{06FF}}0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS folded FROM benchmark")
 def normalise_arabic(spark, d):
-    return table(spark, d, "benchmark").select("item_id", X.fold_arabic(F.concat(F.lit("قُلْ هُوَ ٱللَّهُ أَحَدٌ "), F.col("item_id").cast("string"))).alias("folded"))
+    return table(spark, d, "benchmark").select("item_id", X.fold_arabic(_arabic()).alias("folded"))
+
+
+@query(rf"""WITH b AS (SELECT item_id, {_AR} AS t FROM benchmark), c AS (SELECT *, regexp_replace(nfc_normalize(t), '[^\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}\x{{08A0}}-\x{{08FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}\s0-9٠-٩.,!?:;"''،؛؟-]', '', 'g') AS cap FROM b)
+SELECT item_id, regexp_replace(t, {_MARKS}, '', 'g') AS bare, trim(regexp_replace(replace(nfc_normalize(t), 'ـ', ''), '\s+', ' ', 'g'), ' ') AS shown, cap,
+  array_to_string(list_filter(regexp_split_to_array(regexp_replace(cap, '([،,:;؛.!?؟])', '\1 ', 'g'), '\s+'), lambda x: x <> ''), '|') AS words, regexp_matches(trim(t, ' '), '[.؟!:…]$') AS closed,
+  chr(8235) || replace(replace(t, '{{', '\{{'), '}}', '\}}') || chr(8236) || '\N' || chr(8235) || 'x' || chr(8236) AS ass FROM c""")
+def caption_texts(spark, d):
+    t = _arabic()
+    return table(spark, d, "benchmark").select(
+        "item_id", X.strip_diacritics(t).alias("bare"), X.render_arabic(t).alias("shown"), X.caption_arabic(t).alias("cap"), F.array_join(X.caption_words(t, clean=True), "|").alias("words"),
+        X.ends_with_mark(t).alias("closed"), X.rtl_lines(X.ass_escape(F.concat(t, F.lit("\\Nx")))).alias("ass"),
+    )
+
+
+@query("SELECT page_id, 'src' || page_id || CASE WHEN page_id % 3 > 0 THEN '__clip01' ELSE '' END AS stem, CASE WHEN page_id % 3 = 2 THEN 'warm' ELSE '' END AS preset, CAST(page_id % 7 AS VARCHAR) || ':' || page_id AS verse, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id % 7, page_id) AS place FROM pages".replace("|| CASE WHEN page_id % 3 > 0 THEN '__clip01' ELSE '' END ", ""))
+def file_names_and_keys(spark, d):
+    i = F.col("page_id")
+    name = F.concat(F.lit("/a.b/src"), i.cast("string"), F.when(i % 3 == 0, ".mp4").when(i % 3 == 1, "__clip01.mp4").otherwise("__clip01__warm.mp4"))
+    verse = F.concat((i % 7).cast("string"), F.lit(":"), i.cast("string"))
+    stem, preset = X.file_parts(name)
+    w = Window.partitionBy(i % 3).orderBy(*X.verse_order(verse))
+    return table(spark, d, "pages").select("page_id", stem.alias("stem"), preset.alias("preset"), verse.alias("verse"), F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(f"WITH w AS (SELECT conv_id, turn, {_SPLIT('text')} AS w FROM conversations) SELECT conv_id, turn, i AS pos, md5(array_to_string(w[1:i + 1], ' ')) AS shown FROM (SELECT *, unnest(range(0, len(w))) AS i FROM w)")
+def word_reveal(spark, d):
+    w = table(spark, d, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("w"))
+    w = w.select("conv_id", "turn", "w", F.posexplode("w").alias("pos", "_"))
+    return w.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.md5(X.revealed(F.col("w"), F.col("pos")).cast("binary")).alias("shown"))
+
+
+@query("SELECT role, count_if(turn % 3 = 1 AND trim(text, ' ') <> trim(text, ' ') || '!') AS changed FROM conversations GROUP BY role")
+def changed_rows(spark, d):
+    new = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.concat(F.trim("text"), F.lit("!"))).otherwise(F.trim("text"))
+    return table(spark, d, "conversations").groupBy("role").agg(catalog.changed_rows(F.col("text"), new).alias("changed"))
 
 
 @query("SELECT doc_id, " + _FOLD + " AS folded FROM documents")
@@ -689,15 +778,9 @@ def jobs_per_account_day(spark, d):
     return _jobs(spark, d).groupBy("account", F.to_date("ts").cast("string").alias("day")).agg(F.count_if(~F.col("status").isin(*schedule.CLOSED)).alias("n"))
 
 
-@query("WITH " + JOBS + " SELECT event_id, clip_id, account FROM jobs j WHERE j.event_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM jobs a WHERE a.clip_id = j.clip_id AND a.account = j.account AND a.event_id % 10 <> 0 AND a.status NOT IN ('cancelled', 'failed', 'posted'))")
-def active_job_guard(spark, d):
-    j = _jobs(spark, d)
-    return catalog.without_active_job(j.filter("event_id % 10 = 0"), j.filter("event_id % 10 <> 0"), ["clip_id", "account"], ["cancelled", "failed", "posted"]).select("event_id", "clip_id", "account")
-
-
 @query("WITH " + JOBS + """, half AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS t FROM jobs) SELECT event_id, clip_id, account FROM jobs j, half WHERE j.ts >= half.t
 AND NOT EXISTS (SELECT 1 FROM jobs a WHERE a.clip_id = j.clip_id AND a.account = j.account AND a.ts < half.t AND a.status NOT IN ('cancelled', 'failed', 'posted'))""")
-def active_job_guard_whole(spark, d):
+def active_job_guard(spark, d):
     """All events: those of the later half of the time are judged by those before."""
     j = _jobs(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     j = j.crossJoin(j.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("half")))
@@ -783,6 +866,45 @@ def beats_with_assets(spark, d):
     return j.select("conv_id", "turn", "role", F.coalesce("asset", "fallback").alias("asset"))
 
 
+@query("WITH " + JOBS + """, p AS (SELECT clip_id, account, min(ts) AS first, max(ts) AS last, count(*) AS n FROM jobs WHERE status = 'posted' GROUP BY ALL), old AS (SELECT doc_id AS clip_id, doc_id % 3 AS n0, CASE WHEN doc_id % 11 = 0 THEN 'a1' END AS who FROM documents),
+g AS (SELECT p.clip_id, sum(p.n) AS n, max(p.last) AS last, string_agg(p.account, ',' ORDER BY p.first, p.account) FILTER (o.who IS NULL OR p.account <> o.who) AS who FROM p JOIN old o USING (clip_id) GROUP BY ALL)
+SELECT o.clip_id, CAST(o.n0 + coalesce(g.n, 0) AS BIGINT) AS post_count, concat_ws(',', o.who, g.who) AS posted_accounts, strftime(g.last, '%Y-%m-%dT%H:%M:%S') AS last_posted_at FROM old o LEFT JOIN g USING (clip_id)""")
+def posted_updates(spark, d):
+    i = F.col("doc_id")
+    pool = table(spark, d, "documents").select(i.alias("clip_id"), (i % 3).alias("post_count"), F.when(i % 11 == 0, F.array(F.lit("a1"))).alias("posted_accounts"), F.lit(None).cast("timestamp").alias("last_posted_at"))
+    jobs = _jobs(spark, d).withColumn("posted_at", F.col("ts").cast("timestamp"))
+    out = catalog.posted_updates(pool, jobs)
+    return out.select("clip_id", "post_count", F.array_join("posted_accounts", ",").alias("posted_accounts"), F.date_format("last_posted_at", "yyyy-MM-dd'T'HH:mm:ss").alias("last_posted_at"))
+
+
+@query("WITH " + JOBS + """ SELECT event_id, CASE WHEN user_id % 3 > 0 AND user_id % 5 > 0 THEN 't' || user_id END AS access_token,
+  CASE WHEN user_id % 3 = 0 THEN 'account not found: ' || account WHEN user_id % 5 = 0 THEN 'missing access_token for account: ' || account END AS error FROM jobs""")
+def jobs_with_accounts(spark, d):
+    j = _jobs(spark, d)
+    u = F.col("user_id")
+    accounts = j.filter(u % 3 > 0).select("account", F.when(u % 5 > 0, F.concat(F.lit(" t"), u.cast("string"))).otherwise(" ").alias("access_token")).distinct()
+    return catalog.with_account(j, accounts).select("event_id", "access_token", "error")
+
+
+@query("WITH " + JOBS + """ SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS first, strftime(t + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS after,
+  status IN ('queued', 'draft_ready') AND scheduled_for IS NOT NULL AND scheduled_for <> 'soon' AND ts >= TIMESTAMP '2024-01-15' AS upcoming
+FROM (SELECT *, CASE WHEN scheduled_for <> 'soon' THEN date_trunc('day', ts) END AS t FROM jobs)""")
+def day_bounds(spark, d):
+    j = _jobs(spark, d)
+    first, after = catalog.day_bounds(F.substring("scheduled_for", 1, 10))
+    up = catalog.upcoming(F.col("status"), F.try_to_timestamp("scheduled_for"), F.lit("2024-01-15T00:00:00").cast("timestamp"))
+    return j.select("event_id", F.date_format(first, "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(after, "yyyy-MM-dd HH:mm:ss").alias("after"), up.alias("upcoming"))
+
+
+@query(ORACLES["daily_plan"].replace(" SELECT clip_id, slot FROM p JOIN fr USING (r)", "").replace("\nSELECT clip_id, slot FROM p JOIN fr USING (r)", "") + """ SELECT 'a1__2024-01-10' AS plan_key, (SELECT count(*) FROM mine) AS existing, (SELECT count(*) FROM p JOIN fr USING (r)) AS created, 'new' AS updated_at
+UNION ALL SELECT 'a2__2024-01-10', 1, 2, 'old'""")
+def recorded_plans(spark, d):
+    jobs = _jobs(spark, d).select("clip_id", "account", "status", "scheduled_for")
+    plan = schedule.daily_plan(_pool(spark, d), jobs, "a1", "2024-01-10", 8, 6, "s")
+    old = spark.createDataFrame([("a1__2024-01-10", "a1", "2024-01-10", 8, 0, 0, False, "old"), ("a2__2024-01-10", "a2", "2024-01-10", 8, 1, 2, False, "old")], "plan_key string, account string, date string, target long, existing long, created long, dry_run boolean, updated_at string")
+    return schedule.record_day(plan, jobs, old, "a1", "2024-01-10", 8, "new")[1].select("plan_key", "existing", "created", "updated_at")
+
+
 @query("WITH " + JOBS + " SELECT clip_id, status, event_id FROM jobs QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY ts DESC, event_id DESC) = 1")
 def last_job_status(spark, d):
     j = _jobs(spark, d).select("clip_id", "ts", "event_id", "status")
@@ -800,14 +922,18 @@ def conversation_modes(spark, d):
 
 
 def _stream_dirs(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="timbrel-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="timbrel-stream-")
     import uuid
 
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/state"
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def history_stream(spark, d):
     """Hourly counts of the event history, read as a stream to its present end; complete hours and the open ones alike."""
     schema = table(spark, d, "events").schema

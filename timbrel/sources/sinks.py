@@ -32,10 +32,33 @@ def srt_text(segments: DataFrame, keys: Sequence[str], number_all: bool = True)
     return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["cue"]), "\n").alias("srt"))
 
 
-def ass_line(start_cs: Column, end_cs: Column, style: Column, text: Column) -> Column:
-    """One event line of an ASS subtitle file; braces and line ends are escaped."""
-    safe = F.replace(F.replace(F.replace(text, F.lit("{"), F.lit("(")), F.lit("}"), F.lit(")")), F.lit("\n"), F.lit("\\N"))
-    return F.concat(F.lit("Dialogue: 0,"), X.ass_time(start_cs), F.lit(","), X.ass_time(end_cs), F.lit(","), style, F.lit(",,0,0,0,,"), safe)
+def ass_line(start_cs: Column, end_cs: Column, text: Column, style: str = "Default", lead: str = "", right_to_left: bool = False) -> Column:
+    """One event line of an ASS subtitle file; braces are escaped, line ends become soft breaks."""
+    safe = X.ass_escape(F.replace(text, F.lit("\n"), F.lit("\\N")))
+    safe = X.rtl_lines(safe) if right_to_left else safe
+    return F.concat(F.lit("Dialogue: 0,"), X.ass_time(start_cs), F.lit(","), X.ass_time(end_cs), F.lit(f",{style},,0,0,0,,{lead}"), safe)
+
+
+def ass_header(width: int = 1080, height: int = 1920, font: str = "Arial", size: int = 64, colour: str = "&H00FFFFFF") -> str:
+    """Script, style and event sections up to the first event line."""
+    fields = ("Name", "Fontname", "Fontsize", "PrimaryColour", "Alignment", "MarginL", "MarginR", "MarginV")
+    return "\n".join([
+        "[Script Info]", "ScriptType: v4.00+", f"PlayResX: {width}", f"PlayResY: {height}", "", "[V4+ Styles]", "Format: " + ", ".join(fields),
+        f"Style: Default,{font},{size},{colour},5,40,40,40", "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text", "",
+    ])
+
+
+def ass_text(events: DataFrame, keys: Sequence[str], header: str, **how) -> DataFrame:
+    """keys, ass: one subtitle document as text for each key, of events (keys, idx, start_cs, end_cs, text)."""
+    rows = events.filter("trim(text) <> ''")
+    line = ass_line(F.col("start_cs"), F.col("end_cs"), F.trim("text"), **how)
+    listed = F.sort_array(F.collect_list(F.struct("idx", line.alias("line"))))
+    return rows.groupBy(*keys).agg(F.concat(F.lit(header), F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), F.lit("\n")).alias("ass"))
+
+
+def text_files(df: DataFrame, path: str, name: str, text: str) -> None:
+    """Write each row's text, line ends and all, under a folder of its name; the committer makes all visible at once."""
+    df.select(F.col(name), F.col(text).alias("value")).write.mode("overwrite").partitionBy(name).text(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
