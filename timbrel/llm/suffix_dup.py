@@ -235,9 +235,10 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_strings(rows: DataFrame) -> DataFrame:
     """(doc, th, marks): ranges of starts of strings that start anywhere else too; ``rows``: doc_id, th, text."""
     every = settle(rows.mapInArrow(tidy(_anchor_rows), "key long, ctx long, doc long, th long, first long, many int"), "suffix-all-anchors")
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # counted first, joined then: a plain join, whose skewed keys the planner splits
+    shared = settle(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "suffix-shared")
     found = settle(every.join(shared, "key"), "suffix-anchors")
-    discard(every)
+    discard(every, shared)
     ctxs = found.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "first", "many")).alias("m"))
     ctxs = settle(ctxs.select("key", "ctx", "n", "m.*"), "suffix-contexts")
     # a context met once may share strings with another of its minimiser
@@ -264,7 +265,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     A null text is empty. Rows count as places of their own: two equal rows of 400 bytes or more
-    are removed whole, null or repeated doc_ids make no difference.
+    are removed whole, null or repeated doc_ids make no difference. Very long texts are taken
+    whole. Only doc_id and text are read, so other columns may bear any name; an empty table
+    gives none.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
