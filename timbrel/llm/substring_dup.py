@@ -209,9 +209,10 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     """
     docs = docs.filter(F.col("doc_id").isNotNull())
     every = settle(docs.mapInArrow(tidy(_anchor_rows), "key long, ctx long, doc long, version long, first int, many int"), "sub-all-anchors")
-    shared = every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
+    # counted first, joined then: a plain join, whose skewed keys the planner splits
+    shared = settle(every.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key"), "sub-shared")
     found = settle(every.join(shared, "key"), "sub-anchors")
-    discard(every)
+    discard(every, shared)
     ctxs = found.groupBy("key", "ctx").agg(F.min(F.struct("doc", "version", "first", "many")).alias("m"))
     ctxs = settle(ctxs.select("key", "ctx", "m.*"), "sub-contexts")
     several = ctxs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > TOGETHER).alias("large"))
@@ -222,11 +223,12 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-routed.count() // SHARD))
     masks = routed.repartition(shards, "route").mapInArrow(tidy(_search), "key long, ctx long, mask long")
     masks = masks.groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask"))
-    verdict = ctxs.select("key", "ctx", F.col("doc").alias("least")).join(masks, ["key", "ctx"], "left")
+    verdict = settle(ctxs.select("key", "ctx", F.col("doc").alias("least")).join(masks, ["key", "ctx"], "left"), "sub-verdict")
+    discard(routed)
     whole = F.expr("shiftleft(1L, many) - 1")
     marks = found.join(verdict, ["key", "ctx"]).select("doc", "version", "first", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("long"))).alias("mask"))
     marks = settle(marks.filter("mask <> 0").groupBy("doc", "version").agg(F.collect_list(F.struct("first", "mask")).alias("marks")), "sub-marks")
-    discard(found, ctxs, routed)
+    discard(found, ctxs, verdict)
     return marks
 
 
