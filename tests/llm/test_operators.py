@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from timbrel.llm import ann, langid, mixing, near_dup, packing, quality, quality_rules, substring_dup, suffix_dup, url_filter
+from timbrel.llm import ann, langid, mixing, near_dup, ngrams, packing, quality, quality_rules, substring_dup, suffix_dup, url_filter
 from timbrel.llm.hilbert import hilbert_key
 from timbrel.llm.suffix_array import suffix_array
 
@@ -144,6 +145,16 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_urls_on_awkward_tables(spark):
+    kind = "page_id long, url string, host string, rule string, weight string, _url string, _t string"
+    assert url_filter.url_filter(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "http://a.net/casino", *"xxxxx"), (1, "http://a.net/casino", *"xxxxx"), (None, "HTTP://B.NET/" + "y" * 200_000 + "/WIN/free", *"xxxxx"), (3, "", *"xxxxx")]
+    got = url_filter.url_filter(spark.createDataFrame(rows, kind)).collect()
+    assert [(r.page_id, r.verdict, r.weight) for r in got] == [(1, "block", 2), (1, "block", 2), (None, "block", 2), (3, "allow", 0)]
+    heavy = url_filter.url_filter(spark.createDataFrame(rows, kind), vocabulary={"casino": 1}, limit=2).collect()
+    assert [r.verdict for r in heavy] == ["allow"] * 4
+
+
 def test_hilbert_neighbours_touch():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     key = hilbert_key(grid, 3)
@@ -176,9 +187,84 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert ann.nearest(df.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def held_out_accuracy(rows, truth):
-    rows = [r for r in rows if r.held_out and r.doc_id in truth]
-    return rows, truth
+def recall_of(spark, v, every, monkeypatch, **how):
+    """Recall against brute force, and the curves and windows that were fitted."""
+    fitted = []
+    fit = ann._fitted
+    monkeypatch.setattr(ann, "_fitted", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    n = len(v)
+    path = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [x.tolist() for x in v]}))
+    got = {}
+    for x in ann.nearest(path, F.col("vec_id") % every == 0, **how).collect():
+        got.setdefault(x.query_id, {})[x.rank] = x.vec_id
+    hits = 0
+    for q, near in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(near.values()) & set(np.lexsort((np.arange(n), -s))[:20].tolist()))
+    assert set(got) == set(range(0, n, every))
+    return hits / (20 * len(got)), fitted[0]
+
+
+def test_recall_with_windows_far_below_the_table(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    centres = r.standard_normal((400, 64))
+    v = centres[r.integers(0, 400, 24_000)] + 0.25 * r.standard_normal((24_000, 64))
+    recall, (curves, side) = recall_of(spark, v, 40, monkeypatch)
+    assert recall >= 0.9 and curves > 1 and 20 * side < len(v)
+
+
+def test_recall_without_clusters(spark, monkeypatch):
+    v = np.random.default_rng(2).standard_normal((20_000, 64))
+    recall, _ = recall_of(spark, v, 40, monkeypatch)
+    assert recall >= 0.9
+
+
+def test_windows_are_the_cheapest_that_hold_the_recall():
+    rank = np.array([[500, 500], [500, 500]])
+    near = np.array([[[510, 9000], [505, 9000]], [[9000, 510], [9000, 505]]])
+    assert ann.cheapest(rank, near, 100_000, 1.0) == (2, ann.LEAST)
+    assert ann.cheapest(rank, near, 600, 1.0) == (1, 8500)
+
+
+def test_neighbours_on_awkward_tables(spark):
+    kind = "vec_id long, embedding array<float>, q string, c string, v string, rank string"
+    assert ann.nearest(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).count() == 0
+    rows = [(0, [1.0, 0.0], *"xxxx"), (0, [1.0, 0.0], *"xxxx"), (1, [0.5, 0.0], *"xxxx"), (2, [1.0, 0.0], *"xxxx"), (None, [9.0, 0.0], *"xxxx")]
+    got = ann.nearest(spark.createDataFrame(rows, kind), F.col("vec_id") % 20 == 0).collect()
+    assert [(x.query_id, x.rank, x.vec_id, x.score) for x in sorted(got, key=lambda x: x.rank)] == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
+
+
+def test_quality_votes_match_plain_cosines(spark):
+    r = random.Random(8)
+    good = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(40)]
+    bad = [" ".join(r.choice("xyz") * 4 + "!!" for _ in range(60)) for _ in range(40)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, ALL)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80) if i % 2], "doc_id long, quality int")
+    m = quality.train(docs, labels)
+    got = {x.doc_id: x.score for x in quality.score_documents(docs, labels).collect()}
+    for i, t, *_ in rows:
+        x = quality.embed([quality.counts(t, quality.ORDERS, quality.BITS, False)], m.idf, m.axes)[0]
+        sims = sorted(((float(x @ y), float(k)) for y, k in zip(m.vectors, m.labels)), reverse=True)[: quality.NEIGHBOURS]
+        total = sum(max(s, 0.0) ** quality.POWER for s, _ in sims)
+        want = sum(max(s, 0.0) ** quality.POWER * k for s, k in sims) / total
+        assert abs(got[i] - want) < 1e-3
+    assert all((got[i] >= 0.3) == (i < 40) for i in got)
+
+
+def test_repeated_words_are_marked():
+    at, n = quality.counts("so so so it is", (2,), 12, False)
+    want, m = quality.ngrams.counts(f"so {quality.REPEAT} {quality.REPEAT} it is", (2,), 12, False)
+    assert at.tolist() == want.tolist() and n.tolist() == m.tolist()
+
+
+def test_samples_stay_bounded(spark):
+    rows = [(i % 700, "en" if i % 3 else "de", f"text {i}") for i in range(3000)]
+    learn = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = ngrams.by_hash(learn.select("doc_id", "lang").distinct(), "lang", 50).groupBy("lang").count().collect()
+    assert {x.lang: x["count"] for x in got} == {"en": 50, "de": 50}
+    assert langid.train(learn, 50) is not None
 
 
 def test_quality_on_held_out_rows(spark):
@@ -231,6 +317,7 @@ def test_packing_round_trip(spark):
     texts += [t for _, t, _ in docs[:40]]
     rows = list(enumerate(texts))
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {p.step_group for p in pieces}
     of: dict = {}
     for p in pieces:
         of.setdefault(p.doc_id, []).append(p)
@@ -253,6 +340,32 @@ def test_packing_round_trip(spark):
         assert at == s[0][2] <= 2048 and at & (at - 1) == 0
 
 
+def test_step_groups_get_about_the_same_tokens(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "POOL_TOKENS", 1 << 15)
+    monkeypatch.setattr(packing, "STEP_TOKENS", 1 << 13)
+    r = random.Random(6)
+    texts = [" ".join(r.choices(["the", "of", "and", "a"], k=r.choice([30, 200, 900, 5000]))) for _ in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    groups, tiers = Counter(), {}
+    for b in packing.pack_partition(iter([batch]), packing.tokenizer_path(), packing.TIERS, 1, 0):
+        for x in b.to_pylist():
+            groups[x["step_group"]] += x["length"]
+            tiers.setdefault(x["step_group"], set()).add(x["tier"])
+    full = sorted(groups.values())[1:]  # the partition's last may be smaller
+    assert len(full) > 10 and max(full) <= 1.5 * min(full)
+
+
+def test_another_tokenizer_encodes_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    assert not packing.Encoder(path).by_word
+    (p,) = packing.pack(spark.createDataFrame([(1, "Hello  world. ünï")], "doc_id long, text string"), path).collect()[:1]
+    assert p.doc_tokens == len(Tokenizer.from_file(path).encode("Hello  world. ünï", add_special_tokens=False).ids) + 1
+
+
 def test_key_scheme_finds_all_pairs_under_the_distance():
     r = np.random.default_rng(1)
     for _ in range(300):
@@ -295,6 +408,31 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def test_near_duplicates_under_one_id(spark):
+    base = [f"a{i}" for i in range(60)]
+    other = [f"b{i}" for i in range(60)]
+    near = lambda w: " ".join([*w[:59], "z"])
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, near(other)), (3, near(base)), (4, None), (5, " ".join(f"c{i}" for i in range(60))), (5, " ".join(base)), (5, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in near_dup.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 1, False), (5, 5, True)]
+    assert sorted((x.doc_id, (x.text or "")[:2]) for x in near_dup.keep_first(df).collect()) == [(1, "a0"), (1, "b0"), (4, ""), (5, "c0")]
+
+
+def test_substrings_under_one_id(spark):
+    a, c = " ".join(f"a{i}" for i in range(100)), " ".join(f"c{i}" for i in range(100))
+    df = spark.createDataFrame([(1, a), (5, a), (5, c), (5, a + " x"), (7, "y " + c)], "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dup.substring_dedup(df).collect())
+    assert got == [(1, 100, 0), (5, 100, 0), (5, 100, 100), (5, 101, 100), (7, 101, 100)]
+    assert sorted((x.doc_id, x.text) for x in substring_dup.cut_repeats(df).collect()) == [(1, a), (5, c), (5, "x"), (7, "y")]
+
+
+def test_empty_documents_are_mixed_once_at_most(spark):
+    rows = [(i, "" if i % 2 else "one two three", "en", "big" if i < 40 else "small", 0) for i in range(60)]
+    got = Counter(r.doc_id for r in mixing.mix_rows(spark.createDataFrame(rows, ALL)).collect())
+    assert max(got.values()) == 2 and all(n == 1 for i, n in got.items() if i % 2)
+
+
 def brute_windows(rows, n=13):
     words = {i: WORD.findall(t or "") for i, t in rows}
     first: dict = {}

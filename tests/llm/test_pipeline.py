@@ -42,3 +42,15 @@ def test_stages(spark, tmp_path):
 def test_run_applies_all_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
     assert "sequence_id" in corpus_pipeline.run(spark, SF).columns
+
+
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    from .test_operators import ALL, AWKWARD
+
+    for rows in (AWKWARD, []):
+        docs = spark.createDataFrame(rows, ALL)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{len(rows)}-{k}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert docs.count() > 0 if rows else docs.count() == 0, name

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, settle, ship, table, tidy
+from .common import discard, remainder, settle, ship, table, tidy
 from .ngrams import by_hash, counts, document_frequency, idf_of, sample_vectors, tfidf
 
 ORDERS, BITS = (1, 2, 3), 13
@@ -94,6 +94,7 @@ def train(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     idf = idf_of(df, n)
     code = {y: i for i, y in enumerate(labels)}
     rows = [(code[y], at, tfidf(at, c, idf).astype(np.float32)) for _, y, at, c in sample_vectors(picked, ORDERS, BITS, True)]
+    discard(ids)
     left = rows[4::5]
     fit = [r for i, r in enumerate(rows) if i % 5 != 4]
     w, b = train_ftrl(fit, len(labels), 1 << BITS)

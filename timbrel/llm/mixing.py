@@ -77,7 +77,7 @@ def mix_plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), total_percent
         found = hist.join(state.select(F.col("source").alias("_s"), "below", "budget"), F.col("source").eqNullSafe(F.col("_s")))
         found = found.filter(F.col("below") + F.col("upto") > F.col("budget")).groupBy("source").agg(F.min(F.struct("bucket", "n", "upto")).alias("m"))
         found = found.select(F.col("source").alias("_f"), "m")
-        state = settle(
+        old, state = state, settle(
             state.join(found, F.col("source").eqNullSafe(F.col("_f")), "left").select(
                 "source", "source_size", "target", "times", "budget",
                 F.coalesce("m.bucket", F.lit(-1).cast("long")).alias("prefix"),
@@ -86,6 +86,7 @@ def mix_plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), total_percent
             ),
             "mix-state",
         )
+        discard(old)
     fits = 2 * F.col("below") + F.col("held") <= 2 * F.col("budget")  # the last documents go in if that comes nearer
     cut = F.when(fits, F.col("prefix")).otherwise(F.col("prefix") - 1)
     # without a budget left no hash is taken once more, that of an empty document neither

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import remainder, settle, ship, table, tidy
+from .common import discard, remainder, settle, ship, table, tidy
 from .ngrams import by_hash, document_frequency, idf_of, sample_vectors
 
 ORDERS, BITS = (2, 3), 12
@@ -78,6 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     ids = settle(by_hash(here, "label", per_class), "quality-sample")
     picked = docs.join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").alias("key"), "label").agg(F.min("text").alias("text"))
     got = sample_vectors(picked, ORDERS, BITS, False, counts)
+    discard(ids)
     if not got:
         return None
     df, n = document_frequency(docs, ORDERS, BITS, False, counts)
