@@ -16,27 +16,43 @@ _MODULES = (mixing, url_filter, ann, quality, quality_rules, suffix_dup, packing
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Every row is scored by its whole text, however long; null and empty texts by the voters' mean
+    label. Repeated rows and ids are scored each; an empty table, or one without labels, stays.
+    """
     return quality.keep_good(docs, quality.learnable(table(spark, sf_dir, "labels")))
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Null and empty texts and rows with a null id stay; rows that share an id are judged by their
+    texts, and rows alike in both stay together. An empty table gives none.
+    """
     return near_dup.keep_first(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of words that an earlier document holds; what is left empty goes."""
+    """Texts without the windows of words that an earlier document holds; what is left empty goes.
+
+    Null texts, texts without words and rows with a null id stay as they are. n_chars is that of
+    the text before. An empty table gives none.
+    """
     return substring_dup.cut_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Null sources are one source; documents without words are taken once at most. An empty table
+    gives none.
+    """
     return mixing.mix_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null or empty text is the end id alone. An empty table gives none."""
     return packing.pack(docs)
 
 
