@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch, where the session doesn't name another number than the usual.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, where the session doesn't name other numbers than the usual.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -37,9 +37,9 @@ def ship(spark: SparkSession) -> None:
     if _ROOT not in sys.path:
         sys.path.insert(0, _ROOT)
     # ten thousand long texts in one batch would fill a worker
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows, "10000") == "10000":
-        spark.conf.set(rows, str(BATCH_ROWS))
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -34,8 +34,8 @@ SYMBOLS, BITS = 48, 16
 #: than this with a probability of about 4e-6.
 DISTANCE = 26
 CHUNKS = (6, 5, 5, 6, 5, 5, 6, 5, 5)
-#: Members up to which a key's pairs are spelled out; texts of a block.
-FEW, BLOCK = 4, 512
+#: Members up to which a key's pairs are spelled out; texts of a block, and shingles that its texts have together, on average.
+FEW, BLOCK, HEAVY = 4, 512, 1 << 19
 #: Columns of an incidence matrix that are multiplied at a time.
 _COLUMNS = 4096
 
@@ -229,8 +229,9 @@ def _components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     clusters = settle(connected_components(pairs.unionByName(many)), "near-clusters")
     discard(members, keys)
     clusters = clusters.withColumnRenamed("comp", "cluster")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    some = reps.join(clusters.join(blocks, "cluster"), "id").select("id", F.col("doc").alias("_doc"), F.col("th").alias("_th"), "cluster", "blocks")
+    inside = reps.select("id", F.col("doc").alias("_doc"), F.col("th").alias("_th"), "n").join(clusters, "id")
+    blocks = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HEAVY)).alias("blocks"))
+    some = inside.join(blocks, "cluster").select("id", "_doc", "_th", "cluster", "blocks")
     texts = docs.join(some, (docs["doc_id"] == some["_doc"]) & (docs["th"] == some["_th"]))
     sets = settle(texts.select("id", "text", "cluster", "blocks").mapInArrow(tidy(_sets), "id long, set array<long>, cluster long, blocks long"), "near-sets")
     block = F.pmod(F.xxhash64(F.lit(1), "id"), "blocks")

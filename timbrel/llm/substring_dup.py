@@ -30,7 +30,7 @@ WINDOW, RUN = 13, 5
 #: Runs in a window; a minimiser governs at most as many windows.
 SPAN = WINDOW - RUN + 1
 #: Contexts of one minimiser that stay together; larger groups are dealt by window. Contexts of a shard.
-TOGETHER, SHARD = 2000, 60_000
+TOGETHER, SHARD = 2000, 30_000
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from .suffix_array import repeated_starts
 LENGTH, RUN = 400, 256
 SPAN = LENGTH - RUN + 1
 #: Contexts of one minimiser that stay together; larger groups are counted by string. Bytes of a shard.
-TOGETHER, SHARD = 1500, 2_000_000
+TOGETHER, SHARD = 1500, 1_000_000
 #: Strings of one text that are looked at together.
 _STEP = 1 << 20
 #: Powers of the hash's base that a worker keeps.
