@@ -308,6 +308,39 @@ def test_outliers_go_and_their_group_stays(spark):
     assert not any(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(300)) >= 298
 
 
+def plain_mcd(x, h=0.75):
+    """Concentration steps with exact subsets from the same two starts; squared distances by the better one."""
+    p, n = x.shape[1], len(x)
+    floor = np.diag(np.square(quality_rules.FLOORS))
+    factor = h / quality_rules._chi2_cdf(quality_rules.chi2_quantile(h, p), p + 2)
+    med = np.median(x, axis=0)
+    best = None
+    for m, c in ((med, np.diag((1.4826 * np.median(np.abs(x - med), axis=0)) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
+        for _ in range(60):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floor), x - m)
+            near = x[np.argsort(d)[: int(np.ceil(h * n))]]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * factor
+        det = np.linalg.slogdet(c + floor)[1]
+        if best is None or det < best[0]:
+            best = det, np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floor), x - m)
+    return best[1]
+
+
+def test_distances_match_exact_estimates(spark):
+    r = np.random.default_rng(4)
+    a = r.standard_normal((400, 5)) @ np.diag([0.5, 0.8, 0.2, 0.3, 0.2]) + [5, 6, 0, 1, 0]
+    b = r.standard_normal((300, 5)) * 0.4 + [3, 4, 1, 0, 0]
+    b[:60] += [3, -2, 2, 1, 1]  # a fifth lies elsewhere
+    rows = [(2, "x", g, *map(float, v), i) for g, xs in (("a", a), ("b", b)) for i, v in enumerate(xs)]
+    df = spark.createDataFrame(rows, "level int, g_lang string, g_source string, " + ", ".join(f"{x} double" for x in quality_rules.X) + ", i int")
+    got = quality_rules._join(df, quality_rules.mcd(df.drop("i")), quality_rules.KEY).select("g_source", "i", quality_rules._distance().alias("d")).collect()
+    limit = quality_rules.chi2_quantile(1 - quality_rules.TAIL, 5) * quality_rules.TAIL_FACTOR
+    for g, xs in (("a", a), ("b", b)):
+        want, mine = plain_mcd(xs), np.array([x.d for x in sorted((x for x in got if x.g_source == g), key=lambda x: x.i)])
+        assert ((want > limit) == (mine > limit)).all() and np.abs(np.log(mine / want)).max() < 0.2
+    assert np.median(plain_mcd(b)[:60]) > 5 * np.median(plain_mcd(b)[60:])
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

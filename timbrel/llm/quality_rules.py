@@ -13,14 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import discard, settle, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Base limits: fewest words, and the largest share of words in repeated windows (per cent).
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Part of a group that a concentration step keeps; steps; least rows for a group's own estimate.
-PART, STEPS, MIN_GROUP = 0.75, 4, 60
+#: Part of a group that a concentration step keeps; least rows for a group's own estimate.
+PART, MIN_GROUP = 0.75, 60
+#: Steps end when no group's log determinant falls by as much, which it can do only so often; their number at most.
+SETTLED, STEPS = 0.01, 20
 #: Share of normal data beyond the limit of distance, and the factor that allows for tails heavier than normal.
 TAIL, TAIL_FACTOR = 1e-6, 2.5
 #: Standard deviation that a transformed statistic has at least.
@@ -146,7 +148,8 @@ def mcd(rows: DataFrame) -> DataFrame:
     """KEY, m_i, l_ij: centre and Cholesky factor of each group's estimate; rows: KEY and x_i.
 
     A group's part of nearest rows is cut by counts over bins of the distance's logarithm, so
-    nothing but sums is ever gathered for a group, however large.
+    nothing but sums is ever gathered for a group, however large. Steps from both starts go on
+    until no group's determinant falls any more; only the largest fall reaches the driver.
     """
     keys = [*KEY, "start"]
     med = rows.groupBy(*KEY).agg(*[F.percentile_approx(x, F.lit(0.5), 2000).alias(f"m{i}") for i, x in enumerate(X)], F.count("*").alias("n"))
@@ -169,7 +172,11 @@ def mcd(rows: DataFrame) -> DataFrame:
         cut = bins.filter(F.col("upto") >= PART * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("cut"))
         step = _moments(_join(near, cut, keys).filter(F.col("bin") <= F.col("cut")), keys)
         step = step.select(*keys, *[f"m{i}" for i in range(P)], *[(F.col(f"c{i}{j}") * factor).alias(f"c{i}{j}") for i, j in PAIRS], "n")
-        params = settle(_with_cholesky(step), "mcd")
+        old, params = params, settle(_with_cholesky(step), "mcd")
+        fall = _join(params.select(*keys, "logdet"), old.select(*keys, F.col("logdet").alias("before")), keys).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        discard(old)
+        if fall is None or fall < SETTLED:
+            break
     best = params.groupBy(*KEY).agg(F.min_by(F.struct(*[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS]), F.struct("logdet", "start")).alias("b"))
     return best.select(*KEY, "b.*")
 
@@ -182,6 +189,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     MIN_GROUP documents is estimated together with the other small ones of its language, and
     if these are still too few, with all such; with fewer than MIN_GROUP even then, nothing
     but the base limits judges (distance null). Every row stands for itself, repeated ones too.
+    Whole texts are read, however long; only the columns named are, so others may bear any name;
+    an empty table gives none.
     """
     stats = text_statistics(docs, ["doc_id", "lang", "source"])
     stats = settle(stats.select("*", base_failed().alias("base_failed"), *[c.alias(x) for c, x in zip(transformed(), X, strict=True)]), "rules-statistics")
