@@ -21,8 +21,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Part of a group that a concentration step keeps; least rows for a group's own estimate.
 PART, MIN_GROUP = 0.75, 60
-#: Steps end when no group's log determinant falls by as much, which it can do only so often; their number at most.
-SETTLED, STEPS = 0.01, 20
+#: Steps end when no group's log determinant falls by as much (the bins let it wander by about 0.04); their number at most.
+SETTLED, STEPS = 0.05, 10
 #: Share of normal data beyond the limit of distance, and the factor that allows for tails heavier than normal.
 TAIL, TAIL_FACTOR = 1e-6, 2.5
 #: Standard deviation that a transformed statistic has at least.
