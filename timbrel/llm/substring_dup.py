@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ SPAN = WINDOW - RUN + 1
 TOGETHER, SHARD = 2000, 30_000
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text's word hashes: key, context hash, first window and number of windows of each minimiser."""
+def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the word hashes of texts, one after another: key, context hash, text, first window in it and number of windows of each minimiser."""
     n = len(h) - WINDOW + 1
     if n <= 0:
         e = np.zeros(0, np.int64)
-        return e.view(np.uint64), e.view(np.uint64), e, e
+        return e.view(np.uint64), e.view(np.uint64), e, e, e
     g = windows(h, RUN)
     # the leftmost of the least: windows double in length, then two overlap
     low, at, length = g, np.arange(len(g), dtype=np.int32), 1
@@ -49,18 +50,22 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         at = np.where(right < left, at[step:], at[:m])
         low = np.minimum(left, right)
         length += step
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    many = np.diff(np.append(first, n))
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    inside = np.flatnonzero(np.arange(n) + WINDOW <= ends[text])  # windows of one text
+    at, low, text = at[inside], low[inside], text[inside]
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(inside) else inside
+    first, many = inside[new], np.diff(np.append(new, len(inside)))
     # hash of the words [first, first + many + WINDOW - 1) by prefix sums of a polynomial
     power = [p[: len(h)] for p in _powers(len(h))]
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[1], dtype=np.uint64)))
     end = first + many + WINDOW - 1
-    ctx = mix((run[end] - run[first]) * power[0][first] + many.astype(np.uint64) * np.uint64(31) + (at[first] - first).astype(np.uint64))
-    return low[first], ctx, first, many  # low is the minimiser's own hash
+    ctx = mix((run[end] - run[first]) * power[0][first] + many.astype(np.uint64) * np.uint64(31) + (at[new] - first).astype(np.uint64))
+    return low[new], ctx, text[new], first - (ends - sizes)[text[new]], many  # low is the minimiser's own hash
 
 
-#: Powers of the hash's base and of its inverse that a worker keeps.
-KEPT = 1 << 13
+#: Powers of the hash's base and of its inverse that a worker keeps; words of texts that are hashed together.
+KEPT, TOGETHER_WORDS = 1 << 15, 1 << 14
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -84,19 +89,35 @@ def _powers(n: int) -> list[np.ndarray]:
     return _kept() if n <= KEPT else _powers_to(n)
 
 
+def _word_blocks(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Places of some neighbouring texts that have a window, their numbers of words, and their words."""
+    at: list[int] = []
+    sizes: list[int] = []
+    words: list[bytes] = []
+    for i, t in enumerate(texts):
+        w = t.split() if t else []
+        if len(w) < WINDOW:
+            continue
+        if words and len(words) + len(w) > TOGETHER_WORDS:
+            yield at, sizes, words
+            at, sizes, words = [], [], []
+        at.append(i)
+        sizes.append(len(w))
+        words += w
+    if words:
+        yield at, sizes, words
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 128):
-            c = b.slice(at, 128)
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for i, version, t in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), c.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                words = t.split() if t else []
-                if len(words) >= WINDOW:
-                    key, ctx, first, many = anchors(word_hashes(words))
-                    for x, v in zip(out, (key.view(np.int64), ctx.view(np.int64), np.full(len(key), i, np.int64), np.full(len(key), version, np.int64), first.astype(np.int32), many.astype(np.int32)), strict=True):
-                        x.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "ctx", "doc", "version", "first", "many"])
+        for row in range(0, b.num_rows, 256):
+            c = b.slice(row, 256)
+            doc, version = c.column(0).to_numpy(), c.column(1).to_numpy()
+            for at, sizes, words in _word_blocks(c.column(2).cast(pa.binary()).to_pylist()):
+                key, ctx, text, first, many = anchors(word_hashes(words), np.array(sizes))
+                own = np.array(at)[text]
+                cols = (key.view(np.int64), ctx.view(np.int64), doc[own], version[own], first.astype(np.int32), many.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "ctx", "doc", "version", "first", "many"])
     forget()
 
 
@@ -112,24 +133,37 @@ def _unsqueezed(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if z else b""
 
 
+def _listed(column: pa.ListArray, *names: str) -> tuple[list[int], list[np.ndarray]]:
+    """Borders of each row's part of the named fields, and these fields, of a list of structs; a null list has an empty part."""
+    return column.offsets.to_pylist(), [column.values.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(route, key, ctx, doc, offset, words): one row for a context, or one for each window of a large group."""
-    for b in batches:
-        for doc, z, todo in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            words = _unsqueezed(z).split()
-            rows = []
-            for x in todo:
-                first, many = x["first"], x["many"]
-                if not x["large"]:
-                    rows.append((x["key"], x["key"], x["ctx"], doc, 0, b" ".join(words[first : first + many + WINDOW - 1])))
-                else:
-                    hs = windows(word_hashes(words[first : first + many + WINDOW - 1]), WINDOW).view(np.int64)
-                    rows += [(int(hs[k]), x["key"], x["ctx"], doc, k, b" ".join(words[first + k : first + k + WINDOW])) for k in range(many)]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.int32(), pa.binary()], strict=True)], ["route", "key", "ctx", "doc", "offset", "words"]
-                )
+    for batch in batches:
+        for row in range(0, batch.num_rows, 64):
+            b = batch.slice(row, 64)
+            docs = b.column(0).to_numpy()
+            borders, (keys, ctxs, firsts, counts, large) = _listed(b.column(2), "key", "ctx", "first", "many", "large")
+            route, which, own, offset, texts = [], [], [], [], []
+            for i, z in enumerate(b.column(1).to_pylist()):
+                words = _unsqueezed(z).split()
+                low, high = borders[i], borders[i + 1]
+                for j, key, first, many, apart in zip(range(low, high), keys[low:high].tolist(), firsts[low:high].tolist(), counts[low:high].tolist(), large[low:high].tolist(), strict=True):
+                    if apart:
+                        route += windows(word_hashes(words[first : first + many + WINDOW - 1]), WINDOW).view(np.int64).tolist()
+                        texts += [b" ".join(words[first + k : first + k + WINDOW]) for k in range(many)]
+                        offset += range(many)
+                    else:
+                        route.append(key)
+                        texts.append(b" ".join(words[first : first + many + WINDOW - 1]))
+                        offset.append(0)
+                    new = len(route) - len(which)
+                    which += [j] * new
+                    own += [i] * new
+            if route:
+                cols = (np.array(route, np.int64), keys[which], ctxs[which], docs[own], np.array(offset, np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(texts, pa.binary())], ["route", "key", "ctx", "doc", "offset", "words"])
     forget()
 
 
@@ -178,26 +212,25 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[span]) for c in ("key", "ctx")] + [pa.array(bits)], ["key", "ctx", "mask"])
 
 
-def _removed(n: int, marks: list[dict] | None) -> np.ndarray:
-    """Which of ``n`` words lie in a marked window."""
-    edge = np.zeros(n + 1, np.int64)
-    for x in marks or ():
-        for k in range(SPAN):
-            i = x["first"] + k
-            if x["mask"] >> k & 1 and i + WINDOW <= n:
-                edge[i] += 1
-                edge[i + WINDOW] -= 1
-    return np.cumsum(edge[:n]) > 0
+def _removed(n: int, first: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which of ``n`` words lie in a marked window; bit k of a mask marks the window k words after its ``first``."""
+    start = (first[:, None].astype(np.int64) + np.arange(SPAN))[(mask[:, None] >> np.arange(SPAN)) & 1 == 1]
+    start = start[start + WINDOW <= n]
+    return np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(start + WINDOW, minlength=n + 1))[:n] > 0
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        borders, (firsts, masks) = _listed(b.column(2), "first", "mask")
         rows = []
-        for doc, z, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            words = _unsqueezed(z).split()
-            gone = _removed(len(words), marks)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+        for i, (doc, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            words, cut = _unsqueezed(z).split(), 0
+            n, part = len(words), slice(borders[i], borders[i + 1])
+            if part.start < part.stop:
+                gone = _removed(n, firsts[part], masks[part])
+                cut = int(gone.sum())
+                words = list(compress(words, (~gone).tolist()))
+            rows.append((doc, n, cut, hashlib.sha256(b" ".join(words)).hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -269,12 +302,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             for k in range(0, b.num_rows, 128):
                 c = b.slice(k, 128)
                 texts = c.column(at).to_pylist()
-                for i, m in enumerate(c.column(c.num_columns - 1).to_pylist()):
-                    if m is not None and texts[i] is not None:
+                borders, (firsts, masks) = _listed(c.column(c.num_columns - 1), "first", "mask")
+                for i, (low, high) in enumerate(pairwise(borders)):
+                    if low < high and texts[i] is not None:
                         words = texts[i].encode().split()
-                        gone = _removed(len(words), m)
+                        gone = _removed(len(words), firsts[low:high], masks[low:high])
                         if gone.any():
-                            texts[i] = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() or None
+                            texts[i] = b" ".join(compress(words, (~gone).tolist())).decode() or None
                 stays = pa.compute.or_(c.column(at).is_null(), pa.array([t is not None for t in texts]))
                 cols = [c.column(j) if j != at else pa.array(texts, c.column(at).type) for j in range(c.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(stays)
