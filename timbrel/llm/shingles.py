@@ -6,30 +6,13 @@ import numpy as np
 import xxhash
 
 MASK = (1 << 64) - 1
-#: Words whose hash is kept.
-CACHE = 200_000
-_known: dict[bytes, bytes] = {}
 #: Odd factors of a window's places.
 _FACTORS = [(0xD6E8FEB86659FD93 * (2 * k + 1) ** 3 + 2 * k * 0x9E3779B97F4A7C15 | 1) & MASK for k in range(16)]
 
 
-def forget() -> None:
-    """Free what is kept; for the end of a task, as the worker's next may be another operator's."""
-    _known.clear()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word; a word's hash is the same in every process."""
-    known = _known
-    try:
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint64)
-    except KeyError:
-        if len(known) > CACHE:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w).to_bytes(8, "little")
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=">u8").astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
