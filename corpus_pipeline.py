@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbrel.llm import ann, langid, mixing, near_dup, packing, quality, quality_rules, substring_dup, suffix_dup, url_filter
+from timbrel.llm import (
+    ann, filter_audit, langid, mixing, near_dup, packing, quality, quality_rules, sharding, source_audit, substring_dup, suffix_dup, url_filter,
+)
 from timbrel.llm.common import settle, table
 
-_MODULES = (mixing, url_filter, ann, quality, quality_rules, suffix_dup, packing, near_dup, substring_dup, langid)
+_MODULES = (mixing, url_filter, ann, quality, quality_rules, suffix_dup, packing, near_dup, substring_dup, langid, source_audit, filter_audit, sharding)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
