@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, settle, table
+from .common import ascii_lower, settle, table
 
-#: A term is a run of ASCII letters and of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of ASCII letters and of anything beyond ASCII; this is what lies between terms.
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Probabilities are whole numbers of this unit.
 UNIT = 1_000_000_000
+#: Counts below this times UNIT fit a long.
+FITS = 9_000_000_000
 #: A language's vocabulary is dealt to so many keys when it meets the language's groups.
 SALTS = 32
 
@@ -23,14 +25,13 @@ SALTS = 32
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), d (documents), in one pass.
 
-    A text's terms are sorted, so that the first of equal ones can be told by the one before it;
-    counting documents then needs no shuffle of documents.
+    A text's matches, here what lies between the gaps, are sorted, so that the first of equal ones can be told
+    by the one before it; counting documents then needs no shuffle of documents.
     """
-    words = docs.select(
-        *_groups_of(docs), F.sort_array(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0))).alias("t")
-    )
+    text = ascii_lower(F.coalesce("text", F.lit("")))
+    words = docs.select(*_groups_of(docs), F.sort_array(F.split(text, GAP)).alias("t"))
     beside = words.select("lang", "source", F.explode(F.arrays_zip("t", F.concat(F.array(F.lit("")), "t").alias("before"))).alias("z"))
-    one = beside.filter("z.t IS NOT NULL").select("lang", "source", F.col("z.t").alias("term"), (F.col("z.t") != F.col("z.before")).cast("long").alias("first"))
+    one = beside.filter("z.t <> ''").select("lang", "source", F.col("z.t").alias("term"), (F.col("z.t") != F.col("z.before")).cast("long").alias("first"))
     return one.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("d"))
 
 
@@ -39,9 +40,9 @@ def _groups_of(docs: DataFrame) -> list[Column]:
 
 
 def probability(n: Column, total: Column, vocabulary: Column) -> Column:
-    """1 + floor(UNIT * (n + 1) / (total + vocabulary)), in decimals, which don't overflow."""
-    above = F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    return 1 + _div(above, (total + vocabulary).cast("decimal(20,0)"))
+    """1 + floor(UNIT * (n + 1) / (total + vocabulary)); in decimals where the product doesn't fit a long."""
+    wide = _div(F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + vocabulary).cast("decimal(20,0)"))
+    return 1 + F.when(n < FITS, _div(F.lit(UNIT).cast("long") * (n + 1), total + vocabulary)).otherwise(wide)
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -62,32 +63,35 @@ def source_audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFr
     Rows on the way grow with kept terms times squared sources of a language. A value is below
     (UNIT + kept terms)^2, which a long holds up to two billion kept terms.
     """
-    counts = settle(term_counts(docs), "audit-counts")
-    vocabulary = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("d").alias("d")).filter(F.col("d") >= least_docs).select("lang", "term", "all_n")
-    vocabulary = settle(vocabulary, "audit-vocabulary")
-    kept = settle(counts.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"]), "audit-kept")
-    discard(counts)
+    by_term = term_counts(docs).groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("all_n"), F.collect_list(F.struct("source", "n")).alias("counts"))
+    vocabulary = settle(by_term.filter(F.col("d") >= least_docs).select("lang", "term", "all_n", "counts"), "audit-vocabulary")
+    kept = vocabulary.select("lang", "term", "all_n", F.inline("counts"))
     groups = docs.select(*_groups_of(docs)).distinct()
     groups = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
     groups = groups.join(vocabulary.groupBy("lang").agg(F.sum("all_n").alias("all_total"), F.count("*").alias("v")), "lang", "left")
     groups = settle(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "all_total", "v")]), "audit-groups")
-    return pairs(vocabulary, kept, groups).unionByName(terms(kept, groups, top)).select("lang", "source", "part", "item", "value", "rank")
+    return pairs(vocabulary, groups).unionByName(terms(kept, groups, top)).select("lang", "source", "part", "item", "value", "rank")
 
 
-def dense(vocabulary: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, term, source, p: every group with every kept term of its language."""
-    salted = vocabulary.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt"))
+def dense(vocabulary: DataFrame, groups: DataFrame) -> DataFrame:
+    """lang, term, source, p: every group with every kept term of its language.
+
+    A term's counts, no more than its language has sources, come along, so that zeros need no second join.
+    """
+    salted = vocabulary.select("lang", "term", F.map_from_entries("counts").alias("n"), F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt"))
     dealt = groups.select("lang", "source", "total", "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    crossed = salted.join(dealt, ["lang", "salt"]).join(kept.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-    return crossed.select("lang", "term", "source", probability(F.coalesce("n", F.lit(0)), F.col("total"), F.col("v")).alias("p"))
+    n = F.coalesce(F.element_at("n", F.col("source")), F.lit(0).cast("long"))
+    return salted.join(dealt, ["lang", "salt"]).select("lang", "term", "source", probability(n, F.col("total"), F.col("v")).alias("p"))
 
 
-def pairs(vocabulary: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """Part ``pair``: the sum of divergences over all kept terms, for each other source."""
-    a = settle(dense(vocabulary, kept, groups), "audit-dense")
+def pairs(vocabulary: DataFrame, groups: DataFrame) -> DataFrame:
+    """Part ``pair``: the sum of divergences over all kept terms, for each other source. Two groups meet once, for both directions."""
+    a = settle(dense(vocabulary, groups), "audit-dense")
     b = a.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    both = a.join(b, ["lang", "term"]).filter(F.col("source") != F.col("item"))
-    found = both.groupBy("lang", "source", "item").agg(F.sum(divergence(F.col("p"), F.col("q"))).alias("value"))
+    both = a.join(b, ["lang", "term"]).filter(F.col("source") < F.col("item"))
+    sums = both.groupBy("lang", "source", "item").agg(F.sum(divergence(F.col("p"), F.col("q"))).alias("there"), F.sum(divergence(F.col("q"), F.col("p"))).alias("back"))
+    ways = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    found = sums.select("lang", F.inline(ways))
     bare = groups.filter("v = 0").select("lang", "source")
     none = bare.join(bare.select("lang", F.col("source").alias("item")), "lang").filter(F.col("source") != F.col("item")).withColumn("value", F.lit(0).cast("long"))
     return found.unionByName(none).withColumn("part", F.lit("pair")).withColumn("rank", F.row_number().over(_order()))
