@@ -140,3 +140,33 @@ def schedule_beats(clips: DataFrame, length: str, intro: int, outro: int, beat:
 
     out = clips.withColumn("_b", F.aggregate(centres, start, step)["out"])
     return out.select(*clips.columns, F.posexplode("_b").alias("_n", "_r")).select(*clips.columns, (F.col("_n") + 1).cast("long").alias("beat_no"), "_r.*")
+
+
+def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, name: str = "island") -> DataFrame:
+    """Add the number of a row's island: rows of a key, by ``start``, between which no earlier row reaches.
+
+    What happens in one island doesn't touch another, so a fold may take them one by one.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0)
+    return rows.withColumn("_fresh", fresh).withColumn(name, F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
+def tile_accepted(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-to-right tiling where a place without a window is passed over. windows: keys, idx, size, one at most for a place.
+
+    A window is taken if no taken one reaches beyond its start. Windows that no other reaches into begin a fold of their
+    own, so a state is as small as a chain of overlapping windows, not as a key's rows.
+    """
+    spread = islands(windows.withColumn("_to", F.col("idx") + F.col("size")), keys, "idx", "_to")
+    start = F.struct(F.lit(None).cast("long").alias("next"), F.array().cast("array<struct<idx:bigint,size:bigint>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        here = F.struct((x["idx"] + x["size"]).cast("long").alias("next"), F.concat(a["out"], F.array(F.struct(x["idx"].cast("long").alias("idx"), x["size"].cast("long").alias("size")))).alias("out"))
+        return F.when(a["next"].isNull() | (x["idx"] >= a["next"]), here).otherwise(a)
+
+    out = ordered_fold(spread, [*keys, "island"], [F.col("idx")], ["idx", "size"], start, step)
+    return out.select(*keys, F.explode("state.out").alias("r")).select(*keys, "r.*")

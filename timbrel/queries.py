@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.lexicons import LATIN
-from .operators import catalog, folds, intervals, matching, retrieval, scoring
+from .operators import catalog, folds, intervals, retrieval, scoring
 from .plans import clips, schedule
 from .sources import readers, sinks
 from .sources.readers import segments, table
@@ -617,15 +617,6 @@ def voted_candidates(spark, d):
     return retrieval.voted_candidates(docs, items, idf, "doc_id", "item_id", 80, common)
 
 
-@query()
-def item_best_match(spark, d):
-    """Each benchmark item's best document of any language, whole or a span of it."""
-    docs, items = _sides(spark, d)
-    idf, common = _corpus(docs, "doc_id")
-    cand = retrieval.voted_candidates(items, docs, idf, "item_id", "doc_id", 80, common)
-    return matching.best_matches(items, docs, cand, idf, "item_id", "doc_id", common)
-
-
 _AR = "'قُلْ هُوَ، ٱللَّهُ. أَحَدٌ {x} 1٢' || chr(9) || text"
 _MARKS = r"'[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]'"
 
@@ -952,3 +943,6 @@ def _complete(counts: DataFrame, out: str, state: str) -> None:
 def _is_folder(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+from . import queries_matching  # noqa: E402, F401  (registers its queries)
