@@ -10,6 +10,8 @@ from timbrel.functions.lexicons import ARABIC, LATIN
 from timbrel.operators import catalog, folds, intervals, retrieval, scoring
 from timbrel.plans import clips, schedule
 from timbrel.sources import readers, sinks
+from timbrel.sources.readers import local_date
+from timbrel.sources.store import KeyedTable, shared_folder
 
 SEG = "doc_id long, idx long, text string, start_c long, end_c long"
 
@@ -132,29 +134,66 @@ def test_due(spark):
 
 
 def test_slots(spark):
-    assert scalar(spark, catalog.slots(F.lit("2024-03-10").cast("date"), F.lit(4))) == ["2024-03-10T03:00:00", "2024-03-10T09:00:00", "2024-03-10T15:00:00", "2024-03-10T21:00:00"]
-    assert scalar(spark, catalog.slots(F.lit("2024-03-10").cast("date"), F.lit(0))) == []
+    day, n = F.lit("2024-03-10").cast("date"), F.lit
+    assert scalar(spark, catalog.slots(day, n(4), 0, 24)) == ["2024-03-10T03:00:00", "2024-03-10T09:00:00", "2024-03-10T15:00:00", "2024-03-10T21:00:00"]
+    assert scalar(spark, catalog.slots(day, n(0))) == []
+    assert scalar(spark, catalog.slots(day, n(2), 8, 22, "America/New_York")) == ["2024-03-10T11:30:00-04:00", "2024-03-10T18:30:00-04:00"]
+    assert scalar(spark, catalog.slots(F.lit("2024-01-10").cast("date"), n(2), 8, 22, "Asia/Kolkata"))[0] == "2024-01-10T11:30:00+05:30"
+    from datetime import datetime, timedelta
+
+    for per_day in (1, 3, 7, 11, 13):
+        step = 14 * 3600 / per_day
+        want = [(datetime(2024, 3, 10, 8) + timedelta(seconds=step * (i + 0.5))).isoformat() for i in range(per_day)]
+        assert scalar(spark, catalog.slots(day, n(per_day))) == want
+    for hours in ((-1, 5), (24, 24), (8, 8), (9, 25)):
+        with pytest.raises(ValueError):
+            catalog.slots(day, n(1), *hours)
+
+
+def test_local_dates(spark):
+    df = spark.createDataFrame([("2024-01-10T03:00:00+00:00",), ("2024-01-10T03:00:00-05:00",), ("2024-01-10T23:59:59-05:00",), ("2024-07-01T04:00:00Z",), ("soon",), (None,)], "t string")
+    got = [str(r.d) for r in df.select(local_date(F.col("t"), "America/New_York").alias("d")).collect()]
+    assert got == ["2024-01-09", "2024-01-10", "2024-01-10", "2024-07-01", "None", "None"]
 
 
 def _catalogue(spark):
     none = "array<string>"
-    c = spark.createDataFrame([(i, f"s{i % 2}", "approved", None, None, None, None) for i in range(6)], f"clip_id long, source string, status string, tags {none}, blocked_accounts {none}, allowed_accounts {none}, posted_accounts {none}")
-    j = spark.createDataFrame([(0, "a", "cancelled", "2024-01-01T06:00:00"), (1, "a", "queued", "2024-01-01T18:00:00")], "clip_id long, account string, status string, scheduled_for string")
+    c = spark.createDataFrame([(i, f"s{i % 2}", "approved", ["dua"] if i else None, None, None, None) for i in range(6)], f"clip_id long, source string, status string, tags {none}, blocked_accounts {none}, allowed_accounts {none}, posted_accounts {none}")
+    j = spark.createDataFrame([(0, "a", "cancelled", "2024-01-01T10:20:00-05:00"), (1, "a", "queued", "2024-01-01T23:30:00-05:00"), (2, "a", None, None)], "clip_id long, account string, status string, scheduled_for string")
     return c, j
 
 
-def test_daily_plan_frees_closed_slots(spark):
+def test_a_day_keeps_closed_slots_and_counts_open_jobs(spark):
     c, j = _catalogue(spark)
-    assert values(schedule.daily_plan(c, j, "a", "2024-01-01", 3, 2, "x"), "slot") == [("2024-01-01T06:00:00",)]
-    assert schedule.daily_plan(c, j, "a", "2024-01-01", 3, 2, "x", free_closed_slots=False).count() == 0
-    picked = values(schedule.daily_plan(c, j, "a", "2024-01-02", 2, 2, "x"), "clip_id")
-    assert len({i % 2 for (i,) in picked}) == 2
+    plan = schedule.daily_plan(c, j, "a", "2024-01-01", per_day=3, seed="x").orderBy("scheduled_for").collect()
+    assert [r.scheduled_for for r in plan] == ["2024-01-01T15:00:00-05:00", "2024-01-01T19:40:00-05:00"]  # of three the first is the cancelled job's
+    assert all(r.clip_id != 1 and (r.status, r.platform, r.account, r.notes) == ("queued", "tiktok", "a", "") for r in plan)
+    assert all(r.hashtags == ["#islam", "#muslim", "#reminder"] + ["#dua"] * (r.clip_id > 0) for r in plan)
+    # half an hour before midnight there is the next day elsewhere
+    assert schedule.daily_plan(c, j, "a", "2024-01-02", per_day=3, zone="UTC", seed="x").count() == 2
+    assert len({r.source for r in schedule.daily_plan(c, j, "a", "2024-01-02", per_day=2, seed="x").collect()}) == 2
+    tagged = schedule.daily_plan(c, j, "a", "2024-01-03", per_day=9, tag="dua", seed="x").collect()
+    assert {r.clip_id for r in tagged} == {1, 2, 3, 4, 5}
+    with pytest.raises(ValueError):
+        schedule.daily_plan(c, j, " ", "2024-01-01")
 
 
 def test_days_share_no_clip(spark):
     c, j = _catalogue(spark)
-    got = values(schedule.several_days(c, j, "b", ["2024-01-01", "2024-01-02"], 2, 2, "x"), "clip_id")
-    assert len(got) == len(set(got)) == 4
+    got = schedule.several_days(c, j, "b", ["2024-01-01", "2024-01-02"], per_day=2, seed="x").collect()
+    assert len({r.clip_id for r in got}) == len(got) == 4
+    assert len({(r.scheduled_for[:10], r.source) for r in got}) == 4
+    # a day with an open job needs one less, and what a full day doesn't need goes to the next
+    two = schedule.several_days(c, j, "a", ["2024-01-01", "2024-01-02"], per_day=1, seed="x").collect()
+    assert [r.scheduled_for[:10] for r in two] == ["2024-01-02"] and two[0].clip_id != 1
+    one = schedule.several_days(c, j, "b", ["2024-01-05"], per_day=2, seed="x").select("clip_id", "scheduled_for").collect()
+    assert sorted(one) == sorted(schedule.daily_plan(c, j, "b", "2024-01-05", per_day=2, seed="x").select("clip_id", "scheduled_for").collect())
+
+
+def test_a_plan_of_more_days_grows_in_proportion(spark):
+    c, j = _catalogue(spark)
+    size = lambda n: schedule.several_days(c, j, "b", [f"2024-01-{k:02d}" for k in range(1, n + 1)], per_day=1)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(12) == size(2)
 
 
 def test_match_score_and_acceptance(spark):
@@ -249,15 +288,27 @@ def test_text_files_keep_their_lines(spark, tmp_path):
 
 
 def test_a_dry_run_writes_the_plan_alone(spark):
-    from timbrel.plans import schedule
-
-    plan = spark.createDataFrame([(1, "2024-01-01T06:00:00")], "clip_id long, slot string")
-    jobs = spark.createDataFrame([(9, "a", "queued", "2024-01-01T01:00:00"), (8, "a", "failed", "2024-01-01T02:00:00")], "clip_id long, account string, status string, scheduled_for string")
+    c, j = _catalogue(spark)
+    plan = schedule.daily_plan(c, j, "a", "2024-01-01", per_day=3, seed="x", at="now")
     for dry in (False, True):
-        out, plans, history = schedule.record_day(plan, jobs, None, "a", "2024-01-01", 3, "now", dry)
-        assert out.count() == (2 if dry else 3)
-        assert [tuple(r) for r in plans.collect()] == [("a__2024-01-01", "a", "2024-01-01", 3, 1, 1, dry, "now")]
-        assert history.first().type == "daily_schedule_run"
+        out, plans, history = schedule.record_day(plan, j, None, "a", "2024-01-01", "now", dry, per_day=3)
+        assert out.count() == (3 if dry else 5)
+        row = plans.first()
+        assert (row.plan_key, row.target, row.existing, row.created, row.unfilled, row.start_hour, row.dry_run) == ("a__2024-01-01", 3, 1, 2, 0, 8, dry)
+        assert [x.scheduled_for[11:16] for x in row.jobs] == ["15:00", "19:40"]
+        assert sorted(r.type for r in history.collect()) == ["daily_schedule_run"] + ["scheduled_job_created"] * (0 if dry else 2)
+
+
+def test_a_written_day_is_not_planned_twice(spark):
+    c, j = _catalogue(spark)
+    queue, plans, log = KeyedTable(spark, shared_folder(spark, "q"), ["job_id"], 4), KeyedTable(spark, shared_folder(spark, "p"), ["plan_key"], 4), shared_folder(spark, "h")
+    queue.write(schedule.as_jobs(c.filter("clip_id = 5").withColumn("slot", F.lit("2024-01-01T08:00:00-05:00")), "a", "tiktok", "old"))
+    assert schedule.write_day(c, queue, plans, log, "a", "2024-01-01", "1", dry_run=True, per_day=3) == 2 and queue.read().count() == 1
+    assert schedule.write_day(c, queue, plans, log, "a", "2024-01-01", "2", per_day=3) == 2 and queue.read().count() == 3
+    assert schedule.write_day(c, queue, plans, log, "a", "2024-01-01", "3", per_day=3) == 0 and queue.read().count() == 3
+    row = plans.read().first()
+    assert plans.read().count() == 1 and (row.existing, row.created, row.updated_at) == (3, 0, "3")
+    assert spark.read.parquet(log).groupBy("type").count().collect() and spark.read.parquet(log).filter("type = 'scheduled_job_created'").count() == 2
 
 
 def test_editorial_rules(spark):

@@ -65,13 +65,42 @@ def diverse_pick(clips: DataFrame, key: str, source: str, seed: str, n: int, by:
     return top.withColumn("place", F.row_number().over(Window.orderBy("_again", "_rnd", key)).cast("long")).drop("_rnd", "_k", "_again")
 
 
-def slots(day: Column, n: Column) -> Column:
-    """``n`` wall-clock times in the middle of equal parts of a day, as text; n <= 0: none."""
-    step = F.floor(F.lit(86400) / n)
-    at = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.floor((2 * i + 1) * step / 2).cast("long")))
+def check_hours(per_day: int, start_hour: int, end_hour: int) -> None:
+    if per_day < 1:
+        raise ValueError("a day needs one post at least")
+    if not (0 <= start_hour <= 23 and 1 <= end_hour <= 24 and start_hour < end_hour):
+        raise ValueError("hours must be 0 to 23 and 1 to 24, the first before the second")
+
+
+def slots(day: Column, n: Column, start_hour: int = 8, end_hour: int = 22, zone: str | None = None) -> Column:
+    """``n`` wall-clock times in the middle of equal parts of [start_hour, end_hour), as ISO text; n <= 0: none.
+
+    Parts are exact to the microsecond, which are shown where there are any. With ``zone`` each
+    time carries that zone's offset then.
+    """
+    check_hours(1, start_hour, end_hour)
+    span = (end_hour - start_hour) * 3600 * 1_000_000
+    k = F.greatest(n, F.lit(1)).cast("long")
+    index = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: start_hour * 3600 * 1_000_000 + F.call_function("div", (2 * i + 1) * span + k, 2 * k))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+
+    def text(us: Column) -> Column:
+        s = F.call_function("div", us, F.lit(1_000_000).cast("long"))
+        part = lambda size, within=None: F.call_function("div", s, F.lit(size).cast("long")) % (within or 10**9)
+        whole = F.concat(day.cast("string"), F.lit("T"), two(part(3600)), F.lit(":"), two(part(60, 60)), F.lit(":"), two(s % 60))
+        us = us % 1_000_000
+        shown = F.when(us == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(us.cast("string"), 6, "0")))
+        return shown if zone is None else F.concat(shown, _offset(F.to_timestamp(whole), zone))
+
+    return F.when(n > 0, F.transform(index, text)).otherwise(F.array().cast("array<string>"))
+
+
+def _offset(wall: Column, zone: str) -> Column:
+    """+hh:mm or -hh:mm of a zone at a wall-clock time."""
+    minutes = F.call_function("div", F.unix_timestamp(wall) - F.unix_timestamp(F.to_utc_timestamp(wall, zone)), F.lit(60).cast("long"))
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    text = lambda s: F.concat(day.cast("string"), F.lit("T"), two(F.floor(s / 3600).cast("long")), F.lit(":"), two(F.floor(s / 60).cast("long") % 60), F.lit(":"), two(s % 60))
-    return F.coalesce(F.transform(at, text), F.array().cast("array<string>"))
+    size = F.abs(minutes)
+    return F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.call_function("div", size, F.lit(60).cast("long"))), F.lit(":"), two(size % 60))
 
 
 def by_position(left: DataFrame, right: DataFrame, by: Sequence[str], left_order: Sequence[Column], right_order: Sequence[Column]) -> DataFrame:

@@ -14,6 +14,7 @@ from .operators import catalog, folds, intervals, retrieval, scoring
 from .plans import clips, schedule
 from .sources import readers, sinks
 from .sources.readers import segments, table
+from .sources.store import KeyedTable, shared_folder
 from .streaming import history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -784,18 +785,28 @@ def diverse_pick(spark, d):
     return catalog.diverse_pick(_pool(spark, d).filter("status = 'approved'").select("clip_id", "source"), "clip_id", "source", "7", 30)
 
 
-@query("""SELECT event_id, unnest(list_transform(range(0, event_id % 6), lambda i: strftime(CAST(ts AS DATE), '%Y-%m-%d') || 'T' || strftime(TIMESTAMP '2000-01-01' + to_seconds(((2 * i + 1) * (86400 // (event_id % 6))) // 2), '%H:%M:%S'))) AS slot FROM events WHERE event_id % 6 > 0""")
+_US = lambda n, i: f"(((2 * {i} + 1) * 50400000000 + {n}) // (2 * {n}))"
+_SLOT = lambda day, n, i: f"{day} || 'T' || strftime(TIMESTAMP '2000-01-01' + to_microseconds(28800000000 + {_US(n, i)}), '%H:%M:%S') || CASE WHEN {_US(n, i)} % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST({_US(n, i)} % 1000000 AS VARCHAR), 6, '0') END"
+
+
+@query(f"""SELECT event_id, unnest(list_transform(range(0, n), lambda i: {_SLOT("strftime(CAST(ts AS DATE), '%Y-%m-%d')", "n", "i")})) AS slot FROM (SELECT event_id, ts, event_id % 17 AS n FROM events) WHERE n > 0""")
 def slot_plan(spark, d):
-    return table(spark, d, "events").select("event_id", F.explode(catalog.slots(F.to_date("ts"), F.col("event_id") % 6)).alias("slot"))
+    """Posting times from 8 to 22 o'clock for every event's day, 0 to 16 of them."""
+    return table(spark, d, "events").select("event_id", F.explode(catalog.slots(F.to_date("ts"), F.col("event_id") % 17)).alias("slot"))
+
+
+# in January the zone is five hours behind
+PLAN = "WITH " + POOL + ", " + JOBS + f""", day AS (SELECT * FROM jobs WHERE account = 'a1' AND scheduled_for <> 'soon' AND CAST(CAST(nullif(scheduled_for, 'soon') AS TIMESTAMP) - INTERVAL 5 HOUR AS DATE) = DATE '2024-01-10'), mine AS (SELECT * FROM day WHERE status NOT IN ('cancelled', 'failed')),
+need AS (SELECT greatest(0, {{target}} - count(*)) AS n FROM mine), fit AS (SELECT clip_id, source, lang, md5('s|2024-01-10|' || CAST(clip_id AS VARCHAR)) AS rnd FROM pool WHERE status = 'approved' AND {{tagged}} AND NOT blocked AND NOT other_only AND NOT posted AND clip_id NOT IN (SELECT clip_id FROM mine)),
+k AS (SELECT *, CASE WHEN coalesce(source, '') <> '' AND row_number() OVER (PARTITION BY source ORDER BY rnd, clip_id) = 1 THEN 0 ELSE 1 END AS again FROM fit), p AS (SELECT clip_id, source, lang, row_number() OVER (ORDER BY again, rnd, clip_id) AS r FROM k QUALIFY r <= (SELECT n FROM need)),
+sl AS (SELECT unnest(list_transform(range(0, {{target}}), lambda i: {_SLOT("'2024-01-10'", "{target}", "i")} || '-05:00')) AS slot), fr AS (SELECT slot, row_number() OVER (ORDER BY slot) AS r FROM sl WHERE slot NOT IN (SELECT scheduled_for FROM day WHERE scheduled_for IS NOT NULL))"""
 
 
-@query("WITH " + POOL + ", " + JOBS + """, mine AS (SELECT * FROM jobs WHERE account = 'a1' AND scheduled_for LIKE '2024-01-10%' AND status NOT IN ('cancelled', 'failed')),
-need AS (SELECT greatest(0, 8 - count(*)) AS n FROM mine), fit AS (SELECT clip_id, source, md5('s|2024-01-10|' || CAST(clip_id AS VARCHAR)) AS rnd FROM pool WHERE status = 'approved' AND NOT blocked AND NOT other_only AND NOT posted AND clip_id NOT IN (SELECT clip_id FROM mine)),
-k AS (SELECT *, CASE WHEN coalesce(source, '') <> '' AND row_number() OVER (PARTITION BY source ORDER BY rnd, clip_id) = 1 THEN 0 ELSE 1 END AS again FROM fit), p AS (SELECT clip_id, row_number() OVER (ORDER BY again, rnd, clip_id) AS r FROM k QUALIFY r <= (SELECT n FROM need)),
-sl AS (SELECT unnest(list_transform(range(0, 6), lambda i: '2024-01-10T' || strftime(TIMESTAMP '2000-01-01' + to_seconds((2 * i + 1) * 14400 // 2), '%H:%M:%S'))) AS slot), fr AS (SELECT slot, row_number() OVER (ORDER BY slot) AS r FROM sl WHERE slot NOT IN (SELECT scheduled_for FROM mine WHERE scheduled_for IS NOT NULL))
-SELECT clip_id, slot FROM p JOIN fr USING (r)""")
+@query(PLAN.format(target=40, tagged="lang = 'en'") + """ SELECT clip_id, slot, md5('a1|' || CAST(clip_id AS VARCHAR) || '|' || slot) AS job_id, 'tiktok' AS platform, lang || chr(10) || translate(source, '-_', '  ') AS caption, '#islam #muslim #reminder' AS hashtags FROM p JOIN fr USING (r)""")
 def daily_plan(spark, d):
-    return schedule.daily_plan(_pool(spark, d), _jobs(spark, d), "a1", "2024-01-10", 8, 6, "s")
+    """A day of an account: local dates, posting hours, a tag, closed jobs keep their slots."""
+    plan = schedule.daily_plan(_pool(spark, d), _jobs(spark, d), "a1", "2024-01-10", per_day=40, tag="en", seed="s")
+    return plan.select("clip_id", F.col("scheduled_for").alias("slot"), "job_id", "platform", F.col("caption_text").alias("caption"), F.array_join("hashtags", " ").alias("hashtags"))
 
 
 @query(r"""SELECT page_id FROM (SELECT page_id, regexp_split_to_array(lower(regexp_extract(html, '<title>([^<]*)', 1)), '[\s,;|/()\[\]]+') AS t FROM pages) WHERE NOT list_has_any(t, ['the', 'der', 'les'])""")
@@ -887,13 +898,20 @@ def day_bounds(spark, d):
     return j.select("event_id", F.date_format(first, "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(after, "yyyy-MM-dd HH:mm:ss").alias("after"), up.alias("upcoming"))
 
 
-@query(ORACLES["daily_plan"].replace(" SELECT clip_id, slot FROM p JOIN fr USING (r)", "").replace("\nSELECT clip_id, slot FROM p JOIN fr USING (r)", "") + """ SELECT 'a1__2024-01-10' AS plan_key, (SELECT count(*) FROM mine) AS existing, (SELECT count(*) FROM p JOIN fr USING (r)) AS created, 'new' AS updated_at
-UNION ALL SELECT 'a2__2024-01-10', 1, 2, 'old'""")
+@query(PLAN.format(target=41, tagged="true") + """ SELECT 'a1__2024-01-10' AS plan_key, (SELECT count(*) FROM mine) AS existing, (SELECT count(*) FROM p JOIN fr USING (r)) AS created, greatest(0, 41 - (SELECT count(*) FROM mine) - (SELECT count(*) FROM p JOIN fr USING (r))) AS unfilled,
+  (SELECT string_agg(CAST(clip_id AS VARCHAR), ',' ORDER BY slot) FROM p JOIN fr USING (r)) AS clips, 8 AS start_hour, 'new' AS updated_at UNION ALL SELECT 'a2__2024-01-10', 1, 2, 0, '', 9, 'old'""")
 def recorded_plans(spark, d):
-    jobs = _jobs(spark, d).select("clip_id", "account", "status", "scheduled_for")
-    plan = schedule.daily_plan(_pool(spark, d), jobs, "a1", "2024-01-10", 8, 6, "s")
-    old = spark.createDataFrame([("a1__2024-01-10", "a1", "2024-01-10", 8, 0, 0, False, "old"), ("a2__2024-01-10", "a2", "2024-01-10", 8, 1, 2, False, "old")], "plan_key string, account string, date string, target long, existing long, created long, dry_run boolean, updated_at string")
-    return schedule.record_day(plan, jobs, old, "a1", "2024-01-10", 8, "new")[1].select("plan_key", "existing", "created", "updated_at")
+    """The table of plans after a day's plan was written in place: it replaces an older one, other accounts' stay."""
+    pool, jobs = _pool(spark, d), _jobs(spark, d)
+    plans = KeyedTable(spark, shared_folder(spark, "plans"), ["plan_key"], 4)
+    queue = KeyedTable(spark, shared_folder(spark, "queue"), ["job_id"], 16)
+    queue.write(jobs.select(F.col("event_id").cast("string").alias("job_id"), "status", F.lit("tiktok").alias("platform"), "account", "clip_id", *[F.lit("").alias(c) for c in ("path", "source", "preset", "caption_text")], F.array().cast("array<string>").alias("hashtags"), "scheduled_for", *[F.lit("").alias(c) for c in ("created_at", "updated_at", "notes", "external_post_id")]))
+    old = schedule.plan_row(queue.read().limit(0), jobs, "a1", "2024-01-10", at="old")
+    other = {"plan_key": F.lit("a2__2024-01-10"), "account": F.lit("a2"), "existing": F.lit(1).cast("long"), "created": F.lit(2).cast("long"), "unfilled": F.lit(0).cast("long"), "start_hour": F.lit(9)}
+    plans.write(old.unionByName(old.withColumns(other)))
+    schedule.write_day(pool, queue, plans, shared_folder(spark, "history"), "a1", "2024-01-10", "new", seed="s", per_day=41)
+    got = plans.read()
+    return got.select("plan_key", "existing", "created", F.col("unfilled").cast("long").alias("unfilled"), F.array_join(F.transform("jobs", lambda j: j["clip_id"].cast("string")), ",").alias("clips"), "start_hour", "updated_at")
 
 
 @query("WITH " + JOBS + " SELECT clip_id, status, event_id FROM jobs QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY ts DESC, event_id DESC) = 1")

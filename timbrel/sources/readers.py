@@ -88,5 +88,6 @@ def scan_range(spark: SparkSession, n: int) -> DataFrame:
 
 
 def local_date(text: Column, zone: str) -> Column:
-    """Date in a time zone of an ISO time as text; null if it is none."""
-    return F.to_date(F.from_utc_timestamp(F.try_to_timestamp(text), zone))
+    """Date in a time zone of an ISO time as text; null if it is none. A time without an offset is one of the session's zone."""
+    local = F.unix_micros(F.from_utc_timestamp(F.try_to_timestamp(text), zone))
+    return F.date_from_unix_date(F.floor(local / 86_400_000_000).cast("int"))
