@@ -239,8 +239,8 @@ def test_readers_and_sinks(spark, tmp_path):
     sinks.append_history(spark.range(2), str(tmp_path / "h"))
     sinks.append_history(spark.range(3), str(tmp_path / "h"))
     assert spark.read.parquet(str(tmp_path / "h")).count() == 5
-    sinks.overwrite_json(spark.range(2), str(tmp_path / "j"))
-    sinks.overwrite_json(spark.range(1), str(tmp_path / "j"))
+    sinks.replace_json(spark.range(2), str(tmp_path / "j"))
+    sinks.replace_json(spark.range(1), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 1
 
 

@@ -121,25 +121,45 @@ def fill_gaps(inserts: DataFrame, keys: Sequence[str], length: str, hold: int, s
     return kept.select(*keys, F.lit("insert").alias("kind"), "start_c", "end_c").unionByName(gaps)
 
 
-def schedule_beats(clips: DataFrame, length: str, intro: int, outro: int, beat: int, rest: int, least: int) -> DataFrame:
-    """clips columns, beat_no, beat_start, beat_end: up to three beats around fixed centres (per cent of the length), ``rest`` apart.
-
-    Under 22 seconds there is one, under 38 two, else three (15 characters to the second).
+def schedule_beats(clips: DataFrame, keys: Sequence[str], length: str, inserts: Column | None = None, insert_cs: Column | None = None, intro_cs: Column | None = None, outro_cs: Column | None = None, rest: int = 70, lead: int = 65, least: int = 110, gap: int = 30, shortest: int = 20) -> DataFrame:
+    """keys, length, kind, slot, beat_start, beat_end, notes: up to three inserts around fixed centres of a clip, the original between them.
+
+    All times are hundredths of a second. Numbers and lengths are the balanced mode's unless given (see scoring.insert_ratio()).
+    An insert starts ``rest`` after the one before it (the first may start ``lead`` before the intro's end plus
+    that), at the latest so that it ends with the outro's begin, and is left out if under ``least``. Gaps of
+    ``gap`` or more get the original; a clip without any insert is original throughout. A clip may have fewer
+    ideas than inserts: ``inserts`` is then their number, and 0 leaves the original whole.
     """
     d = F.col(length)
-    centres = F.when(d < 330, F.array(F.lit(50))).when(d < 570, F.array(F.lit(36), F.lit(70))).otherwise(F.array(F.lit(24), F.lit(52), F.lit(78)))
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<beat_start:bigint,beat_end:bigint>>").alias("out"))
+    n = inserts if inserts is not None else F.when(d < 2200, 1).when(d < 3800, 2).otherwise(3)
+    size = insert_cs if insert_cs is not None else F.when(d < 3800, 190).otherwise(170)
+    intro, outro = (c if c is not None else F.lit(v) for c, v in ((intro_cs, 190), (outro_cs, 200)))
+    centres = F.when(n <= 0, F.array().cast("array<int>")).when(n == 2, F.array(F.lit(36), F.lit(70))).when(n >= 3, F.array(F.lit(24), F.lit(52), F.lit(78))).otherwise(F.array(F.lit(50)))
+    out = clips.withColumns({"_n": n, "_size": size.cast("long"), "_intro": intro.cast("long"), "_outro": outro.cast("long"), "_at": centres})
+    late = F.greatest(F.col("_intro"), d - F.col("_outro") - F.col("_size"))
+    start = F.struct(F.greatest(F.lit(0), F.col("_intro") - lead).cast("long").alias("last"), F.lit(0).cast("long").alias("k"), F.array().cast("array<struct<slot:bigint,s:bigint,e:bigint>>").alias("out"))
 
     def step(a: Column, c: Column) -> Column:
-        earliest = F.when(F.size(a["out"]) > 0, a["last"] + rest).otherwise(F.lit(0).cast("long"))
-        want = F.greatest(F.lit(intro).cast("long"), F.floor(d * c / 100).cast("long") - beat // 2)
-        s = F.least(F.greatest(earliest, want), d - outro - least)
-        e = F.least(d - outro, s + beat)
-        ok = (e - s >= least) & (s >= earliest)
-        return F.when(ok, F.struct(e.cast("long").alias("last"), F.concat(a["out"], F.array(F.struct(s.cast("long").alias("beat_start"), e.cast("long").alias("beat_end")))).alias("out"))).otherwise(a)
-
-    out = clips.withColumn("_b", F.aggregate(centres, start, step)["out"])
-    return out.select(*clips.columns, F.posexplode("_b").alias("_n", "_r")).select(*clips.columns, (F.col("_n") + 1).cast("long").alias("beat_no"), "_r.*")
+        want = F.greatest(F.col("_intro"), F.call_function("div", d * c, F.lit(100)) - F.call_function("div", F.col("_size"), F.lit(2)))
+        s = F.least(F.greatest(a["last"] + rest, want), late)
+        e = F.least(d - F.col("_outro"), s + F.col("_size"))
+        k = (a["k"] + 1).cast("long")
+        taken = F.struct(e.cast("long").alias("last"), k.alias("k"), F.concat(a["out"], F.array(F.struct(k.alias("slot"), s.cast("long").alias("s"), e.cast("long").alias("e")))).alias("out"))
+        return F.when(e - s >= least, taken).otherwise(F.struct(a["last"].alias("last"), k.alias("k"), a["out"].alias("out")))
+
+    out = out.withColumn("_ai", F.aggregate("_at", start, step)["out"])
+    beat = lambda kind, slot, s, e, notes: F.struct(F.lit(kind).alias("kind"), slot.cast("long").alias("slot"), s.cast("long").alias("beat_start"), e.cast("long").alias("beat_end"), F.lit(notes).alias("notes"))
+    zero = F.lit(0)
+    # the original before each insert: from the end of the one before
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_ai", lambda x: x["e"]))
+    out = out.withColumn("_pairs", F.arrays_zip(F.col("_ai").alias("ai"), F.slice(ends, 1, F.greatest(F.size("_ai"), F.lit(0))).alias("from")))
+    gaps = F.filter(F.transform("_pairs", lambda p: beat("original", zero, p["from"], p["ai"]["s"], "original_segment")), lambda b: b["beat_end"] - b["beat_start"] >= gap)
+    own = F.transform("_ai", lambda x: beat("stock_video", x["slot"], x["s"], x["e"], "insert"))
+    tail = F.filter(F.array(beat("original", zero, F.element_at(F.col("_ai"), -1)["e"], d, "original_outro")), lambda b: b["beat_end"] - b["beat_start"] >= gap)
+    whole = F.array(F.when(F.col("_n") <= 0, beat("original", zero, zero, d, "full_original")).otherwise(beat("original", zero, zero, d, "fallback_original_only")))
+    beats = F.when(F.size("_ai") > 0, F.concat(own, gaps, F.when(F.size("_ai") > 0, tail))).otherwise(whole)
+    long_enough = F.filter(beats, lambda b: b["beat_end"] - b["beat_start"] > shortest)
+    return out.select(*keys, length, F.inline(long_enough))
 
 
 def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, name: str = "island") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -245,20 +244,20 @@ def gap_fill_timeline(spark, d):
     return folds.fill_gaps(n.join(c, F.col("doc_id") == F.col("_d"), "left").drop("_d"), ["doc_id"], "length", 45, 8, 3)
 
 
-@query("WITH " + CLIP + """, b AS (SELECT doc_id, place, end_c - start_c AS d FROM clip), f AS (
-  SELECT doc_id, place, d, CASE WHEN d < 330 THEN [50] WHEN d < 570 THEN [36, 70] ELSE [24, 52, 78] END AS c FROM b),
-x1 AS (SELECT *, least(greatest(0, greatest(30, d * c[1] // 100 - 45)), d - 20 - 17) AS s1 FROM f),
-y1 AS (SELECT *, least(d - 20, s1 + 90) AS e1 FROM x1), z1 AS (SELECT *, e1 - s1 >= 17 AND s1 >= 0 AS ok1 FROM y1),
-x2 AS (SELECT *, CASE WHEN len(c) >= 2 THEN least(greatest(CASE WHEN ok1 THEN e1 + 10 ELSE 0 END, greatest(30, d * c[2] // 100 - 45)), d - 20 - 17) END AS s2 FROM z1),
-y2 AS (SELECT *, least(d - 20, s2 + 90) AS e2 FROM x2), z2 AS (SELECT *, coalesce(e2 - s2 >= 17 AND s2 >= CASE WHEN ok1 THEN e1 + 10 ELSE 0 END, false) AS ok2 FROM y2),
-x3 AS (SELECT *, CASE WHEN ok2 THEN e2 + 10 WHEN ok1 THEN e1 + 10 ELSE 0 END AS f3 FROM z2),
-y3 AS (SELECT *, CASE WHEN len(c) >= 3 THEN least(greatest(f3, greatest(30, d * c[3] // 100 - 45)), d - 20 - 17) END AS s3 FROM x3),
-z3 AS (SELECT *, least(d - 20, s3 + 90) AS e3 FROM y3), o AS (SELECT *, coalesce(e3 - s3 >= 17 AND s3 >= f3, false) AS ok3 FROM z3),
-u AS (SELECT doc_id, place, 1 AS k, s1 AS s, e1 AS e FROM o WHERE ok1 UNION ALL SELECT doc_id, place, 2, s2, e2 FROM o WHERE ok2 UNION ALL SELECT doc_id, place, 3, s3, e3 FROM o WHERE ok3)
-SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id, place ORDER BY k) AS beat_no, CAST(s AS BIGINT) AS beat_start, CAST(e AS BIGINT) AS beat_end FROM u""")
+# hundredths of a second from characters, 15 to a second; lengths and guards of the balanced mode
+@query("WITH " + CLIP + """, b AS (SELECT doc_id, place, (end_c - start_c) * 100 // 15 AS d FROM clip), f AS (
+  SELECT doc_id, place, d, CASE WHEN d < 2200 THEN [50] WHEN d < 3800 THEN [36, 70] ELSE [24, 52, 78] END AS c, CASE WHEN d < 3800 THEN 190 ELSE 170 END AS len, greatest(190, d - 200 - CASE WHEN d < 3800 THEN 190 ELSE 170 END) AS late FROM b),
+x1 AS (SELECT *, least(greatest(125 + 70, greatest(190, d * c[1] // 100 - len // 2)), late) AS s1 FROM f), y1 AS (SELECT *, least(d - 200, s1 + len) AS e1 FROM x1), z1 AS (SELECT *, e1 - s1 >= 110 AS ok1 FROM y1), l1 AS (SELECT *, CASE WHEN ok1 THEN e1 ELSE 125 END AS last1 FROM z1),
+x2 AS (SELECT *, CASE WHEN len(c) >= 2 THEN least(greatest(last1 + 70, greatest(190, d * c[2] // 100 - len // 2)), late) END AS s2 FROM l1), y2 AS (SELECT *, least(d - 200, s2 + len) AS e2 FROM x2), z2 AS (SELECT *, coalesce(len(c) >= 2 AND e2 - s2 >= 110, false) AS ok2 FROM y2), l2 AS (SELECT *, CASE WHEN ok2 THEN e2 ELSE last1 END AS last2 FROM z2),
+x3 AS (SELECT *, CASE WHEN len(c) >= 3 THEN least(greatest(last2 + 70, greatest(190, d * c[3] // 100 - len // 2)), late) END AS s3 FROM l2), y3 AS (SELECT *, least(d - 200, s3 + len) AS e3 FROM x3), z3 AS (SELECT *, coalesce(len(c) >= 3 AND e3 - s3 >= 110, false) AS ok3 FROM y3),
+ai AS (SELECT doc_id, place, d, 1 AS slot, s1 AS s, e1 AS e FROM z3 WHERE ok1 UNION ALL SELECT doc_id, place, d, 2, s2, e2 FROM z3 WHERE ok2 UNION ALL SELECT doc_id, place, d, 3, s3, e3 FROM z3 WHERE ok3),
+gp AS (SELECT doc_id, place, 0 AS slot, coalesce(lag(e) OVER w, 0) AS s, s AS e, 'original_segment' AS notes FROM ai WINDOW w AS (PARTITION BY doc_id, place ORDER BY slot)
+  UNION ALL SELECT doc_id, place, 0, max(e), max(d), 'original_outro' FROM ai GROUP BY doc_id, place),
+al AS (SELECT doc_id, place, slot, s, e, 'insert' AS notes FROM ai UNION ALL SELECT * FROM gp WHERE e - s >= 30 UNION ALL SELECT doc_id, place, 0, 0, d, 'fallback_original_only' FROM b WHERE (doc_id, place) NOT IN (SELECT doc_id, place FROM ai))
+SELECT doc_id, place, CASE WHEN slot > 0 THEN 'stock_video' ELSE 'original' END AS kind, CAST(slot AS BIGINT) AS slot, CAST(s AS BIGINT) AS beat_start, CAST(e AS BIGINT) AS beat_end, notes FROM al WHERE e - s > 20""")
 def beat_schedule(spark, d):
-    c = _clips(spark, d).select("doc_id", "place", (F.col("end_c") - F.col("start_c")).alias("d"))
-    return folds.schedule_beats(c, "d", 30, 20, 90, 10, 17).drop("d")
+    c = _clips(spark, d).select("doc_id", "place", F.floor((F.col("end_c") - F.col("start_c")) * 100 / 15).cast("long").alias("d"))
+    return folds.schedule_beats(c, ["doc_id", "place"], "d").drop("d")
 
 
 @query("WITH " + CLIP + """, b AS (SELECT doc_id, place, end_c - start_c AS d, least(45, greatest(18, end_c - start_c - 18)) AS i FROM clip)
@@ -581,11 +580,12 @@ def match_accept(spark, d):
     return o.select("doc_id", "item_id", "score", "margin", ok.alias("accepted"))
 
 
-@query("WITH " + TOK + """, an AS (SELECT token FROM idf WHERE df <= 3), h AS (SELECT DISTINCT item_id, doc_id, token, cp - sp + k AS start FROM (SELECT b.item_id, a.doc_id, token, a.pos AS cp, b.pos AS sp FROM bt b JOIN dt a USING (token) WHERE token IN (SELECT token FROM an)), (SELECT unnest([-1, 0, 1]) AS k) WHERE cp - sp + k >= 0)
+@query("WITH " + TOK + """, an AS (SELECT token FROM idf, nb WHERE df <= 0.08 * n), h AS (SELECT DISTINCT item_id, doc_id, token, cp - sp + k AS start FROM (SELECT b.item_id, a.doc_id, token, a.pos AS cp, b.pos AS sp FROM bt b JOIN dt a USING (token) WHERE token IN (SELECT token FROM an)), (SELECT unnest([-1, 0, 1]) AS k) WHERE cp - sp + k >= 0)
 SELECT item_id, doc_id, start, count(*) AS hits FROM h GROUP BY ALL HAVING count(*) >= 3""")
 def fragment_anchor_spans(spark, d):
     bt, dt, idf, _ = _retrieval(spark, d)
-    return retrieval.fragment_starts(bt, dt, idf.filter("df <= 3"), "item_id", "doc_id").filter("hits >= 3").select("item_id", "doc_id", F.col("start").cast("long").alias("start"), "hits")
+    n = table(spark, d, "benchmark").count()
+    return retrieval.fragment_starts(bt, dt, idf.filter(F.col("df") <= 0.08 * n), "item_id", "doc_id").filter("hits >= 3").select("item_id", "doc_id", F.col("start").cast("long").alias("start"), "hits")
 
 
 @query()
@@ -733,8 +733,8 @@ def _pool(spark, d):
     return j.select(F.col("doc_id").alias("clip_id"), status.alias("status"), "source", F.array("lang").alias("tags"), when(7, "a1").alias("blocked_accounts"), when(5, "a2").otherwise(none).alias("allowed_accounts"), when(11, "a1").alias("posted_accounts"))
 
 
-def _jobs(spark, d):
-    e = table(spark, d, "events")
+def _jobs(spark, d, events=None):
+    e = table(spark, d, "events") if events is None else events
     status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "draft_ready").when(F.col("event_type") == "purchase", "posted").when(F.col("event_type") == "error", "failed").otherwise("cancelled")
     text = F.when(F.col("event_id") % 50 == 0, None).when(F.col("event_id") % 50 == 1, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     return e.select("event_id", "user_id", F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("account"), (F.col("event_id") % 1000).alias("clip_id"), status.alias("status"), "ts", text.alias("scheduled_for"))
@@ -835,15 +835,23 @@ def best_rendition(spark, d):
 
 @query("WITH " + HITS + " SELECT q, provider, page_id, width FROM hits WHERE page_id % 3 <> 0 AND (provider, page_id) NOT IN (SELECT provider, page_id FROM hits WHERE page_id % 2 = 0) UNION ALL SELECT q, provider, page_id, width + 1 FROM hits WHERE page_id % 2 = 0")
 def upsert_manifest(spark, d):
+    """A keyed table written, then brought up to date in place."""
     h = _hits(spark, d).select("q", "provider", "page_id", "width")
-    return sinks.upsert(h.filter("page_id % 3 <> 0"), h.filter("page_id % 2 = 0").withColumn("width", F.col("width") + 1), ["provider", "page_id"])
+    kept = KeyedTable(spark, shared_folder(spark, "manifest"), ["provider", "page_id"], 16)
+    kept.write(h.filter("page_id % 3 <> 0"))
+    kept.upsert(h.filter("page_id % 2 = 0").withColumn("width", F.col("width") + 1))
+    return kept.read()
 
 
 @query("WITH " + HITS + """, o AS (SELECT page_id, provider, width, q FROM hits WHERE page_id % 3 <> 0), n AS (SELECT page_id, provider, width + 1 AS width, q + 100 AS q FROM hits WHERE page_id % 2 = 0)
 SELECT coalesce(o.page_id, n.page_id) AS page_id, coalesce(o.provider, n.provider) AS provider, coalesce(n.width, o.width) AS width, coalesce(o.q, n.q) AS q FROM o FULL JOIN n ON o.page_id = n.page_id""")
 def pool_sync(spark, d):
+    """A keyed table written, then refreshed in place: new keys come in, of known ones the width is taken."""
     h = _hits(spark, d).select("page_id", "provider", "width", "q")
-    return sinks.refresh(h.filter("page_id % 3 <> 0"), h.filter("page_id % 2 = 0").withColumns({"width": F.col("width") + 1, "q": F.col("q") + 100}), ["page_id"], ["width"])
+    pool = KeyedTable(spark, shared_folder(spark, "pool"), ["page_id"], 16)
+    pool.write(h.filter("page_id % 3 <> 0"))
+    pool.refresh(h.filter("page_id % 2 = 0").withColumns({"width": F.col("width") + 1, "q": F.col("q") + 100}), ["width"])
+    return pool.read()
 
 
 @query("""SELECT doc_id, 'labels' AS source_name, CAST(quality AS VARCHAR) AS value FROM labels UNION ALL SELECT doc_id, 'documents', lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
@@ -930,32 +938,22 @@ def conversation_modes(spark, d):
 # --- streaming ---------------------------------------------------------------------------
 
 
-def _stream_dirs(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="timbrel-stream-")
-    import uuid
-
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return f"{base}/out", f"{base}/state"
-
-
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def history_stream(spark, d):
-    """Hourly counts of the event history, read as a stream to its present end; complete hours and the open ones alike."""
-    schema = table(spark, d, "events").schema
-    out, state = _stream_dirs(spark)
-    # the table may be one file or a folder of files: its parent is read with a name filter
-    events = history.read_stream(spark, f"{d}/", schema, glob="events.parquet") if not _is_folder(spark, f"{d}/events.parquet") else history.read_stream(spark, f"{d}/events.parquet", schema)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    _complete(history.hourly_counts(events), out, state)
-    return spark.read.parquet(out)
+    """Hourly counts of the event history, read as a stream to its present end; a batch writes the hours that it changed."""
+    counts = KeyedTable(spark, shared_folder(spark, "hourly"), ["hour", "event_type"], 8)
+    stream = history.hourly_counts(event_stream(spark, d)).writeStream.outputMode("update")
+    run = stream.foreachBatch(lambda b, i: counts.upsert(b, once=("hourly", i))).option("checkpointLocation", shared_folder(spark, "state"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    return counts.read()
 
 
-def _complete(counts: DataFrame, out: str, state: str) -> None:
-    counts.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+def event_stream(spark, d):
+    """All events as a stream; the table may be one file or a folder of files."""
+    schema = table(spark, d, "events").schema
+    # one file: its folder is read with a name filter
+    events = history.read_stream(spark, f"{d}/", schema, glob="events.parquet") if not _is_folder(spark, f"{d}/events.parquet") else history.read_stream(spark, f"{d}/events.parquet", schema)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _is_folder(spark, path: str) -> bool:
@@ -963,4 +961,4 @@ def _is_folder(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-from . import queries_matching  # noqa: E402, F401  (registers its queries)
+from . import queries_matching, queries_publishing  # noqa: E402, F401  (they register their queries)

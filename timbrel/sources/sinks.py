@@ -1,19 +1,20 @@
-"""Sinks. Spark's committers make a write visible at once or not at all."""
+"""Sinks for files. Tables that are changed in place are in ``store``.
+
+Spark's ``overwrite`` deletes the old folder before the new one is whole; replace_json() doesn't.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
-def overwrite_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -57,7 +58,7 @@ def ass_text(events: DataFrame, keys: Sequence[str], header: str, **how) -> Data
 
 
 def text_files(df: DataFrame, path: str, name: str, text: str) -> None:
-    """Write each row's text, line ends and all, under a folder of its name; the committer makes all visible at once."""
+    """Write each row's text, line ends and all, under a folder of its name; one file a row."""
     df.select(F.col(name), F.col(text).alias("value")).write.mode("overwrite").partitionBy(name).text(path)
 
 
@@ -83,6 +84,53 @@ def refresh(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequen
     return both.select(*[take(c).alias(c) for c in old.columns])
 
 
-def report(df: DataFrame, item: str, value: Column, failed: Column, error: Column) -> DataFrame:
-    """item, ok, value, error: the result of each item of a batch; one that fails doesn't stop the rest."""
-    return df.select(F.col(item), (~failed).alias("ok"), F.when(~failed, value).alias("value"), F.when(failed, error).alias("error"))
+def report(df: DataFrame, keys: Sequence[str], value: Column, failed: Column, error: Column) -> DataFrame:
+    """keys, ok, value, error: the result of each item of a batch; one that fails doesn't stop the rest.
+
+    ``value`` must not raise: build it of try_ functions, or make it with attempted().
+    """
+    return df.select(*keys, (~failed).alias("ok"), F.when(~failed, value).alias("value"), F.when(failed, error).alias("error"))
+
+
+def attempted(df: DataFrame, keys: Sequence[str], make: Callable[[dict], str]) -> DataFrame:
+    """keys, ok, value (text), error: ``make`` called for each row on the executors; what it raises is that row's error."""
+    kinds = dict(df.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in f.to_dict("records"):
+                try:
+                    out.append((*[row[k] for k in keys], True, str(make(row)), None))
+                except Exception as exc:
+                    out.append((*[row[k] for k in keys], False, None, f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame(out, columns=[*keys, "ok", "value", "error"])
+
+    return df.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ok boolean, value string, error string")
+
+
+def batch_manifest(reported: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """keys, total, succeeded, results: what came of each batch, its items in order."""
+    rest = [c for c in reported.columns if c not in keys and c != item]
+    return reported.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.sort_array(F.collect_list(F.struct(item, *rest))).alias("results"))
+
+
+def replace_json(df: DataFrame, path: str) -> None:
+    """Put ``df`` in place of a folder of JSON: written beside it, then swapped by two renames.
+
+    A write that fails leaves the old folder. Between the renames there is none for a moment; if the run dies
+    there, the old one stands beside under its name with ``.old``. For tables that others read
+    meanwhile use a KeyedTable.
+    """
+    spark = df.sparkSession
+    draft = f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}"
+    df.write.json(draft)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = at(f"{path.rstrip('/')}.old")
+    if fs.exists(at(path)):
+        fs.delete(old, True)
+        fs.rename(at(path), old)
+    if not fs.rename(at(draft), at(path)):
+        raise OSError(f"could not put {draft} in place")
+    fs.delete(old, True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,30 +48,49 @@ class KeyedTable:
 
     # --- writing
 
-    def write(self, rows: DataFrame) -> int:
+    def write(self, rows: DataFrame, once: tuple[str, int] | None = None) -> int:
         """Replace the whole table."""
-        return self._commit(rows, None)
+        return self._commit(rows, None, once)
 
-    def upsert(self, new: DataFrame) -> int:
-        """Insert ``new`` rows in place of those with their keys. Equal keys within ``new``: one of them stays."""
+    def done(self, writer: str) -> int:
+        """The last number that a writer gave with ``once``; -1 if none. A write with that number or a lower one changes nothing."""
+        return self._manifest(None).get("done", {}).get(writer, -1) if self.exists() else -1
+
+    def upsert(self, new: DataFrame, once: tuple[str, int] | None = None) -> int:
+        """Insert ``new`` rows in place of those with their keys. Equal keys within ``new``: one of them stays.
+
+        ``once``: a writer's name and a number that grows, a stream's batch for instance; the write and the
+        number become visible together, so that a batch that comes again is not applied again.
+        """
+        if once and self.done(once[0]) >= once[1]:
+            return self.version()
         new = new.dropDuplicates(self.keys)
         if not self.exists():
-            return self.write(new)
+            return self.write(new, once)
         touched = self.touched(new)
-        return self._commit(self._without(self.read(touched), new).unionByName(new), touched)
+        return self._commit(self._without(self.read(touched), new).unionByName(new), touched, once)
+
+    def merge(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], once: tuple[str, int] | None = None) -> int:
+        """``change`` makes new rows of all rows in the buckets of ``keys``; it must leave rows alone that aren't meant."""
+        if once and self.done(once[0]) >= once[1]:
+            return self.version()
+        touched = self.touched(keys)
+        return self._commit(change(self.read(touched)), touched, once) if touched else self.version()
 
-    def refresh(self, new: DataFrame, columns: Sequence[str]) -> int:
+    def refresh(self, new: DataFrame, columns: Sequence[str], once: tuple[str, int] | None = None) -> int:
         """Insert unknown keys; of known ones take ``columns`` from ``new`` and keep the rest."""
+        if once and self.done(once[0]) >= once[1]:
+            return self.version()
         new = new.dropDuplicates(self.keys)
         if not self.exists():
-            return self.write(new)
+            return self.write(new, once)
         touched = self.touched(new)
         old = self.read(touched)
         fresh = lambda c: F.when(F.col("new_").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c))
         # a key is unknown if no old row met it
         known = F.coalesce(F.col("old_"), F.lit(False))
         both = old.withColumn("old_", F.lit(True)).join(new.select(*[F.col(c).alias(f"new_{c}") for c in new.columns], F.lit(True).alias("new_")), self._same("new_"), "full_outer")
-        return self._commit(both.select(*[(fresh(c) if c in columns else F.when(known, F.col(c)).otherwise(F.col(f"new_{c}"))).alias(c) for c in old.columns]), touched)
+        return self._commit(both.select(*[(fresh(c) if c in columns else F.when(known, F.col(c)).otherwise(F.col(f"new_{c}"))).alias(c) for c in old.columns]), touched, once)
 
     def delete(self, gone: DataFrame) -> int:
         """Drop the rows whose keys are in ``gone``."""
@@ -110,7 +129,7 @@ class KeyedTable:
     def _without(self, old: DataFrame, keys: DataFrame) -> DataFrame:
         return old.join(keys.select(*[F.col(k).alias(f"new_{k}") for k in self.keys]).distinct(), self._same("new_"), "left_anti")
 
-    def _commit(self, rows: DataFrame, touched: Sequence[int] | None) -> int:
+    def _commit(self, rows: DataFrame, touched: Sequence[int] | None, once: tuple[str, int] | None = None) -> int:
         number, write = self.version(), uuid.uuid4().hex
         old = self._manifest(number) if number else {"folders": {}}
         out = rows.withColumn(_BUCKET, self.bucket())
@@ -120,7 +139,8 @@ class KeyedTable:
         made = {n.split("=")[1]: write for n in self._names(f"data/{write}") if n.startswith(f"{_BUCKET}=")}
         kept = {} if touched is None else {b: w for b, w in old["folders"].items() if int(b) not in set(touched)}
         schema = old["schema"] if touched is not None and number else json.loads(rows.schema.json())
-        self._publish(number + 1, json.dumps({"schema": schema, "folders": {**kept, **made}}))
+        done = {**old.get("done", {}), **({once[0]: once[1]} if once else {})}
+        self._publish(number + 1, json.dumps({"schema": schema, "folders": {**kept, **made}, "done": done}))
         return number + 1
 
     def _publish(self, number: int, text: str) -> None:
