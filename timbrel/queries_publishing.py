@@ -66,7 +66,7 @@ ans AS (SELECT doc_id, chunk, CASE (doc_id + chunk) % 7 WHEN 1 THEN '```json' ||
 
 @query("WITH " + SEG + ", num AS (SELECT doc_id, idx, idx // 6 AS chunk, idx % 6 AS k, text FROM seg), " + _ANSWER + """, bare AS (SELECT doc_id, chunk, CASE WHEN starts_with(raw, '```') THEN trim(substr(trim(raw, '`'), 5), ' ' || chr(10)) ELSE raw END AS r FROM ans),
 ok AS (SELECT doc_id, chunk, json_valid(r) AS valid, CASE WHEN json_valid(r) THEN r END AS r FROM bare), it AS (SELECT doc_id, chunk, valid, unnest(CASE WHEN valid THEN CAST(json_extract(r, '$.corrected_segments') AS JSON[]) ELSE [NULL] END) AS x FROM ok),
-ck AS (SELECT doc_id, chunk, any_value(valid) AS valid, count(*) FILTER (CAST(x->>'index' AS BIGINT) < 0) AS bad FROM it GROUP BY ALL)
+ck AS (SELECT o.doc_id, o.chunk, any_value(o.valid) AS valid, count(*) FILTER (CAST(x->>'index' AS BIGINT) < 0) AS bad FROM ok o LEFT JOIN it ON it.doc_id = o.doc_id AND it.chunk = o.chunk GROUP BY ALL)
 SELECT n.doc_id, n.idx, coalesce(c.valid AND c.bad = 0, false) AS used, CASE WHEN coalesce(c.valid AND c.bad = 0, false) THEN coalesce(nullif(trim(i.x->>'text', ' '), ''), n.text) ELSE n.text END AS text,
   CASE WHEN c.doc_id IS NULL THEN 'no answer' WHEN NOT c.valid THEN 'not JSON' WHEN c.bad > 0 THEN 'corrected_segments: faulty entry' END AS error
 FROM num n LEFT JOIN ck c ON c.doc_id = n.doc_id AND c.chunk = n.chunk LEFT JOIN it i ON i.doc_id = n.doc_id AND i.chunk = n.chunk AND CAST(i.x->>'index' AS BIGINT) = n.k""")
