@@ -35,7 +35,7 @@ def awkward(spark):
 
 @pytest.fixture(scope="module")
 def clashing(awkward):
-    names = ("label", "key", "id", "h", "n", "size", "target", "times", "cut", "rank", "doc", "marks", "fp", "ctx", "sig", "block", "score", "kept", "level", "prefix", "_t", "_w", "_r")
+    names = ("label", "key", "id", "h", "n", "size", "target", "times", "cut", "rank", "doc", "marks", "fp", "ctx", "sig", "block", "score", "kept", "level", "prefix", "_t", "_w", "_r", "_many", "cut_version", "cut_doc", "cut_text", "cut_marks", "gone_doc", "gone_text", "mix_source", "mix_times", "mix_cut", "mix_copy", "mix_copy_")
     return awkward.select("*", *[F.lit("clash").alias(c) for c in names])
 
 

@@ -7,7 +7,7 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -117,8 +117,20 @@ def repeated_ids(docs: DataFrame) -> DataFrame:
 
 def with_version(docs: DataFrame, repeated: DataFrame, doc_id: str = "doc_id", name: str = "version") -> DataFrame:
     """Add a number that tells rows of one doc_id with different texts apart; 0 where there is but one text."""
-    both = docs.join(sized(repeated), F.col(doc_id).cast("long") == F.col("_many"), "left")
-    return both.withColumn(name, F.when(F.col("_many").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("_many")
+    (many,) = unused([*docs.columns, name], "_many")
+    both = docs.join(sized(repeated).withColumnRenamed("_many", many), F.col(doc_id).cast("long") == F.col(many), "left")
+    return both.withColumn(name, F.when(F.col(many).isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop(many)
+
+
+def unused(taken: Sequence[str], *wanted: str) -> list[str]:
+    """Names for helper columns that are not among ``taken``, whatever these are."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name in held:
+            name += "_"
+        held.add(name)
+        out.append(name)
+    return out
 
 
 def ascii_lower(c: Column) -> Column:

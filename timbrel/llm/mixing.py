@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, ranked, settle, table
+from .common import WORD, discard, ranked, settle, table, unused
 
 #: Bits of the hash, and bits refined at a time.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -114,15 +114,17 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mix_rows(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it (possibly not at all).
 
-    A document without words adds nothing to its source; it is taken once at most.
+    A document without words adds nothing to its source; it is taken once at most. Other columns
+    come along whatever their names; rows that share a doc_id and a source go together.
     """
     sizes = settle(docs.select("source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h")), "mix-sizes")
-    plan = mix_plan(sizes, **how).select(F.col("source").alias("__mix_source"), F.col("times").alias("__mix_times"), F.col("cut").alias("__mix_cut"))
-    both = docs.join(plan, F.col("source").eqNullSafe(F.col("__mix_source")))
-    times = taken_times(row_hash(F.col("doc_id")), F.col("__mix_times"), F.col("__mix_cut"))
+    of, n, cut, copy = unused(docs.columns, "mix_source", "mix_times", "mix_cut", "mix_copy")
+    plan = mix_plan(sizes, **how).select(F.col("source").alias(of), F.col("times").alias(n), F.col("cut").alias(cut))
+    both = docs.join(plan, F.col("source").eqNullSafe(F.col(of)))
+    times = taken_times(row_hash(F.col("doc_id")), F.col(n), F.col(cut))
     times = F.when(F.coalesce(F.col("text").rlike(WORD), F.lit(False)), times).otherwise(F.least(times, F.lit(1)))
     copies = F.explode(F.array_repeat(F.lit(0), times.cast("int")))
-    return both.withColumn("__mix_copy", copies).select(*docs.columns)
+    return both.withColumn(copy, copies).select(*docs.columns)
 
 
 def plan_sql(rel: str, prefix: str = "") -> str:

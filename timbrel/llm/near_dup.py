@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, ship, table, tidy
+from .common import discard, settle, ship, table, tidy, unused
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -248,8 +248,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id are judged each by its own text; of rows that are alike in doc_id
     and text, all stay.
     """
-    gone = _judged(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__text")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
+    doc, text = unused(docs.columns, "gone_doc", "gone_text")
+    gone = _judged(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("th").alias(text)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left_anti")
 
 
 def _query(spark, sf_dir):

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, settle, table
+from .common import discard, settle, table, unused
 
 
 def byte_size(text: Column) -> Column:
@@ -28,7 +28,7 @@ def assign(rows: DataFrame, size: str, order: Sequence[Column], shards: int) ->
     apart by a number written with them, so a value that very many rows share is split too. Sizes
     must be positive; products are exact up to 2^62 / shards bytes in all. A table without rows gives none.
     """
-    names = _unused(rows.columns, "tie", "part", "upto", "place", "before", "ahead", "start", "whole")
+    names = unused(rows.columns, "tie", "part", "upto", "place", "before", "ahead", "start", "whole")
     tie, part, upto, place, before, ahead, start, whole = names
     numbered = settle(rows.withColumn(tie, F.monotonically_increasing_id()), "shard-rows")
     order = [*order, F.col(tie)]
@@ -53,17 +53,6 @@ def assign(rows: DataFrame, size: str, order: Sequence[Column], shards: int) ->
     return known.join(F.broadcast(starts), "shard").select(*rows.columns, "shard", (F.col(place) - F.col(start)).alias("slot"))
 
 
-def _unused(taken: Sequence[str], *wanted: str) -> list[str]:
-    """Names for helper columns that are not among ``taken``, whatever these are."""
-    held, out = {c.lower() for c in taken}, []
-    for name in wanted:
-        while name in held:
-            name += "_"
-        held.add(name)
-        out.append(name)
-    return out
-
-
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """All rows and columns of ``docs`` with shard and slot, by doc_id (nulls first), then size and checksum of the text.
 
@@ -71,7 +60,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     shard's part stays whole, and shards that it covers stay empty. An empty table gives none.
     """
     docs = docs.drop("shard", "slot")
-    (size,) = _unused(docs.columns, "size")
+    (size,) = unused(docs.columns, "size")
     rows = docs.withColumn(size, byte_size(F.col("text")))
     return assign(rows, size, [F.col("doc_id").asc_nulls_first(), F.col(size), _checksum(F.col("text"))], shards).drop(size)
 

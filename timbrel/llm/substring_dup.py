@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, repeated_ids, settle, ship, table, tidy, with_version
+from .common import discard, repeated_ids, settle, ship, table, tidy, unused, with_version
 from .fm_index import FMIndex
 from .shingles import mix, windows, word_hashes
 
@@ -269,7 +269,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     A null text is empty. A null doc_id is neither before nor after another: its row loses
     nothing and no other row loses anything for it. Rows that share a doc_id lose nothing for one
     another; each is cut by its own windows. Very long texts are taken whole. Only doc_id and
-    text are read, so other columns may bear any name.
+    text are read, so other columns may bear any name. An empty table gives none.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -289,9 +289,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     repeated = repeated_ids(docs)
     rows = with_version(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated).select("doc_id", "version", "text")
-    marks = duplicate_windows(rows).select(F.col("doc").alias("__cut_doc"), F.col("version").alias("__cut_text"), F.col("marks").alias("__cut_marks"))
-    named = with_version(docs, repeated, name="__cut_version")
-    both = named.join(marks, (F.col("doc_id") == F.col("__cut_doc")) & (F.col("__cut_version") == F.col("__cut_text")), "left")
+    version, doc, text, mark = unused(docs.columns, "cut_version", "cut_doc", "cut_text", "cut_marks")
+    marks = duplicate_windows(rows).select(F.col("doc").alias(doc), F.col("version").alias(text), F.col("marks").alias(mark))
+    named = with_version(docs, repeated, name=version)
+    both = named.join(marks, (F.col("doc_id") == F.col(doc)) & (F.col(version) == F.col(text)), "left")
     names = docs.columns
     at = names.index("text")
 
@@ -311,7 +312,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 cols = [c.column(j) if j != at else pa.array(texts, c.column(at).type) for j in range(c.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(stays)
 
-    return both.select(*docs.columns, "__cut_marks").mapInArrow(tidy(cut), docs.schema)
+    return both.select(*docs.columns, mark).mapInArrow(tidy(cut), docs.schema)
 
 
 def _query(spark, sf_dir):
