@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,18 +39,31 @@ def suppress(cands: DataFrame, keys: Sequence[str], order: Sequence[Column], per
 
 
 def drop_adjacent_repeats(seg: DataFrame, gap: int, key: str = "doc_id") -> DataFrame:
-    """Drop a segment whose text equals the last kept one's, if both its ends are less than ``gap`` away from that one's."""
-    kept = "array<struct<idx:bigint,start_c:bigint,end_c:bigint,text:string>>"
+    """Drop a segment whose text equals the last kept one's, if both its ends are less than ``gap`` away from that one's.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (last["text"] == x["text"]) & (F.abs(x["start_c"] - last["start_c"]) < gap) & (F.abs(x["end_c"] - last["end_c"]) < gap)
-        return F.when(F.coalesce(same, F.lit(False)), acc).otherwise(F.concat(acc, F.array(F.struct(x["idx"].cast("long").alias("idx"), x["start_c"], x["end_c"], x["text"]))))
+    The last kept text is always that of the segment before, so a change of text begins an island of its own, and a
+    fold holds no more than one run of equal texts. A null text equals none.
+    """
+    w = Window.partitionBy(key).orderBy("idx")
+    same = F.coalesce(F.col("text") == F.lag("text").over(w), F.lit(False))
+    runs = seg.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    row = lambda x: F.struct(x["idx"].cast("long").alias("idx"), x["start_c"].alias("start_c"), x["end_c"].alias("end_c"))
+    start = F.struct(F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("e"), F.array().cast("array<struct<idx:bigint,start_c:bigint,end_c:bigint>>").alias("out"))
 
-    # an empty array has no last element: give the fold a null to look at
-    safe = lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["idx"].cast("long").alias("idx"), x["start_c"], x["end_c"], x["text"]))).otherwise(step(acc, x))
-    out = ordered_fold(seg, [key], [F.col("idx")], ["idx", "start_c", "end_c", "text"], F.array().cast(kept), safe)
-    return out.select(key, F.explode("state").alias("r")).select(key, "r.*")
+    def step(a: Column, x: Column) -> Column:
+        near = F.coalesce((F.abs(x["start_c"] - a["s"]) < gap) & (F.abs(x["end_c"] - a["e"]) < gap), F.lit(False))
+        kept = F.struct(x["start_c"].cast("long").alias("s"), x["end_c"].cast("long").alias("e"), F.concat(a["out"], F.array(row(x))).alias("out"))
+        return F.when(near, a).otherwise(kept)
+
+    # a run of one needs no fold
+    size = F.count("*").over(Window.partitionBy(key, "_run"))
+    runs = runs.withColumn("_size", size)
+    alone = runs.filter("_size = 1").select(key, F.col("idx").cast("long").alias("idx"), "start_c", "end_c", "text")
+    many = runs.filter("_size > 1")
+    texts = many.filter("_new = 1").select(F.col(key).alias("_k"), F.col("_run").alias("_r"), "text")
+    out = ordered_fold(many, [key, "_run"], [F.col("idx")], ["idx", "start_c", "end_c"], start, step).select(key, "_run", F.explode("state.out").alias("r"))
+    out = out.join(texts, (F.col(key) == F.col("_k")) & (F.col("_run") == F.col("_r"))).select(key, "r.*", "text")
+    return alone.unionByName(out)
 
 
 def bounded_chunks(seg: DataFrame, most: int, chars: int, key: str = "doc_id") -> DataFrame:
@@ -86,16 +99,21 @@ def tile(best: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def separate(events: DataFrame, keys: Sequence[str], gap: int, shortest: int) -> DataFrame:
-    """Events in order that no longer overlap: each starts ``gap`` after the end before it at the earliest, and lasts ``shortest`` at least."""
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<idx:bigint,start_c:bigint,end_c:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = F.when(a["last"] > 0, F.greatest(x["start_c"], a["last"] + gap)).otherwise(x["start_c"])
-        e = F.greatest(x["end_c"], s + shortest)
-        return F.struct(e.cast("long").alias("last"), F.concat(a["out"], F.array(F.struct(x["idx"].cast("long").alias("idx"), s.cast("long").alias("start_c"), e.cast("long").alias("end_c")))).alias("out"))
+    """Events in order that no longer overlap: each starts ``gap`` after the end before it at the earliest, and lasts ``shortest`` at least.
 
-    out = ordered_fold(events, keys, [F.col("idx")], ["idx", "start_c", "end_c"], start, step)
-    return out.select(*keys, F.explode("state.out").alias("r")).select(*keys, "r.*")
+    Each end is the greatest of the ends before it, pushed on by ``gap + shortest`` for every event since; so a
+    running maximum does, and no state grows with a key's rows. Times aren't negative, ``shortest`` is above 0.
+    """
+    if shortest <= 0:
+        raise ValueError("events must last a while")
+    w = Window.partitionBy(*keys).orderBy("idx")
+    step = gap + shortest
+    place = F.row_number().over(w).cast("long")
+    own = F.greatest(F.col("end_c"), F.col("start_c") + shortest)
+    rows = events.select(*keys, F.col("idx").cast("long").alias("idx"), "start_c", place.alias("_i"), own.alias("_own"))
+    rows = rows.withColumn("_end", F.max(F.col("_own") - F.col("_i") * step).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * step)
+    start = F.greatest(F.col("start_c"), F.coalesce(F.lag("_end").over(w) + gap, F.col("start_c")))
+    return rows.select(*keys, "idx", start.cast("long").alias("start_c"), F.col("_end").cast("long").alias("end_c"))
 
 
 def fixed_chunks(seg: DataFrame, n: int) -> DataFrame:
@@ -108,8 +126,6 @@ def fill_gaps(inserts: DataFrame, keys: Sequence[str], length: str, hold: int, s
     Inserts shorter than ``shortest`` go, gaps shorter than ``least_gap`` stay open. A key's
     ``length`` comes with each insert; a row without an insert (null start) gives only its gap.
     """
-    from pyspark.sql import Window
-
     s, e = F.greatest("start_c", F.lit(hold)), F.least("end_c", F.col(length) - hold)
     kept = inserts.filter("start_c IS NOT NULL").select(*keys, length, s.alias("start_c"), e.alias("end_c")).filter(F.col("end_c") - F.col("start_c") >= shortest)
     w = Window.partitionBy(*keys).orderBy("start_c", "end_c")
@@ -167,8 +183,6 @@ def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, name: st
 
     What happens in one island doesn't touch another, so a fold may take them one by one.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0)

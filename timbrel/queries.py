@@ -610,14 +610,6 @@ def _corpus(corpus, key):
     return retrieval.with_idf(df, n), retrieval.common_tokens(df, n)
 
 
-@query()
-def voted_candidates(spark, d):
-    """The 80 items with the most votes for each document of any language."""
-    docs, items = _sides(spark, d)
-    idf, common = _corpus(items, "item_id")
-    return retrieval.voted_candidates(docs, items, idf, "doc_id", "item_id", 80, common)
-
-
 _AR = "'قُلْ هُوَ، ٱللَّهُ. أَحَدٌ {x} 1٢' || chr(9) || text"
 _MARKS = r"'[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]'"
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import matching, text_index
+from .operators import matching, retrieval, text_index
 from .plans import repair
-from .queries import _FOLD, SEG, _seg, query
+from .queries import _FOLD, SEG, _corpus, _seg, _sides, query
 from .sources.readers import table
 from .sources.store import KeyedTable, shared_folder
 
@@ -25,7 +25,7 @@ cg AS (SELECT a.cid, a.t || ' ' || b.t AS g, list(a.p ORDER BY a.p) AS at FROM c
 v1 AS (SELECT sid, cid, sum(p) AS p FROM (SELECT sid, cid, 18 * w AS p FROM an JOIN cb USING (t) WHERE o <= 10 UNION ALL SELECT sid, cid, 240000 FROM sg JOIN cg USING (g) WHERE o <= 8) GROUP BY ALL),
 few AS (SELECT sid FROM src LEFT JOIN v1 USING (sid) GROUP BY sid HAVING count(cid) < 20),
 v2 AS (SELECT sid, cid, 35000 * count(*) AS p FROM (SELECT sid, t FROM sb JOIN few USING (sid) QUALIFY row_number() OVER (PARTITION BY sid ORDER BY first) <= 12) JOIN cb USING (t) GROUP BY sid, cid),
-cand AS (SELECT v.sid, v.cid, len(s.l) AS n, len(c.l) AS m, row_number() OVER (PARTITION BY v.sid ORDER BY sum(v.p) DESC, abs(len(c.l) - len(s.l)), v.cid) AS place
+cand AS (SELECT v.sid, v.cid, len(s.l) AS n, len(c.l) AS m, CAST(sum(v.p) AS BIGINT) AS points, row_number() OVER (PARTITION BY v.sid ORDER BY sum(v.p) DESC, abs(len(c.l) - len(s.l)), v.cid) AS place
   FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2) v JOIN src s USING (sid) JOIN cor c USING (cid) GROUP BY v.sid, v.cid, s.l, c.l QUALIFY place <= 80),
 sw AS (SELECT s.sid, coalesce(sum(w), 0) AS weight, count(w) AS anchors, any_value(g.n) AS grams, array_to_string(any_value(s.l), ' ') AS txt FROM src s LEFT JOIN an USING (sid) LEFT JOIN (SELECT sid, count(*) AS n FROM sg GROUP BY sid) g ON g.sid = s.sid GROUP BY s.sid),
 f1 AS (SELECT sid, cid, sum(least(s.n, c.n)) AS common FROM cand JOIN sb s USING (sid) JOIN cb c USING (cid, t) GROUP BY ALL), f2 AS (SELECT sid, cid, sum(w) AS met4, count(*) AS hits FROM cand JOIN an USING (sid) JOIN cb USING (cid, t) GROUP BY ALL),
@@ -70,6 +70,19 @@ wd AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\
 sh AS (SELECT tk.*, CASE WHEN a >= 0 AND a < z AND z <= len(words) THEN array_to_string(words[a + 1 : z], ' ') ELSE wd.text END AS shown FROM tk JOIN wd ON wd.item_id = cid)"""
 
 
+VOTED = "WITH src AS (SELECT doc_id AS sid, " + _LIST + f" AS l FROM documents), {_ITEMS}, " + MATCH[: MATCH.index("sw AS (")].rstrip().rstrip(",") + """
+SELECT sid AS doc_id, cid AS item_id, points, place FROM cand
+UNION ALL SELECT sid, cid, 0, row_number() OVER (PARTITION BY sid ORDER BY cid) FROM src, cor WHERE len(src.l) > 0 AND sid NOT IN (SELECT sid FROM v1) AND sid NOT IN (SELECT sid FROM v2)"""
+
+
+@query(VOTED)
+def voted_candidates(spark, d):
+    """The 80 items with the most votes for each document of any language; a document without any vote has all."""
+    docs, items = _sides(spark, d)
+    idf, common = _corpus(items, "item_id")
+    return retrieval.voted_candidates(docs, items, idf, "doc_id", "item_id", 80, common)
+
+
 def _windows(spark, d):
     return repair.windows(_seg(spark, d), 3, 4, X.fold_latin)
 

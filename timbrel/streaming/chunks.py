@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +9,15 @@ from ..operators import intervals
 from ..sources.store import KeyedTable
 
 
-def owned_segments(read: DataFrame, overlap: str, keys: Sequence[str] = ("doc_id", "start_c", "end_c", "text")) -> DataFrame:
+def owned_segments(read: DataFrame, overlap: str) -> DataFrame:
     """The segments that belong to their chunk, those alike within ``overlap`` once.
 
     read: a stream of segments with their chunk's keep_start, keep_end and last_chunk, and ``at``, when the
     chunk came in. A segment belongs to the chunk in which its middle lies; what comes later than the overlap is dropped.
+    The state holds a segment's times and a hash of its text, not the text.
     """
-    return intervals.owned_by_midpoint(read).withWatermark("at", overlap).dropDuplicatesWithinWatermark(list(keys))
+    told = intervals.owned_by_midpoint(read).withColumn("said", F.xxhash64("text")).withWatermark("at", overlap)
+    return told.dropDuplicatesWithinWatermark(["doc_id", "start_c", "end_c", "said"]).drop("said")
 
 
 def collect_segments(read: DataFrame, table: KeyedTable, checkpoint: str, overlap: str, name: str = "chunks") -> None:
