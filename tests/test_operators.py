@@ -150,6 +150,57 @@ def test_slots(spark):
             catalog.slots(day, n(1), *hours)
 
 
+def test_clips_by_number(spark):
+    c = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "doc_id long, place long, t string")
+    assert values(readers.clip_at(c, 1), "t") == [("a",), ("c",)] and values(readers.clip_at(c.filter("doc_id = 1"), 2), "t") == [("b",)]
+    with pytest.raises(ValueError):
+        readers.clip_at(c, 0)
+    with pytest.raises(IndexError, match="no clip 3; the last is 2"):
+        readers.clip_at(c, 3)
+
+
+def test_renditions_by_preference(spark):
+    rows = [(1, 1, 100, 200, "x"), (1, 2, 300, 400, "x"), (1, 3, 900, 300, "x"), (1, 4, 999, 9999, " "), (2, 5, 500, 500, "x"), (2, 6, 700, 100, "x"), (3, 7, 10, 20, "x"), (3, 8, 30, 60, "x"), (4, 9, 5, 5, None)]
+    f = spark.createDataFrame(rows, "q long, file_id long, width long, height long, link string")
+    got = lambda **how: dict(values(catalog.best_rendition(f, ["q"], **how), "q", "file_id"))
+    assert got() == {1: 2, 2: 5, 3: 8}
+    assert got(prefer_portrait=False) == {1: 3, 2: 5, 3: 8}
+    assert got(allow_landscape=False) == {1: 2, 2: 5, 3: 8} and got(prefer_portrait=False, allow_landscape=False) == {1: 2, 2: 5, 3: 8}
+    # tiers instead of areas: the lower file id is the higher tier
+    assert got(order=-F.col("file_id")) == {1: 1, 2: 5, 3: 7}
+
+
+def test_errors_of_the_providers_that_were_asked(spark):
+    rows = [(1, "a", 0, "timeout"), (1, "b", 2, None), (1, "c", 0, "never asked"), (2, "a", 0, None), (2, "b", 0, "no key"), (2, "c", 0, "gone"), (3, "a", 1, None)]
+    f = spark.createDataFrame(rows, "q long, provider string, found long, error string")
+    got = {r.q: r.errors for r in catalog.provider_errors(f, ["q"], F.col("provider")).collect()}
+    assert got == {1: ["a: timeout"], 2: ["b: no key", "c: gone"], 3: []}
+
+
+def test_events_pushed_apart(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(k, i, s, s + rnd.randint(0, 30)) for k in range(3) for i in range(400) for s in [i * 9 + rnd.randint(0, 40)]]
+    got = {(r.k, r.idx): (r.start_c, r.end_c) for r in folds.separate(spark.createDataFrame(rows, "k long, idx long, start_c long, end_c long"), ["k"], 3, 4).collect()}
+    for k in range(3):
+        last = 0
+        for _, i, s, e in [r for r in rows if r[0] == k]:
+            s = max(s, last + 3) if last > 0 else s
+            last = max(e, s + 4)
+            assert got[k, i] == (s, last)
+    with pytest.raises(ValueError):
+        folds.separate(spark.range(1), ["id"], 1, 0)
+
+
+def test_long_documents_of_repeats_stay_linear(spark):
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("idx"), (F.col("id") % 7).cast("string").alias("text"), (F.col("id") * 3).alias("start_c"), (F.col("id") * 3 + 2).alias("end_c"))
+    assert folds.drop_adjacent_repeats(rows, 15).count() == 100_000
+    assert folds.separate(rows, ["doc_id"], 2, 4).agg(F.max("end_c")).first()[0] == 2 + 99_999 * 6 + 2
+    windows = rows.filter("idx % 2 = 0").select("doc_id", "idx", F.lit(3).cast("long").alias("size"))
+    assert folds.tile_accepted(windows, ["doc_id"]).count() == 25_000
+
+
 def test_local_dates(spark):
     df = spark.createDataFrame([("2024-01-10T03:00:00+00:00",), ("2024-01-10T03:00:00-05:00",), ("2024-01-10T23:59:59-05:00",), ("2024-07-01T04:00:00Z",), ("soon",), (None,)], "t string")
     got = [str(r.d) for r in df.select(local_date(F.col("t"), "America/New_York").alias("d")).collect()]
@@ -233,6 +284,15 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sinks.srt_text(cues, ["path"]).first().srt == "1\n00:00:01,000 --> 00:00:02,500\nHello world\n\n2\n00:00:05,000 --> 00:00:06,000\nend\n"
     (tmp_path / "k.txt").write_text("﻿# c\n1|1|a|b\n\n1|2|x\n1\t2\ty\n", encoding="utf-8")
     assert values(readers.keyed_text(spark, str(tmp_path / "k.txt")), "key", "text") == [("1:1", "a|b"), ("1:2", "y")]
+    (tmp_path / "more").mkdir()
+    for name, lines in (("a.txt", "1|1|first\n1|1|second"), ("b.txt", "1|1|third\n2|1|x\n1|1|last"), ("c.txt", "# none")):
+        (tmp_path / "more" / name).write_text(lines)
+    assert values(readers.keyed_text(spark, str(tmp_path / "more")), "key", "text") == [("1:1", "last"), ("2:1", "x")]
+    made = str(tmp_path / "made.json")
+    assert readers.json_documents(spark, made, "a long, b string", default={"a": 7, "b": "ü"}).first() == (7, "ü")
+    assert readers.json_documents(spark, made, "a long, b string", default={"a": 8}).first() == (7, "ü")
+    with pytest.raises(Exception):
+        readers.json_documents(spark, str(tmp_path / "none.json"), "a long").count()
     (tmp_path / "d.json").write_text('{"a": 1,\n "b": "x"}')
     assert readers.json_documents(spark, str(tmp_path / "d.json"), "a long, b string").first().b == "x"
     assert readers.files(spark, str(tmp_path), "*.srt", 5).count() == 1

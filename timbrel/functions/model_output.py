@@ -102,26 +102,27 @@ def refined(segments: DataFrame, answers: DataFrame, keys: list[str], raw: str =
     segments: keys, local_index, text. answers: keys and ``raw``, one for a chunk. An answer that isn't
     what was asked for is used for no segment of its chunk. Of texts for one index the last counts.
     """
-    df = answers.select(*[F.col(k).alias(f"_{k}") for k in keys], F.try_parse_json(unfenced(F.col(raw))).alias("_v"), F.lit(True).alias("_answered"))
-    object_ = _kind(F.col("_v")).startswith("OBJECT")
-    listed = F.when(object_, F.try_variant_get("_v", "$.corrected_segments", "array<variant>"))
-    items = df.select(*[f"_{k}" for k in keys], F.posexplode_outer(listed).alias("_at", "_x"))
-    index, text = F.try_variant_get("_x", "$.index", "variant"), F.try_variant_get("_x", "$.text", "variant")
-    number = F.when(~_kind(index).rlike("^(OBJECT|ARRAY|BOOLEAN)"), F.try_variant_get(index, "$", "double"))
-    good = (number == F.floor(number)) & (number >= 0) & (_kind(text) == "STRING")
-    items = items.select(*[f"_{k}" for k in keys], "_at", number.cast("bigint").alias("_index"), F.when(_kind(text) == "STRING", F.try_variant_get(text, "$", "string")).alias("_text"), F.coalesce(F.when(F.col("_at").isNotNull(), good), F.lit(False)).alias("_good"))
-    whole = items.groupBy(*[f"_{k}" for k in keys]).agg(F.count_if(F.col("_at").isNotNull() & ~F.col("_good")).alias("_bad"))
-    whole = df.join(whole, [f"_{k}" for k in keys]).select(
-        *[F.col(f"_{k}").alias(f"_w{k}") for k in keys],
-        F.when(F.col("_v").isNull(), "not JSON").when(~object_ | listed.isNull(), "corrected_segments: not a list").when(F.col("_bad") > 0, "corrected_segments: faulty entry").alias("_error"),
-    )
-    last = items.filter("_good").groupBy(*[f"_{k}" for k in keys], "_index").agg(F.max_by("_text", "_at").alias("_text"))
-    by = lambda p: [F.col(k).eqNullSafe(F.col(f"{p}{k}")) for k in keys]
-    both = segments.join(whole, by("_w"), "left").join(last, [*by("_"), F.col("local_index") == F.col("_index")], "left")
-    sound = F.col(f"_w{keys[0]}").isNotNull() & F.col("_error").isNull()
-    new = F.when(sound, F.nullif(stripped(F.col("_text")), F.lit("")))
+    v = F.try_parse_json(unfenced(F.col(raw)))
+    df = answers.select(*[F.col(k).alias(f"_{k}") for k in keys], v.alias("_v"))
+    listed = F.when(_kind(F.col("_v")).startswith("OBJECT"), F.try_variant_get("_v", "$.corrected_segments", "array<variant>"))
+
+    def entry(x: Column) -> Column:
+        index, text = F.try_variant_get(x, "$.index", "variant"), F.try_variant_get(x, "$.text", "variant")
+        number = F.when(~_kind(index).rlike("^(OBJECT|ARRAY|BOOLEAN)"), F.try_variant_get(index, "$", "double"))
+        good = F.coalesce((number == F.floor(number)) & (number >= 0) & (_kind(text) == "STRING"), F.lit(False))
+        return F.struct(number.cast("bigint").alias("index"), F.when(good, F.try_variant_get(text, "$", "string")).alias("text"), good.alias("good"))
+
+    df = df.withColumn("_items", F.transform(listed, entry))
+    error = F.when(F.col("_v").isNull(), "not JSON").when(F.col("_items").isNull(), "corrected_segments: not a list").when(F.exists("_items", lambda x: ~x["good"]), "corrected_segments: faulty entry")
+    df = df.select(*[f"_{k}" for k in keys], error.alias("_error"), F.when(error.isNull(), F.col("_items")).alias("_items"), F.lit(True).alias("_answered"))
+    # one join: an answer comes to its chunk's segments whole, and holds no more than these
+    both = segments.join(df, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    mine = F.filter("_items", lambda x: x["index"] == F.col("local_index"))
+    last = F.get(mine, F.size(mine) - 1)["text"]
+    sound = F.col("_answered").isNotNull() & F.col("_error").isNull()
+    new = F.when(sound, F.nullif(stripped(last), F.lit("")))
     rest = [c for c in segments.columns if c != "text"]
-    return both.select(*rest, F.coalesce(new, stripped(F.col("text"))).alias("text"), sound.alias("used"), F.coalesce("_error", F.when(F.col(f"_w{keys[0]}").isNull(), "no answer")).alias("error"))
+    return both.select(*rest, F.coalesce(new, stripped(F.col("text"))).alias("text"), sound.alias("used"), F.coalesce("_error", F.when(F.col("_answered").isNull(), "no answer")).alias("error"))
 
 
 def numbered(segments: DataFrame, keys: list[str]) -> DataFrame:

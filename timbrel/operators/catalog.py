@@ -35,10 +35,34 @@ def first_of_providers(rows: DataFrame, by: Sequence[str], priority: Column) ->
     return rows.withColumn("_p", priority).withColumn("_m", F.min("_p").over(w)).filter("_p = _m").drop("_p", "_m")
 
 
-def best_rendition(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The largest portrait file, else the largest landscape one (a square is landscape); ties: the smaller file id."""
-    order = F.struct((F.col("height") > F.col("width")).alias("p"), (F.col("width") * F.col("height")).alias("a"), (-F.col("file_id")).alias("i"))
-    return rows.groupBy(*by).agg(F.max_by(F.struct("file_id", "width", "height"), order).alias("r")).select(*by, "r.*")
+def provider_errors(answers: DataFrame, by: Sequence[str], priority: Column) -> DataFrame:
+    """by, errors: what went wrong at the providers that were asked, in their order: those up to the first with rows.
+
+    answers: by, provider, found (number of rows) and error (null if none), a row for each provider.
+    """
+    w = Window.partitionBy(*by)
+    asked = answers.withColumn("_p", priority).withColumn("_m", F.min(F.when(F.coalesce("found", F.lit(0)) > 0, F.col("_p"))).over(w))
+    asked = asked.filter(F.col("_m").isNull() | (F.col("_p") <= F.col("_m")))
+    said = F.when(F.col("error").isNotNull(), F.struct("_p", F.concat_ws(": ", "provider", "error").alias("e")))
+    return asked.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(said)), lambda x: x["e"]).alias("errors"))
+
+
+def best_rendition(rows: DataFrame, by: Sequence[str], prefer_portrait: bool = True, allow_landscape: bool = True, order: Column | None = None) -> DataFrame:
+    """by, file_id, width, height: one file of each group. A square is landscape; a file without a link (``link`` blank or null, if there is one) doesn't count.
+
+    The largest portrait file if that is preferred, else the largest landscape one if allowed, else the largest
+    portrait one, else the first file. ``order`` ranks files within a kind otherwise, the highest first (tiers for
+    instance). Ties: the smaller file id.
+    """
+    if "link" in rows.columns:
+        rows = rows.filter(F.trim(F.coalesce("link", F.lit(""))) != "")
+    tall = F.coalesce(F.col("height") > F.col("width"), F.lit(False))
+    rank = F.when(tall & F.lit(prefer_portrait), 3).when(~tall & F.lit(allow_landscape), 2).when(tall, 1).otherwise(0)
+    area = F.coalesce(F.col("width") * F.col("height"), F.lit(0)) if order is None else order
+    # where landscape isn't allowed it is the last resort, by order of files
+    within = F.when(rank > 0, area).otherwise(F.lit(0)) if order is None else area
+    key = F.struct(rank.alias("r"), within.alias("a"), (-F.col("file_id")).alias("i"))
+    return rows.groupBy(*by).agg(F.max_by(F.struct("file_id", "width", "height"), key).alias("r")).select(*by, "r.*")
 
 
 def without_terms(text: Column, reject: Sequence[str]) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .functions import model_output
 from .operators import folds
-from .queries import CLIP, JOBS, ORACLES, SEG, _clips, _jobs, _read_chunks, _seg, event_stream, query
+from .plans import clips as clip_plans
+from .plans import subtitles
+from .queries import CLIP, JOBS, ORACLES, SEG, WORDS, _clips, _jobs, _read_chunks, _seg, event_stream, query
 from .sources import sinks
 from .sources.readers import table
 from .sources.store import KeyedTable, shared_folder
@@ -120,3 +122,24 @@ def batch_manifest(spark, d):
     m = sinks.batch_manifest(told, ["account"], "event_id")
     failed = F.filter("results", lambda r: ~r["ok"])
     return m.select("account", "total", "succeeded", F.nullif(F.array_join(F.transform(failed, lambda r: F.concat(r["event_id"].cast("string"), F.lit(": "), r["error"])), "; "), F.lit("")).alias("errors"))
+
+
+_ESC = "replace(replace(w, '{', chr(92) || '{'), '}', chr(92) || '}')"
+
+
+@query("WITH RECURSIVE " + CLIP + "," + WORDS[len(SEG) + 2 :] + f""", cw AS (SELECT k.doc_id, k.place, t.idx, t.pos, t.word, greatest(t.word_start, k.start_c) - k.start_c AS a, least(t.word_end, k.end_c) - k.start_c AS b
+  FROM clip k JOIN wt t ON t.doc_id = k.doc_id AND t.word_end > k.start_c AND t.word_start < k.end_c WHERE least(t.word_end, k.end_c) - greatest(t.word_start, k.start_c) > 0),
+nw AS (SELECT *, row_number() OVER (PARTITION BY doc_id, place ORDER BY idx, pos) - 1 AS i, row_number() OVER (PARTITION BY doc_id, place, idx ORDER BY pos) - 1 AS nth, a * 100 // 15 AS s, b * 100 // 15 AS e FROM cw),
+ln AS (SELECT *, list(word) OVER (PARTITION BY doc_id, place, idx, nth // 6 ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ws FROM nw),
+rc AS (SELECT doc_id, place, i, s, greatest(e, s + 4) AS e FROM nw WHERE i = 0
+  UNION ALL SELECT n.doc_id, n.place, n.i, CASE WHEN r.e > 0 THEN greatest(n.s, r.e + 3) ELSE n.s END, greatest(n.e, CASE WHEN r.e > 0 THEN greatest(n.s, r.e + 3) ELSE n.s END + 4) FROM rc r JOIN nw n ON n.doc_id = r.doc_id AND n.place = r.place AND n.i = r.i + 1),
+tx AS (SELECT l.doc_id, l.place, l.i, r.s, r.e, array_to_string(list_transform(list_reverse(l.ws), lambda w, k: chr(8296) || CASE WHEN k = 1 THEN '{subtitles.ACTIVE}' || {_ESC} || '{{\\rDefault}}' ELSE {_ESC} END || chr(8297)), ' ') AS t FROM ln l JOIN rc r USING (doc_id, place, i)),
+tm AS (SELECT *, 'Dialogue: 0,' || (s // 360000) || ':' || lpad(CAST(s // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(s % 100 AS VARCHAR), 2, '0') || ',' ||
+  (e // 360000) || ':' || lpad(CAST(e // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(e // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(e % 100 AS VARCHAR), 2, '0') || ',Default,,0,0,0,,{{\\an5\\blur0.8\\bord3.0\\shad1.0}}' || t AS line FROM tx)
+SELECT doc_id, place, count(*) AS events, md5('{sinks.ass_header()}' || string_agg(line, chr(10) ORDER BY i) || chr(10)) AS ass_md5 FROM tm GROUP BY ALL""")
+def word_subtitles(spark, d):
+    """A subtitle document for each clip, an event for each of its words."""
+    w = clip_plans.word_times(_seg(spark, d)).withColumnsRenamed({"word_start": "start_c", "word_end": "end_c"})
+    s = subtitles.word_subtitles(_clips(spark, d), w)
+    events = F.size(F.split("ass", "\nDialogue: ")) - 1
+    return s.select("doc_id", "place", events.cast("long").alias("events"), F.md5(F.col("ass").cast("binary")).alias("ass_md5"))

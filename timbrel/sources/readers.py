@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,8 +22,18 @@ def files(spark: SparkSession, path: str, pattern: str, limit: int | None = None
     return df.limit(limit) if limit else df
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole-file JSON of a declared schema; a malformed file gives a row of nulls."""
+def json_documents(spark: SparkSession, path: str, schema: str, default: dict | None = None) -> DataFrame:
+    """Whole-file JSON of a declared schema; a malformed file gives a row of nulls.
+
+    A path that doesn't exist is an error, unless there is a ``default``: then it is written there, once, and read.
+    """
+    if default is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            out = fs.create(at, False)
+            out.write(bytearray(json.dumps(default, ensure_ascii=False, indent=2).encode()))
+            out.close()
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
@@ -42,14 +53,29 @@ def srt(spark: SparkSession, path: str) -> DataFrame:
 def keyed_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``a|b|text`` or tab separated: key ``a:b`` and text. Blank lines and # comments are skipped, of equal keys the last stays.
 
-    A line of another shape raises an error when the result is computed.
+    The last is that of the last file by name, then of the last place in it; each file is read whole, for its lines to be
+    counted. A line of another shape raises an error when the result is computed.
     """
-    df = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
-    df = df.filter("v <> '' AND NOT startswith(v, '#')")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "v"))
+    df = whole.select("file", "line", F.trim(F.regexp_replace("v", "^\ufeff", "")).alias("v")).filter("v <> '' AND NOT startswith(v, '#')")
     part = F.split("v", r"[|\t]", 3)
     part = F.when(F.size(part) == 3, part).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.col("v"))))
-    df = df.select("at", part.alias("p")).select("at", F.concat_ws(":", F.trim(F.col("p")[0]), F.trim(F.col("p")[1])).alias("key"), F.trim(F.col("p")[2]).alias("text"))
-    return df.groupBy("key").agg(F.max_by("text", "at").alias("text"))
+    df = df.select("file", "line", part.alias("p")).select("file", "line", F.concat_ws(":", F.trim(F.col("p")[0]), F.trim(F.col("p")[1])).alias("key"), F.trim(F.col("p")[2]).alias("text"))
+    return df.groupBy("key").agg(F.max_by("text", F.struct("file", "line")).alias("text"))
+
+
+def clip_at(clips: DataFrame, number: int, by: Sequence[str] = (), place: str = "place") -> DataFrame:
+    """The clips that stand at ``number`` (from 1) of each ``by``; a number below 1, or beyond all clips there are, is an error.
+
+    ``place`` counts from 0.
+    """
+    if number < 1:
+        raise ValueError("clips are counted from 1")
+    found = clips.filter(F.col(place) == number - 1)
+    if found.isEmpty():
+        most = clips.agg(F.max(place)).first()[0]
+        raise IndexError(f"there is no clip {number}; the last is {0 if most is None else most + 1}")
+    return found
 
 
 def first_available(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str]) -> DataFrame:
