@@ -530,56 +530,6 @@ def bigram_overlap(spark, d):
     return _bigrams(spark, d).select("doc_id", "item_id", "bo3")
 
 
-# the source is the item, the candidate the document; the similarity of characters has no SQL form and counts as nothing
-SCORED = BAG + """, cm AS (SELECT token FROM idf, nb WHERE df > 0.08 * n), an AS (SELECT DISTINCT item_id, token, CAST(round(idf * 10000) AS BIGINT) AS w FROM bt JOIN idf USING (token) WHERE token NOT IN (SELECT token FROM cm)),
-wa AS (SELECT item_id, sum(w) AS all4, count(*) AS anchors FROM an GROUP BY item_id),
-wm AS (SELECT c.doc_id, c.item_id, sum(a.w) AS matched4, count(*) AS hits FROM cand c JOIN an a ON a.item_id = c.item_id JOIN (SELECT DISTINCT doc_id, token FROM dt) x ON x.doc_id = c.doc_id AND x.token = a.token GROUP BY ALL),
-bl AS (SELECT item_id, list(token ORDER BY pos) AS l FROM bt GROUP BY ALL), dl AS (SELECT doc_id, list(token ORDER BY pos) AS l FROM dt GROUP BY ALL),
-bb AS (SELECT item_id, array_to_string(l, ' ') AS t, list_distinct(list_filter(list_transform(range(1, len(l)), lambda i: CASE WHEN length(l[i]) >= 2 AND length(l[i + 1]) >= 2 AND NOT list_contains(cl, l[i]) AND NOT list_contains(cl, l[i + 1]) THEN l[i] || ' ' || l[i + 1] END), lambda x: x IS NOT NULL)) AS g FROM bl, (SELECT coalesce(list(token), []) AS cl FROM cm)),
-db AS (SELECT doc_id, array_to_string(l, ' ') AS t, list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS g FROM dl),
-ft AS (SELECT s.doc_id, s.item_id, CASE WHEN coalesce(all4, 0) > 0 THEN CAST(coalesce(matched4, 0) AS DOUBLE) / CAST(all4 AS DOUBLE) ELSE 0.0::DOUBLE END AS wo, 2.0::DOUBLE * CAST(common AS DOUBLE) / CAST(na + nb AS DOUBLE) AS f1,
-  CASE WHEN len(bb.g) > 0 THEN CAST(len(list_intersect(bb.g, db.g)) AS DOUBLE) / CAST(len(bb.g) AS DOUBLE) ELSE 0.0::DOUBLE END AS bo, contains(bb.t, db.t) OR contains(db.t, bb.t) AS inside,
-  CAST(least(na, nb) AS DOUBLE) / CAST(greatest(na, nb) AS DOUBLE) AS lr, coalesce(hits, 0) AS hits, coalesce(anchors, 0) AS anchors
-  FROM size s JOIN bb USING (item_id) JOIN db USING (doc_id) LEFT JOIN wa USING (item_id) LEFT JOIN wm ON wm.doc_id = s.doc_id AND wm.item_id = s.item_id),
-ms AS (SELECT *, least(greatest((0.44::DOUBLE * wo + 0.24::DOUBLE * f1 + 0.18::DOUBLE * bo + 0.14::DOUBLE * 0.0::DOUBLE + CASE WHEN inside THEN 0.025::DOUBLE ELSE 0.0::DOUBLE END) * CASE WHEN lr < 0.55::DOUBLE THEN 0.88::DOUBLE ELSE 1.0::DOUBLE END
-  * CASE WHEN hits = 0 AND anchors >= 2 THEN 0.82::DOUBLE ELSE 1.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE) AS score FROM ft)"""
-
-
-def _scored(spark, d):
-    bt, dt, _, pairs = _bags(spark, d)
-    docs, items = _sides(spark, d)
-    idf, common = _corpus(items, "item_id")
-    p = retrieval.anchor_coverage(pairs, retrieval.anchor_weights(items, idf, "item_id", common), dt, "item_id", "doc_id")
-    gi = items.select("item_id", F.array_join("tokens", " ").alias("ti"), retrieval.anchor_bigrams(F.col("tokens"), common).alias("gi"))
-    gd = docs.select("doc_id", F.array_join("tokens", " ").alias("td"), retrieval.content_bigrams(F.col("tokens")).alias("gd"))
-    p = p.join(gi, "item_id").join(gd, "doc_id")
-    wo, bo = retrieval.share(F.col("matched4"), F.col("all4")), retrieval.share(F.size(F.array_intersect("gi", "gd")), F.size("gi"))
-    p = p.select("doc_id", "item_id", "na", "nb", "common", "hits", "anchors", wo.alias("wo"), bo.alias("bo"), (F.contains("ti", "td") | F.contains("td", "ti")).alias("inside"))
-    few = F.least("na", "nb") / F.greatest("na", "nb")
-    score = retrieval.match_score(F.col("wo"), retrieval.f1(F.col("common"), F.col("na"), F.col("nb")), F.col("bo"), F.lit(0.0), F.col("inside"), few, (F.col("hits") == 0) & (F.col("anchors") >= 2))
-    return p.select("doc_id", "item_id", score.alias("score"), "wo", "bo", "hits")
-
-
-@query("WITH " + SCORED + " SELECT doc_id, item_id, score, wo, bo, hits FROM ms")
-def match_score_no_char(spark, d):
-    return _scored(spark, d)
-
-
-@query("WITH " + SCORED + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM ms)
-SELECT doc_id, max(CASE WHEN r = 1 THEN item_id END) AS best, max(CASE WHEN r = 1 THEN score END) AS best_score, max(CASE WHEN r = 2 THEN score END) AS next_score FROM o WHERE r <= 2 GROUP BY doc_id""")
-def best_and_runner_up(spark, d):
-    return retrieval.best_and_next(_scored(spark, d), "doc_id", "score", "item_id")
-
-
-@query("WITH " + SCORED + """, o AS (SELECT *, row_number() OVER w AS r, score - coalesce(lead(score) OVER w, 0) AS margin FROM ms WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, item_id))
-SELECT doc_id, item_id, score, margin, score >= 0.60::DOUBLE AND margin >= 0.02::DOUBLE AND NOT (hits = 0 AND wo < 0.52::DOUBLE) AND NOT (hits < 2 AND wo < 0.60::DOUBLE) AS accepted FROM o WHERE r = 1""")
-def match_accept(spark, d):
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id")
-    o = _scored(spark, d).withColumns({"r": F.row_number().over(w), "margin": F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))}).filter("r = 1")
-    ok = retrieval.accepted(F.col("score"), F.col("margin"), F.col("wo"), F.col("bo"), F.col("hits"), F.lit(False), 0.60, 0.02)
-    return o.select("doc_id", "item_id", "score", "margin", ok.alias("accepted"))
-
-
 @query("WITH " + TOK + """, an AS (SELECT token FROM idf, nb WHERE df <= 0.08 * n), h AS (SELECT DISTINCT item_id, doc_id, token, cp - sp + k AS start FROM (SELECT b.item_id, a.doc_id, token, a.pos AS cp, b.pos AS sp FROM bt b JOIN dt a USING (token) WHERE token IN (SELECT token FROM an)), (SELECT unnest([-1, 0, 1]) AS k) WHERE cp - sp + k >= 0)
 SELECT item_id, doc_id, start, count(*) AS hits FROM h GROUP BY ALL HAVING count(*) >= 3""")
 def fragment_anchor_spans(spark, d):

@@ -6,6 +6,7 @@ The similarity of characters has no SQL form. The queries with a DuckDB statemen
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -83,6 +84,37 @@ def voted_candidates(spark, d):
     return retrieval.voted_candidates(docs, items, idf, "doc_id", "item_id", 80, common)
 
 
+# whole rows alone: each document with its 80 items of most votes
+SCORED = "WITH src AS (SELECT doc_id AS sid, " + _LIST + f" AS l FROM documents), {_ITEMS}, " + MATCH[: MATCH.index("rk AS (")].rstrip().rstrip(",")
+
+
+@query(SCORED + " SELECT sid AS doc_id, cid AS item_id, place, score, wo, bo, hits FROM fs")
+def match_score_no_char(spark, d):
+    """Each document of any language with the items that it has voted for, scored without the similarity of characters."""
+    return _document_scores(spark, d).select("doc_id", "item_id", "place", "score", "wo", "bo", "hits")
+
+
+@query(SCORED + """, o AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, cid) AS r FROM fs)
+SELECT sid AS doc_id, max(CASE WHEN r = 1 THEN cid END) AS best, max(CASE WHEN r = 1 THEN score END) AS best_score, max(CASE WHEN r = 2 THEN score END) AS next_score FROM o WHERE r <= 2 GROUP BY sid""")
+def best_and_runner_up(spark, d):
+    return retrieval.best_and_next(_document_scores(spark, d), "doc_id", "score", "item_id")
+
+
+@query(SCORED + """, o AS (SELECT *, row_number() OVER w AS r, score - coalesce(lead(score) OVER w, 0) AS margin FROM fs WINDOW w AS (PARTITION BY sid ORDER BY score DESC, cid))
+SELECT sid AS doc_id, cid AS item_id, score, margin, score >= 0.30::DOUBLE AND margin >= 0.02::DOUBLE AND NOT (hits = 0 AND wo < 0.52::DOUBLE) AND NOT (hits < 2 AND wo < 0.60::DOUBLE) AS accepted FROM o WHERE r = 1""")
+def match_accept(spark, d):
+    """Each document's best item as a whole row, and whether it would do for a limit of .30; spans are in the queries of windows and items."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id")
+    o = _document_scores(spark, d).withColumns({"r": F.row_number().over(w), "margin": F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))}).filter("r = 1")
+    ok = retrieval.accepted(F.col("score"), F.col("margin"), F.col("wo"), F.col("bo"), F.col("hits"), F.lit(False), 0.30, 0.02)
+    return o.select("doc_id", "item_id", "score", "margin", ok.alias("accepted"))
+
+
+def _document_scores(spark, d):
+    index = text_index.build(_folded(spark, d, "benchmark", "item_id"), "item_id")
+    return matching.voted_scores(_folded(spark, d, "documents", "doc_id").select("doc_id", "tokens"), index, "doc_id", char=False)
+
+
 def _windows(spark, d):
     return repair.windows(_seg(spark, d), 3, 4, X.fold_latin)
 
