@@ -400,7 +400,7 @@ def asset_rules(spark, d):
 _PT = lambda c: rf"list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(lower({c}), '[،,:;؛.!?؟]', ' ', 'g'), '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}\s-]', ' ', 'g'), '\s+'), lambda x: trim(x, '-_')), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'amp')))"
 
 
-@query(rf"""WITH q AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN t WHEN 1 THEN t || ' Desert at dusk' WHEN 2 THEN t || ', no people, No Animals' ELSE t || ' ' || substr(html, 1, 260) END AS prompt FROM (SELECT *, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages)),
+@query(rf"""WITH q AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN t WHEN 1 THEN t || ' Desert at dusk' WHEN 2 THEN t || ', no people, No Animals' ELSE t || ' ' || html END AS prompt FROM (SELECT *, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages)),
 m AS (SELECT page_id, prompt, list_sort(list_intersect({_PT("prompt")}, {_PT("url")})) AS c FROM q),
 p AS (SELECT page_id, c, greatest(0, least(10000, 3500 + least(3500, 800 * len(c)) + CASE WHEN regexp_matches(lower(prompt), 'dawn|night|rain|ocean|desert|mist|mosque|courtyard|dusk|dark') THEN 1000 ELSE 0 END
   + CASE WHEN contains(lower(prompt), 'no people') AND contains(lower(prompt), 'no animals') THEN 1000 ELSE 0 END - CASE WHEN length(prompt) > 200 THEN 800 ELSE 0 END)) AS s FROM m)
@@ -408,7 +408,7 @@ SELECT page_id, CAST(s AS BIGINT) AS points, array_to_string(c[1:12], ',') AS ma
 def prompt_overlap_score(spark, d):
     t = F.regexp_extract("html", "<title>([^<]*)", 1)
     i = F.col("page_id") % 4
-    more = F.when(i == 0, "").when(i == 1, " Desert at dusk").when(i == 2, ", no people, No Animals").otherwise(F.concat(F.lit(" "), F.substring("html", 1, 260)))
+    more = F.when(i == 0, "").when(i == 1, " Desert at dusk").when(i == 2, ", no people, No Animals").otherwise(F.concat(F.lit(" "), F.col("html")))
     got = scoring.prompt_match(F.concat(t, more), F.col("url"), ("the", "and", "amp"))
     return table(spark, d, "pages").select("page_id", got["points"].alias("points"), F.array_join(got["matched"], ",").alias("matched"), got["note"].alias("note"))
 
