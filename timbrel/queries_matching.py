@@ -174,5 +174,6 @@ def item_best_match(spark, d):
 
 
 def _item_matches(spark, d, **how):
-    index = text_index.build(_folded(spark, d, "documents", "doc_id"), "doc_id")
-    return matching.best_matches(_folded(spark, d, "benchmark", "item_id").select("item_id", "tokens"), index, "item_id", **how)
+    items = _folded(spark, d, "benchmark", "item_id").select("item_id", "tokens")
+    index = text_index.build(_folded(spark, d, "documents", "doc_id"), "doc_id", sources=items)
+    return matching.best_matches(items, index, "item_id", **how)
