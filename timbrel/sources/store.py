@@ -56,15 +56,16 @@ class KeyedTable:
         """The last number that a writer gave with ``once``; -1 if none. A write with that number or a lower one changes nothing."""
         return self._manifest(None).get("done", {}).get(writer, -1) if self.exists() else -1
 
-    def upsert(self, new: DataFrame, once: tuple[str, int] | None = None) -> int:
+    def upsert(self, new: DataFrame, once: tuple[str, int] | None = None, unique: bool = False) -> int:
         """Insert ``new`` rows in place of those with their keys. Equal keys within ``new``: one of them stays.
 
         ``once``: a writer's name and a number that grows, a stream's batch for instance; the write and the
         number become visible together, so that a batch that comes again is not applied again.
+        ``unique``: no key is twice in ``new``, so it isn't looked through for that.
         """
         if once and self.done(once[0]) >= once[1]:
             return self.version()
-        new = new.dropDuplicates(self.keys)
+        new = new if unique else new.dropDuplicates(self.keys)
         if not self.exists():
             return self.write(new, once)
         touched = self.touched(new)

@@ -24,7 +24,15 @@ def collect_segments(read: DataFrame, table: KeyedTable, checkpoint: str, overla
     """Put the owned segments of a stream into ``table`` (by doc_id and idx), to the stream's present end."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch.select("doc_id", "idx", "text", "start_c", "end_c"), once=(name, batch_id))
+        rows = batch.select("doc_id", "idx", "text", "start_c", "end_c")
+        if not table.exists():  # nothing to compare with: the batch is worked out once
+            table.upsert(rows, once=(name, batch_id), unique=True)
+            return
+        rows = rows.persist()
+        try:
+            table.upsert(rows, once=(name, batch_id), unique=True)
+        finally:
+            rows.unpersist()
 
     owned_segments(read, overlap).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
