@@ -112,7 +112,7 @@ def match_accept(spark, d):
 
 def _document_scores(spark, d):
     index = text_index.build(_folded(spark, d, "benchmark", "item_id"), "item_id")
-    return matching.voted_scores(_folded(spark, d, "documents", "doc_id").select("doc_id", "tokens"), index, "doc_id", char=False)
+    return matching.voted_scores(_folded(spark, d, "documents", "doc_id").select("doc_id", "tokens"), index, "doc_id")
 
 
 def _windows(spark, d):
