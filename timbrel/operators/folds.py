@@ -55,15 +55,10 @@ def drop_adjacent_repeats(seg: DataFrame, gap: int, key: str = "doc_id") -> Data
         kept = F.struct(x["start_c"].cast("long").alias("s"), x["end_c"].cast("long").alias("e"), F.concat(a["out"], F.array(row(x))).alias("out"))
         return F.when(near, a).otherwise(kept)
 
-    # a run of one needs no fold
-    size = F.count("*").over(Window.partitionBy(key, "_run"))
-    runs = runs.withColumn("_size", size)
-    alone = runs.filter("_size = 1").select(key, F.col("idx").cast("long").alias("idx"), "start_c", "end_c", "text")
-    many = runs.filter("_size > 1")
-    texts = many.filter("_new = 1").select(F.col(key).alias("_k"), F.col("_run").alias("_r"), "text")
-    out = ordered_fold(many, [key, "_run"], [F.col("idx")], ["idx", "start_c", "end_c"], start, step).select(key, "_run", F.explode("state.out").alias("r"))
-    out = out.join(texts, (F.col(key) == F.col("_k")) & (F.col("_run") == F.col("_r"))).select(key, "r.*", "text")
-    return alone.unionByName(out)
+    # runs lie within their key's partition, so this takes no shuffle of its own
+    listed = F.sort_array(F.collect_list(F.struct("idx", "start_c", "end_c")))
+    out = runs.groupBy(key, "_run").agg(F.min("text").alias("text"), F.aggregate(listed, start, step).alias("state"))
+    return out.select(key, "text", F.explode("state.out").alias("r")).select(key, "r.*", "text")
 
 
 def bounded_chunks(seg: DataFrame, most: int, chars: int, key: str = "doc_id") -> DataFrame:
