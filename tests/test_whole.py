@@ -4,7 +4,6 @@ import difflib
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from timbrel.operators import matching, text_index
 from timbrel.queries import QUERIES
