@@ -382,3 +382,15 @@ def test_editorial_rules(spark):
     ).first()
     assert r.p == parts - 1200 - 1400 - 1400 - 600 - 5000 and r.out == -1
     assert r.notes == ["starts_like_continuation", "previous_segment_not_closed", "clean_terminal_punctuation", "ending_contains_payoff_signal", "weak_beginning_completeness", "weak_ending_completeness", "depends_on_following_context", "limited_resolution", "over_59_seconds"]
+
+
+def test_dealt_partitions_grow_with_the_rows_and_steps_within_a_key_stay(spark):
+    from timbrel.plans import clips
+    from timbrel.sources import readers
+
+    docs = spark.range(100).selectExpr("id AS doc_id", "concat('one two', char(10), 'three ', id) AS text")
+    dealt = readers.dealt(docs, "doc_id", 10)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 100
+    words = clips.word_times(readers.segments(dealt))
+    assert words.count() == 400
+    assert words._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
