@@ -394,3 +394,19 @@ def test_dealt_partitions_grow_with_the_rows_and_steps_within_a_key_stay(spark):
     words = clips.word_times(readers.segments(dealt))
     assert words.count() == 400
     assert words._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_candidates_and_starts_of_a_small_corpus_move_the_sources_once(spark):
+    from timbrel.operators import retrieval
+    from timbrel.sources import readers
+
+    docs = readers.dealt(spark.createDataFrame([(i, f"w{i % 7} x{i % 5} y w{i % 3}") for i in range(50)], "doc_id long, text string"), "doc_id")
+    items = spark.createDataFrame([(i, f"w{i} x{i} z") for i in range(6)], "item_id long, text string")
+    tok = lambda df, key: retrieval.tokens(df, key, F.col("text"))
+    idf = retrieval.with_idf(retrieval.document_frequency(tok(items, "item_id"), "item_id"), 6)
+    got = retrieval.candidates(tok(docs, "doc_id"), tok(items, "item_id"), idf, "doc_id", "item_id", 2)
+    starts = retrieval.fragment_starts(tok(items, "item_id"), tok(docs, "doc_id"), idf, "item_id", "doc_id")
+    for df in (got, starts):
+        assert df.count() > 50
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Exchange hashpartitioning(item_id, doc_id" not in plan and ", doc_id#" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
