@@ -6,6 +6,7 @@ import math
 import pytest
 
 from timbrel.operators import matching, text_index
+from timbrel.plans import subtitles
 from timbrel.queries import QUERIES
 
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog near a river"), (2, "der alte hafen liegt still im dichten nebel am morgen"), (3, "le vieux port reste calme sous la brume du matin"), (4, "the harbour master counts the ships at dawn")]
@@ -124,3 +125,18 @@ def test_words_of_every_clip(spark):
 
     clips = QUERIES["clip_candidates"](spark, SF).select("doc_id", "place").distinct()
     assert {tuple(r) for r in QUERIES["clip_words"](spark, SF).select("doc_id", "place").distinct().collect()} == {tuple(r) for r in clips.collect()}
+
+
+def test_words_of_clips_move_once(spark, tmp_path):
+    words = [f"w{k}{{" for k in range(9)]
+    clips = spark.createDataFrame([(1, 0, 0, 900), (1, 1, 300, 900)], "doc_id long, place long, start_c long, end_c long").repartition(3, "doc_id")
+    timed = spark.createDataFrame([(1, 0, k, w, 100 * k, 100 * k + 100) for k, w in enumerate(words)], "doc_id long, idx long, pos long, word string, start_c long, end_c long").repartition(3, "doc_id")
+    got = {(r.place, r.idx): (r.start_cs, r.end_cs, [w.rstrip("{") for w in r.words], r.at) for r in subtitles.word_events(clips, timed).collect()}
+    assert len(got) == 9 + 6 and got[0, 0] == (0, 666, ["w0"], 0) and got[0, 1] == (669, 1333, ["w0", "w1"], 1)
+    assert got[0, 7][2:] == (["w6", "w7"], 1) and got[1, 5][2:] == ([f"w{k}" for k in range(3, 9)], 5)
+    made = subtitles.word_subtitles(clips, timed)
+    lines = {r.place: r.ass.split("\nDialogue: ")[1:] for r in made.collect()}
+    assert len(lines[0]) == 9 and lines[0][7].startswith("0,0:00:46.69,0:00:53.33,") and lines[0][7].index("w7\\{") < lines[0][7].index("w6\\{") and "w5" not in lines[0][7]
+    # words and clips are dealt by document already: nothing is exchanged for clips or events
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "place" in x]
