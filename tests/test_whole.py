@@ -94,6 +94,13 @@ def test_votes_with_bigrams_and_fallbacks(spark, tmp_path):
     assert sum(x[0] == 3 for x in got) == 60 and not any(x[0] == 4 for x in got)
 
 
+def test_votes_read_and_move_the_sources_once(spark, small):
+    df = QUERIES["voted_candidates"](spark, small)
+    assert {(r.doc_id, r.item_id, r.points, r.place) for r in df.collect()} == brute_votes([(d, t) for d, _, t in DOCS], ITEMS, 80)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1 and plan.count("Relation [item_id") > 1
+
+
 def test_best_match_finds_a_passage_in_a_longer_row(spark):
     long = "one two " + " ".join(f"x{k}" for k in range(40)) + " grey heron waits beside cold water " + " ".join(f"y{k}" for k in range(40))
     corpus = [(1, long), (2, "grey boats wait"), (3, "red kites circle above empty fields today")] + [(k, f"z{k} q{k} r{k}") for k in range(4, 60)]
